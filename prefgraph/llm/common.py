@@ -84,7 +84,7 @@ def open_output(uri: str):
 
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):
