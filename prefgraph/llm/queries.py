@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefgraph.llm import jpeg_media, mixture, near_dedup, piece_bpe, token_counts, token_files, toxicity, warc
+from prefgraph.llm import bm25, jpeg_media, license_scan, mixture, near_dedup, piece_bpe, token_counts, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.media_features(jpeg_media.store_media(_table(spark, sf_dir, "documents")))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_licenses", "best_license", F.round("best_coverage", 6).alias("best_coverage"), F.to_json("licenses").alias("licenses"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -96,5 +101,23 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_token_counts, op4_mixture, op5_toxicity, op6_warc, op7_near_dedup, op8_token_files, op9_pieces)}
-ORACLE_SQL = {"op4_mixture": OP4_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL}
+def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bm25.top_k(docs, docs.where("doc_id % 50 = 0"))
+
+
+OP10_SQL = """
+with w as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) as term from documents),
+tf as (select doc_id, term, count(*)::double as tf from w group by 1, 2),
+dl as (select doc_id, sum(tf) as dl from tf group by 1),
+st as (select count(*)::double as n, avg(dl)::double as mean from dl),
+df as (select term, count(*)::double as df from tf group by 1),
+s as (select q.doc_id as query_id, d.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) as score
+  from tf q join tf d on q.term = d.term join df on df.term = d.term join dl on dl.doc_id = d.doc_id cross join st where q.doc_id % 50 = 0 group by 1, 2),
+r as (select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score from s)
+select query_id, rank::int as rank, doc_id, score from r where rank <= 10
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_licenses, op3_token_counts, op4_mixture, op5_toxicity, op6_warc, op7_near_dedup, op8_token_files, op9_pieces, op10_bm25)}
+ORACLE_SQL = {"op4_mixture": OP4_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op10_bm25": OP10_SQL}
