@@ -8,11 +8,14 @@ Candidates. The sorted hashes are cut into ``BINS`` equal ranges, each range's l
 range borrows from the first filled one in its own fixed random order. ``BANDS`` bands of ``ROWS`` ranges give bucket
 keys. At the similarity 0.85 a pair shares no bucket with probability 0.5563 ** 25 = 4e-7.
 
-Edges. A bucket's members are paired with one pivot, the smallest, never with each other. Pairs are confirmed on the
-full sets. A member that the pivot didn't link can still be near another one, so buckets that hold more than one component
-after a round go on: their pivot is exhausted and the next becomes pivot. After ``STAR_ROUNDS`` rounds, buckets with at
-most ``SMALL`` members left are finished pair by pair between components, larger ones go on with pivots. So every pair of one
-bucket is either tested or already in one component.
+Edges. A bucket's members are paired with one pivot, the smallest, never with each other: a star. A member that the pivot
+didn't link can still be near another one, so buckets that hold more than one component after a round go on: the members
+outside the bucket's largest component, at most ``PIVOTS`` of them a round, become pivots for the members of other components,
+and are exhausted then. So every pair of one bucket is either tested or already in one component when the rounds end, and
+pairs within a component are never made.
+
+Tests. Pairs whose sizes can't reach the similarity are dropped, then pairs whose sketches agree in fewer than ``AGREE`` of 125
+ranges (at 0.85 that is eight standard deviations away, far rarer than missing all bands); the rest is confirmed on full sets.
 
 Edge cases: null and word-less texts have empty sets, n_shingles 0, and are linked with nothing; rows with null ids
 belong to their class, but don't name it (a class of null ids only has component_id null and is kept); repeated rows are
@@ -27,14 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefgraph.llm.common import shared_dir, ship_package, staged
 
 SHINGLE = 5
 BINS, BANDS, ROWS = 125, 25, 5
-STAR_ROUNDS, SMALL = 2, 256
+PIVOTS, AGREE = 256, 75
 _TRIES = 2048
 
 
@@ -89,9 +92,9 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One bucket key per band; the band is part of the key."""
-    parts = sketch(hashes).reshape(BANDS, ROWS)
+def band_keys(parts: np.ndarray) -> np.ndarray:
+    """One bucket key per band of a sketch; the band is part of the key."""
+    parts = parts.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for j in range(ROWS):
         key = _mixed(key ^ parts[:, j]) + np.uint64(0x9E3779B97F4A7C15)
@@ -100,15 +103,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, names, bands = [], [], []
+        sizes, names, bands, digests = [], [], [], []
         for text in batch.column("text").to_pylist():
             hashes = shingle_set(text)
             sizes.append(len(hashes))
             names.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-            bands.append(band_keys(hashes) if len(hashes) else None)
+            parts = sketch(hashes) if len(hashes) else None
+            bands.append(None if parts is None else band_keys(parts))
+            digests.append(None if parts is None else (parts & np.uint64(255)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_name", "bands"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(digests, pa.binary())],
+            ["doc_id", "n_shingles", "set_name", "bands", "sketch"],
         )
 
 
@@ -119,6 +124,13 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_name", "hashes"])
 
 
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x_sketch", "y_sketch"))
+            yield batch.select(["x", "y"]).filter(pa.array((x == y).sum(axis=1) >= AGREE, pa.bool_()))
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,11 +167,11 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = staged(rows.mapInArrow(_describe, "doc_id long, n_shingles long, set_name binary, bands array<long>"), "dedup-rows")
+    described = staged(rows.mapInArrow(_describe, "doc_id long, n_shingles long, set_name binary, bands array<long>, sketch binary"), "dedup-rows")
     classes = staged(
         described.where("n_shingles > 0")
         .groupBy("set_name")
-        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         .withColumn("class", F.monotonically_increasing_id()),
         "dedup-classes",
     )
@@ -171,39 +183,38 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     one_row = described.select("doc_id", "set_name").join(wanted.select("set_name", "first_id", "class"), "set_name").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id").distinct()
     texts = rows.join(one_row, rows["doc_id"].eqNullSafe(one_row["doc_id"]), "left_semi")
     sets = texts.select("text").mapInArrow(_full_sets, "set_name binary, hashes binary")
-    sets = staged(sets.join(wanted.select("set_name", "class"), "set_name").dropDuplicates(["class"]).select("class", "hashes"), "dedup-sets")
+    sets = staged(sets.join(wanted.select("set_name", "class", "sketch"), "set_name").dropDuplicates(["class"]).select("class", "sketch", "hashes"), "dedup-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where(f"100 * least(xn, yn) >= {percent} * greatest(xn, yn)").select("x", "y").distinct()
-        left = sets.select(F.col("class").alias("x"), F.col("hashes").alias("x_set"))
-        right = sets.select(F.col("class").alias("y"), F.col("hashes").alias("y_set"))
-        return staged(pairs.join(right, "y").join(left, "x").select("x", "y", "x_set", "y_set").mapInArrow(_confirm(percent), "x long, y long"), "dedup-links")
-
-    links, groups, left, turn = None, None, members.withColumn("component", F.col("class")), 0
+        side = lambda name, what: sets.select(F.col("class").alias(name), F.col(what).alias(f"{name}_{what}"))
+        near = pairs.join(side("y", "sketch"), "y").join(side("x", "sketch"), "x").select("x", "y", "x_sketch", "y_sketch").mapInArrow(_agree, "x long, y long")
+        full = near.join(side("y", "hashes"), "y").join(side("x", "hashes"), "x")
+        return staged(full.select("x", "y", F.col("x_hashes").alias("x_set"), F.col("y_hashes").alias("y_set")).mapInArrow(_confirm(percent), "x long, y long"), "dedup-links")
+
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("p"))
+    star = members.join(pivots, "bucket").where("class <> p.class")
+    links = confirmed(star.select(F.col("p.class").alias("x"), F.col("class").alias("y"), F.col("p.n").alias("xn"), F.col("n").alias("yn")))
+    groups = components(links)
+    left = star.select("bucket", "class", "n")
     while True:
-        pivots = left.groupBy("bucket").agg(F.min(F.struct("class", "component", "n")).alias("p"), F.count("*").alias("members"))
-        paired = left.join(pivots, "bucket").where("component <> p.component")
-        pairs = paired.where("class > p.class").select(F.col("p.class").alias("x"), F.col("class").alias("y"), F.col("p.n").alias("xn"), F.col("n").alias("yn"))
-        last = turn >= STAR_ROUNDS
-        if last:
-            small = left.join(pivots.where(f"members <= {SMALL}").select("bucket"), "bucket")
-            a, b = small.alias("a"), small.alias("b")
-            among = a.join(b, "bucket").where("a.class < b.class and a.component <> b.component")
-            pairs = paired.where(f"members > {SMALL} and class > p.class").select(F.col("p.class").alias("x"), F.col("class").alias("y"), F.col("p.n").alias("xn"), F.col("n").alias("yn")).union(
-                among.select(F.col("a.class").alias("x"), F.col("b.class").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn"))
-            )
-        found = confirmed(pairs)
-        links = found if links is None else staged(links.union(found), "dedup-links")
-        groups = components(links)
-        turn += 1
-        # the pivot is done with; what is left are buckets with members of several components
-        rest = left.join(pivots.select("bucket", "p.class", "members").withColumnRenamed("class", "pivot"), "bucket")
-        rest = rest.where("class <> pivot" + (f" and members > {SMALL}" if last else "")).select("bucket", "class", "n")
-        rest = rest.join(groups, rest["class"] == groups["node"], "left").select("bucket", "class", "n", F.coalesce("component", "class").alias("component"))
-        mixed = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        left = staged(rest.join(mixed, "bucket"), "dedup-left")
+        # what is left are members of buckets with several components, without the pivots
+        left = left.join(groups, left["class"] == groups["node"], "left").select("bucket", "class", "n", F.coalesce("component", "class").alias("component"))
+        parts = left.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("most.component").alias("main"))
+        left = staged(left.join(largest, "bucket"), "dedup-left")
         if left.limit(1).count() == 0:
             break
+        outside = Window.partitionBy("bucket").orderBy("class")
+        pivots = left.where("component <> main").withColumn("turn", F.row_number().over(outside)).where(F.col("turn") <= PIVOTS)
+        pivots = staged(pivots.select("bucket", F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")), "dedup-pivots")
+        marked = left.join(pivots.select("bucket", F.col("pivot").alias("class"), F.lit(True).alias("is_pivot")), ["bucket", "class"], "left")
+        pairs = marked.join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot)")
+        found = confirmed(pairs.select(F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y"), F.col("n").alias("xn"), F.col("pivot_n").alias("yn")))
+        if found.limit(1).count():
+            links = staged(links.union(found), "dedup-links")
+            groups = components(links)
+        left = marked.where("is_pivot is null").select("bucket", "class", "n")
 
     named = classes.select("class", "set_name", "first_id").join(groups, F.col("class") == F.col("node"), "left").select("set_name", "first_id", F.coalesce("component", "class").alias("component"))
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
