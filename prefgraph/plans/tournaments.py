@@ -1,4 +1,123 @@
-"""To come."""
+"""Scenario choices: user utilities, country tournaments, invariants, latent profiles, dirty scans."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prefgraph.operators import tournament as t
+from prefgraph.operators.projection import graph_projection
+from prefgraph.sources import scans
+from prefgraph.sources.fixtures import CHARACTER_ROWS, DIMENSION_ROWS, derived, plain
+
+MIN_SCENARIOS, MIN_USERS = 8, 20
+BRANDS = [f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6)][:8]
+DIMS = ["d_intervention", "d_number", "d_law", "d_status", "d_species", "d_age"]
+#: Twelve profiles of -1 and 1 from the binary digits of multiples of 37.
+PROFILES = [[1.0 if (37 * (p + 1) >> k) & 1 else -1.0 for k in range(len(DIMS))] for p in range(12)]
+
+
+def beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.user_beta(derived(spark, sf_dir, CHARACTER_ROWS), MIN_SCENARIOS)
+
+
+def country_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = beta(spark, sf_dir)
+    return t.densified(rows, BRANDS).join(t.eligible_groups(rows, MIN_USERS).select("country"), "country")
+
+
+def country_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.wins(country_users(spark, sf_dir), len(BRANDS), ["country"])
+
+
+def latent_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = t.latent_beta(derived(spark, sf_dir, DIMENSION_ROWS), DIMS, 8, 4)
+    return t.wins(t.utilities(users, PROFILES), len(PROFILES), ["country"])
+
+
+def global_tournament(spark, sf_dir):
+    """Pooled majorities of all users and of those in eligible countries, with ties and the least margin."""
+    rows = beta(spark, sf_dir)
+    groups = t.eligible_groups(rows, MIN_USERS).select("country", F.lit(True).alias("_e"))
+    users = t.densified(rows, BRANDS).join(groups, "country", "left")
+    scoped = users.withColumn("scope", F.explode(F.when(F.col("_e"), F.array(F.lit("all"), F.lit("eligible"))).otherwise(F.array(F.lit("all")))))
+    w = t.wins(scoped, len(BRANDS), ["scope"])
+    return w.groupBy("scope").agg(F.count("*").alias("n_pairs"), F.count_if(F.abs("margin") <= 1e-8).alias("ties"), F.round(F.min(F.abs("margin")), 6).alias("min_abs_margin"), F.round(F.avg(F.abs("margin")), 6).alias("mean_abs_margin"), F.sum("support").alias("support"))
+
+
+def invariants(spark, sf_dir):
+    w = country_wins(spark, sf_dir)
+    strict = t.strict_cycles(w, ["country"]).select("country", F.col("triples").alias("strict_triples"), F.col("cycles").alias("strict_cycles"))
+    rho = graph_projection(w.where("support > 0"), ["country"]).select("country", F.round("rho", 5).alias("rho"))
+    size = w.groupBy("country").agg((F.count("*") == len(BRANDS) * (len(BRANDS) - 1) // 2).alias("complete"))
+    out = t.condorcet_count(w, ["country"], len(BRANDS)).join(t.odd_parity(w, ["country"]), "country").join(size, "country").join(rho, "country", "left").join(strict, "country", "left")
+    return out.select("country", "complete", "cycles", "triples", F.round("fraction", 6).alias("fraction"), "odd_parity", "obstructed", "rho", F.coalesce("strict_triples", F.lit(0)).alias("strict_triples"), F.coalesce("strict_cycles", F.lit(0)).alias("strict_cycles"))
+
+
+def obstructed(spark, sf_dir):
+    """Countries with a parity obstruction, and whether odd parity stays within (K - 3) times the cycles."""
+    w = country_wins(spark, sf_dir)
+    both = t.odd_parity(w, ["country"]).join(t.condorcet_count(w, ["country"], len(BRANDS)), "country")
+    return both.where("obstructed").select("country", "odd_parity", "cycles", (F.col("odd_parity") > (len(BRANDS) - 3) * F.col("cycles")).alias("violates"))
+
+
+def dirty_scan(spark, sf_dir):
+    """Character rows as dirty text, scanned back: rows read and kept."""
+    rows = derived(spark, sf_dir, CHARACTER_ROWS)
+    spoilt = rows.select(
+        F.col("user_id").cast("string").alias("user_id"), "country",
+        F.when(F.col("row_key") % 37 == 0, F.lit("2")).otherwise(F.col("saved").cast("string")).alias("saved"),
+        F.when(F.col("row_key") % 41 == 0, F.lit("x")).when(F.col("row_key") % 43 == 0, F.lit("")).otherwise(F.col("cnt").cast("string")).alias("cnt"),
+    )
+    return scans.kept_rows(spoilt, {"user_id": "long", "saved": "int", "cnt": "long"}, "saved in (0, 1)").groupBy("country").agg(F.count("*").alias("n_raw"), F.count_if("_valid").alias("n_kept"), F.sum(F.when(F.col("_valid"), F.col("cnt"))).alias("cnt"))
+
+
+QUERIES = {
+    "dirty_scan": dirty_scan,
+    "user_beta": lambda s, d: beta(s, d).withColumn("beta", F.round("beta", 6) + 0.0),
+    "eligible_groups": lambda s, d: t.eligible_groups(beta(s, d), MIN_USERS),
+    "country_tournament": lambda s, d: country_wins(s, d).withColumn("margin", F.round("margin", 6) + 0.0),
+    "global_tournament": global_tournament,
+    "condorcet_count": lambda s, d: t.condorcet_count(country_wins(s, d), ["country"], len(BRANDS)).withColumn("fraction", F.round("fraction", 6)),
+    "odd_parity": lambda s, d: t.odd_parity(country_wins(s, d), ["country"]),
+    "invariant_bundle": invariants,
+    "obstructed_groups": obstructed,
+    "latent_beta": lambda s, d: t.latent_beta(derived(s, d, DIMENSION_ROWS), DIMS, 8, 4).select("user_id", "country", *[F.round(F.get("beta", F.lit(k)), 6).alias(n) for k, n in enumerate(DIMS)]),
+    "latent_majority_cycles": lambda s, d: t.strict_cycles(latent_wins(s, d), ["country"]),
+    "betti1": lambda s, d: t.betti_1(country_wins(s, d), ["country"], len(BRANDS)),
+}
+
+BETA_SQL = f"""rows0 as ({plain(CHARACTER_ROWS)}), u as (select user_id, sum(saved)::bigint as n_scenarios, arg_min(country, row_key) as country from rows0 group by 1 having sum(saved) >= {MIN_SCENARIOS}),
+beta as (select r.user_id, u.country, alternative, n_scenarios, sum(case when saved = 1 then cnt else -cnt end)::double / n_scenarios as beta from rows0 r join u on r.user_id = u.user_id group by 1, 2, 3, 4)"""
+_ELIG = f"elig as (select country, count(distinct user_id) as n_users from beta group by 1 having count(distinct user_id) >= {MIN_USERS} and country not in ('', 'NaN', 'UNK'))"
+_ALTS = "alts as (select unnest([" + ", ".join(f"'{b}'" for b in BRANDS) + f"]) as alternative, unnest(range({len(BRANDS)})) as a)"
+DENSE_SQL = f"{BETA_SQL}, {_ELIG}, {_ALTS}, dense as (select u.user_id, u.country, a, coalesce(b.beta, 0) as beta from u cross join alts left join beta b on b.user_id = u.user_id and b.alternative = alts.alternative)"
+_WIN = "count(*) filter (where x.beta > y.beta) as wins_i, count(*) filter (where x.beta < y.beta) as wins_j"
+WINS_SQL = f"""{DENSE_SQL}, w0 as (select x.country, x.a as i, y.a as j, {_WIN} from dense x join dense y on x.user_id = y.user_id and x.a < y.a where x.country in (select country from elig) group by 1, 2, 3),
+w as (select *, wins_i + wins_j as support, case when wins_i + wins_j > 0 then (wins_i - wins_j) / (wins_i + wins_j) else 0 end as margin, wins_i >= wins_j as beats from w0)"""
+_ARC = "arc as (select country, i as x, j as y, beats as b from w union all select country, j, i, not beats from w)"
+_T3 = f"{_ARC}, t3 as (select p.country, p.x as i, p.y as j, q.y as k, (p.b and q.b and not r.b) or (not p.b and not q.b and r.b) as cyc from arc p join arc q on p.country = q.country and p.y = q.x and p.x < p.y and q.x < q.y join arc r on p.country = r.country and p.x = r.x and q.y = r.y)"
+_T4 = f"""{_T3}, t4 as (select a.country, a.i, a.j, a.k, b.k as l, (a.cyc::int + b.cyc::int + c.cyc::int + d.cyc::int) % 2 as odd from t3 a join t3 b on a.country = b.country and a.i = b.i and a.j = b.j and a.k < b.k
+join t3 c on a.country = c.country and a.i = c.i and a.k = c.j and b.k = c.k join t3 d on a.country = d.country and a.j = d.i and a.k = d.j and b.k = d.k), par as (select country, sum(odd)::bigint as odd_parity from t4 group by 1)"""
+_CC = "cc as (select country, count(*) filter (where cyc) as cycles, count(*) as triples, count(*) filter (where cyc) / count(*) as fraction from t3 group by 1)"
+_STRICT = "st as (select p.country, count(*) as strict_triples, count(*) filter (where sign(p.margin) = sign(q.margin) and sign(p.margin) = -sign(r.margin)) as strict_cycles from w p join w q on p.country = q.country and p.j = q.i join w r on p.country = r.country and p.i = r.i and q.j = r.j where p.margin <> 0 and q.margin <> 0 and r.margin <> 0 group by 1)"
+LATENT_SQL = f"""r as ({plain(DIMENSION_ROWS)}), lu as (select user_id, min(country) as country, {", ".join(f"sum({d})::double as p_{d}, count({d}) as t_{d}" for d in DIMS)} from r group by 1),
+lb as (select user_id, country, {", ".join(f"p_{d} / nullif(t_{d}, 0) - 0.5 as {d}" for d in DIMS)} from lu where {" + ".join(f"t_{d}" for d in DIMS)} >= 8 and {" + ".join(f"(t_{d} > 0)::int" for d in DIMS)} >= 4)"""
+
+ORACLE_SQL = {
+    "dirty_scan": f"""with rows0 as ({plain(CHARACTER_ROWS)}), s as (select country, row_key % 37 <> 0 and row_key % 41 <> 0 and row_key % 43 <> 0 as ok, cnt from rows0)
+select country, count(*) as n_raw, count(*) filter (where ok) as n_kept, sum(case when ok then cnt end)::bigint as cnt from s group by 1""",
+    "user_beta": f"with {BETA_SQL} select user_id, country, alternative, n_scenarios, round(beta, 6) + 0.0 as beta from beta",
+    "eligible_groups": f"with {BETA_SQL}, {_ELIG} select country, n_users from elig",
+    "country_tournament": f"with {WINS_SQL} select country, i::int as i, j::int as j, wins_i, wins_j, support, round(margin, 6) + 0.0 as margin, beats from w",
+    "global_tournament": f"""with {DENSE_SQL}, sc as (select 'all' as scope, * from dense union all select 'eligible', * from dense where country in (select country from elig)),
+w0 as (select x.scope, x.a as i, y.a as j, {_WIN} from sc x join sc y on x.scope = y.scope and x.user_id = y.user_id and x.a < y.a group by 1, 2, 3), m as (select *, abs((wins_i - wins_j) / (wins_i + wins_j)) as m from w0)
+select scope, count(*) as n_pairs, count(*) filter (where m <= 1e-8) as ties, round(min(m), 6) as min_abs_margin, round(avg(m), 6) as mean_abs_margin, sum(wins_i + wins_j)::bigint as support from m group by 1""",
+    "condorcet_count": f"with {WINS_SQL}, {_T3}, {_CC} select country, cycles, triples, round(fraction, 6) as fraction from cc",
+    "odd_parity": f"with {WINS_SQL}, {_T4} select country, odd_parity, odd_parity > 0 as obstructed from par",
+    "obstructed_groups": f"with {WINS_SQL}, {_T4}, {_CC} select par.country, odd_parity, cycles, odd_parity > {len(BRANDS) - 3} * cycles as violates from par join cc on par.country = cc.country where odd_parity > 0",
+    "latent_beta": f"with {LATENT_SQL} select user_id, country, {', '.join(f'round({d}, 6) as {d}' for d in DIMS)} from lb",
+    "latent_majority_cycles": f"""with {LATENT_SQL}, util as (select user_id, country, unnest(range({len(PROFILES)})) as a, unnest([{", ".join("round(" + " + ".join(f"coalesce({d}, 0) * {v}" for d, v in zip(DIMS, p, strict=True)) + ", 12)" for p in PROFILES)}]) as beta from lb),
+w0 as (select x.country, x.a as i, y.a as j, {_WIN} from util x join util y on x.user_id = y.user_id and x.a < y.a group by 1, 2, 3), w as (select *, (wins_i - wins_j) as margin from w0),
+{_STRICT} select country, strict_triples as triples, strict_cycles as cycles from st""",
+}
