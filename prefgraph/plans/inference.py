@@ -1,4 +1,129 @@
-"""To come."""
+"""Resampling and summaries: splits, bootstrap, permutation, nulls, q-values, correlations, histograms."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from prefgraph.operators import cycles, edges, resample, summaries
+from prefgraph.operators import tournament as t
+from prefgraph.operators.models import bt_graph
+from prefgraph.operators.projection import graph_projection, projection_scores
+from prefgraph.plans import comparisons, preferences, tournaments
+
+SPLITS, TEST_SHARE, SEED, REPS = 3, 0.2, 1009, 5
+
+
+def user_table(spark, sf_dir):
+    rows = comparisons.pairs(spark, sf_dir).where("score_delta = 5 and pair_sign <> 0")
+    return rows.groupBy("user_id", "i", "j").agg(F.avg("pair_sign").alias("um"))
+
+
+def bootstrap(spark, sf_dir):
+    return resample.user_bootstrap(user_table(spark, sf_dir), REPS, SEED).withColumn("margin", F.round("margin", 6) + 0.0)
+
+
+def bootstrap_cycles(spark, sf_dir):
+    """Cycle rate and projection residual of every resample."""
+    flow = resample.user_bootstrap(user_table(spark, sf_dir), REPS, SEED)
+    rates = cycles.support_cycle_grid(flow, ["rep"], [1], [0.0]).select("rep", "eligible_triples", "cyclic_triples")
+    return rates.join(graph_projection(flow, ["rep"]).select("rep", F.round("rho", 5).alias("rho")), "rep")
+
+
+def permutation(spark, sf_dir):
+    """Cycles per country, observed and with users dealt anew, and how often chance does as much."""
+    users = tournaments.country_users(spark, sf_dir)
+    n = len(tournaments.BRANDS)
+    mean = lambda w, keys: t.condorcet_count(w, keys, n)
+    observed = mean(t.wins(users, n, ["country"]), ["country"]).agg(F.avg("cycles").alias("observed"))
+    dealt = t.wins(resample.permuted_groups(users, "country", REPS, SEED), n, ["rep", "country"])
+    null = mean(dealt, ["rep", "country"]).groupBy("rep").agg(F.avg("cycles").alias("null_mean_cycles"))
+    # one row of observed means
+    return null.join(F.broadcast(observed)).select("rep", F.round("null_mean_cycles", 6).alias("null_mean_cycles"), F.round("observed", 6).alias("observed"))
+
+
+def additive(spark, sf_dir):
+    """Projection residual of every aspect against draws that keep weights and have additive margins."""
+    obs = preferences.obs(spark, sf_dir)
+    flow = edges.edge_flow(obs, ["aspect"])
+    draws = resample.additive_null(edges.weight_cells(obs, ["aspect"]), projection_scores(flow, ["aspect"]), ["aspect"], REPS, SEED)
+    null = graph_projection(draws, ["aspect", "rep"]).select("aspect", "rep", F.col("rho").alias("null_rho"))
+    rows = null.join(graph_projection(flow, ["aspect"]).select("aspect", F.col("rho").alias("observed")), "aspect")
+    return summaries.null_summary(rows, ["aspect"], "null_rho", "observed")
+
+
+def transitive(spark, sf_dir):
+    flow = comparisons.user_edges(spark, sf_dir).where("score_delta = 5")
+    draws = resample.transitive_null(flow, bt_graph(flow, []), REPS, SEED)
+    null = graph_projection(draws, ["rep"]).select("rep", F.col("rho").alias("null_rho"))
+    return null.join(F.broadcast(graph_projection(flow.withColumn("one", F.lit(1)), ["one"]).select(F.col("rho").alias("observed"))))
+
+
+def edge_p(spark, sf_dir):
+    flow = preferences.scoped_edges(spark, sf_dir)
+    p = F.exp(-(F.col("weighted_margin") ** 2) / (2 * F.col("support")))
+    return flow.select("scope", "aspect", "i", "j", F.round(p, 12).alias("p"))
+
+
+def q_values(spark, sf_dir):
+    return summaries.bh_q(edge_p(spark, sf_dir), ["scope"], "p", ["aspect", "i", "j"]).withColumn("q", F.round("q", 9))
+
+
+def regions(spark, sf_dir):
+    return cycles.triplet_residual(preferences.scoped_edges(spark, sf_dir), ["scope", "aspect"], preferences.MIN_SUPPORT).withColumn("rho", F.round("rho", 9)).withColumn("size", F.round("intensity", 9))
+
+
+def correlations(spark, sf_dir):
+    return summaries.correlation(regions(spark, sf_dir), ["scope", "aspect"], "rho", "size").withColumns({c: F.round(c, 6) for c in ("pearson", "spearman")})
+
+
+QUERIES = {
+    "prompt_split": lambda s, d: resample.prompt_split(preferences.flat(s, d), "prompt_id", SPLITS, TEST_SHARE, SEED),
+    "bootstrap_flow": bootstrap,
+    "bootstrap_cycles": bootstrap_cycles,
+    "permutation_null": permutation,
+    "additive_null": additive,
+    "transitive_null": transitive,
+    "bh_qvalues": q_values,
+    "spearman_rho": correlations,
+    "quartile_effect": lambda s, d: summaries.quartile_effect(regions(s, d), ["scope", "aspect"], "rho", "size").withColumns({c: F.round(c, 6) for c in ("effect", "effect_sd")}),
+    "null_histogram": lambda s, d: summaries.histogram(regions(s, d), ["scope", "aspect"], "rho"),
+    "z_scores": lambda s, d: summaries.z_scores(regions(s, d), ["scope", "aspect"], ["rho", "size"]).select("scope", "aspect", "i", "j", "k", F.round("z_rho", 6).alias("z_rho"), F.round("z_size", 6).alias("z_size")),
+    "partial_beta": lambda s, d: summaries.partial_beta(regions(s, d).withColumn("support", F.least("s_ij", "s_jk", "s_ik")), ["scope"], "size", ["rho", "support", "total_energy"]),
+    "strat_perm": lambda s, d: resample.stratified_permutation(regions(s, d).withColumn("triplet", F.concat_ws("|", "i", "j", "k")), ["scope", "aspect"], "triplet", "rho", REPS, SEED).select("scope", "aspect", "rep", "triplet", F.round("rho", 6).alias("rho")),
+    "graph_rho_weighted": lambda s, d: graph_projection(preferences.scoped_edges(s, d), ["scope", "aspect"]).select("scope", "aspect", *[F.round(c, 5).alias(c) for c in ("total_energy", "rho")]),
+    "projection_scores": lambda s, d: projection_scores(preferences.scoped_edges(s, d), ["scope", "aspect"]).withColumn("score", F.round("score", 5) + 0.0),
+    "graph_rho_uniform": lambda s, d: graph_projection(preferences.scoped_edges(s, d).withColumn("support", F.lit(1.0)), ["scope", "aspect"]).select("scope", "aspect", F.round("rho", 6).alias("rho")),
+}
+
+_U = lambda *k: f"cast('0x' || substr(md5(concat_ws('|', '{SEED}', {', '.join(k)})), 1, 8) as bigint)"
+_REPS = f"reps as (select unnest(range({REPS})) as rep)"
+_REG = f"""{preferences.SCOPED_SQL}, kept as (select * from edges where support >= {preferences.MIN_SUPPORT}), {preferences.TRI_SQL},
+reg as (select scope, aspect, i, j, k, i || '|' || j || '|' || k as triplet, round((m_ij + m_jk - m_ik) * (m_ij + m_jk - m_ik) / (1 / s_ij + 1 / s_jk + 1 / s_ik) / (s_ij * m_ij * m_ij + s_jk * m_jk * m_jk + s_ik * m_ik * m_ik), 9) as rho, round(abs(m_ij * m_jk * m_ik), 9) as size from tri)"""
+
+ORACLE_SQL = {
+    "prompt_split": f"""with {preferences.FLAT_SQL}, p as (select distinct prompt_id from flat), s as (select unnest(range({SPLITS})) as split), r as (select prompt_id, split, row_number() over (partition by split order by {_U('split', 'prompt_id')}, prompt_id) as k, count(*) over (partition by split) as n from p cross join s)
+select prompt_id, split::int as split, k <= greatest(1, round_even(n * {TEST_SHARE}::double, 0)) as is_test from r""",
+    "bootstrap_flow": f"""with {comparisons.PAIR_SQL}, um as (select user_id, i, j, avg(pair_sign) as um from pairs where score_delta = 5 and pair_sign <> 0 group by 1, 2, 3), us as (select user_id, row_number() over (order by {_U('user_id')}, user_id) as slot, count(*) over () as n from (select distinct user_id from um)), {_REPS},
+d as (select rep, floor({_U('rep', 'slot')} / 4294967296.0::double * n)::bigint + 1 as slot from us cross join reps), c as (select rep, slot, count(*) as times from d group by 1, 2)
+select rep::int as rep, i, j, round(sum(times * um) / sum(times), 6) + 0.0 as margin, sum(times)::bigint as support from c join us on c.slot = us.slot join um on um.user_id = us.user_id group by 1, 2, 3""",
+    "permutation_null": f"""with {tournaments.DENSE_SQL}, m as (select distinct user_id, country from dense where country in (select country from elig)), {_REPS}, slots as (select country, row_number() over (order by country, user_id) as position from m),
+dealt as (select rep, user_id, row_number() over (partition by rep order by {_U('rep', 'user_id')}, user_id) as position from m cross join reps),
+g as (select rep || '|' || slots.country as country, user_id from dealt join slots on dealt.position = slots.position union all select 'observed|' || country, user_id from m),
+w0 as (select g.country, x.a as i, y.a as j, {tournaments._WIN} from g join dense x on g.user_id = x.user_id join dense y on x.user_id = y.user_id and x.a < y.a group by 1, 2, 3), w as (select *, wins_i >= wins_j as beats from w0), {tournaments._T3}, {tournaments._CC},
+s as (select split_part(country, '|', 1) as rep, avg(cycles) as c from cc group by 1)
+select rep::int as rep, round(c, 6) as null_mean_cycles, round((select c from s where rep = 'observed'), 6) as observed from s where rep <> 'observed'""",
+    "bh_qvalues": f"""with {preferences.SCOPED_SQL}, p as (select scope, aspect, i, j, round(exp(-(weighted_margin * weighted_margin) / (2 * support)), 12) as p from edges), r as (select *, row_number() over (partition by scope order by p, aspect, i, j) as k, count(*) over (partition by scope) as n from p)
+select scope, aspect, i, j, p, round(least(1.0::double, min(p * n / k) over (partition by scope order by k desc rows between unbounded preceding and current row)), 9) as q from r""",
+    "spearman_rho": f"""with {_REG}, r as (select *, rank() over (partition by scope, aspect order by rho) + (count(*) over (partition by scope, aspect, rho) - 1) / 2.0::double as rx, rank() over (partition by scope, aspect order by size) + (count(*) over (partition by scope, aspect, size) - 1) / 2.0::double as ry from reg)
+select scope, aspect, count(*) as n, round(corr(rho, size), 6) as pearson, round(corr(rx, ry), 6) as spearman from r group by 1, 2""",
+    "quartile_effect": f"""with {_REG}, c as (select scope, aspect, quantile_cont(rho, 0.25) as lo, quantile_cont(rho, 0.75) as hi, count(*) as n, stddev(size) as sd from reg group by 1, 2),
+d as (select c.scope, c.aspect, n, sd, avg(size) filter (where rho >= hi) - avg(size) filter (where rho <= lo) as d from reg join c on reg.scope = c.scope and reg.aspect = c.aspect group by 1, 2, 3, 4) select scope, aspect, n, case when n >= 8 then round(d, 6) end as effect, case when n >= 8 then round(d / sd, 6) end as effect_sd from d""",
+    "null_histogram": f"""with {_REG}, c as (select scope, aspect, min(rho) as lo, max(rho) as hi, quantile_cont(rho, 0.75) - quantile_cont(rho, 0.25) as iqr, count(*) as n from reg group by 1, 2),
+b as (select *, case when iqr <= 0 then 20 else greatest(12, least(40, ceil((hi - lo) / (2 * iqr / pow(n, 1.0::double / 3)))))::int end as bins from c)
+select b.scope, b.aspect, bins::int as bins, (case when hi > lo then least(bins - 1, floor(round((rho - lo) / (hi - lo) * bins, 9))) else 0 end)::int as bin, count(*) as n from reg join b on reg.scope = b.scope and reg.aspect = b.aspect group by 1, 2, 3, 4""",
+    "z_scores": f"with {_REG} select scope, aspect, i, j, k, round((rho - avg(rho) over w) / nullif(stddev_pop(rho) over w, 0), 6) as z_rho, round((size - avg(size) over w) / nullif(stddev_pop(size) over w, 0), 6) as z_size from reg window w as (partition by scope, aspect)",
+    "strat_perm": f"""with {_REG}, {_REPS}, base as (select scope, aspect, triplet, row_number() over (partition by scope, aspect order by {_U('triplet')}, triplet) as p from reg), d as (select scope, aspect, rep, rho, row_number() over (partition by scope, aspect, rep order by {_U('rep', 'triplet')}, triplet) as p from reg cross join reps)
+select d.scope, d.aspect, rep::int as rep, triplet, round(rho, 6) as rho from d join base on d.scope = base.scope and d.aspect = base.aspect and d.p = base.p""",
+    "graph_rho_uniform": f"""with {preferences.SCOPED_SQL}, s as (select scope, aspect, i as n, j as o, margin as m from edges union all select scope, aspect, j, i, -margin from edges), k as (select scope, aspect, count(distinct n) as k from s group by 1, 2), r as (select s.scope, s.aspect, n, sum(m) / max(k) as r from s join k on s.scope = k.scope and s.aspect = k.aspect group by 1, 2, 3)
+select e.scope, e.aspect, round(sum((margin - (a.r - b.r)) * (margin - (a.r - b.r))) / sum(margin * margin), 6) as rho from edges e join r a on a.scope = e.scope and a.aspect = e.aspect and a.n = e.i join r b on b.scope = e.scope and b.aspect = e.aspect and b.n = e.j group by 1, 2""",
+}
