@@ -19,7 +19,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 UNEVEN = re.compile(f"[{WHITE}] | [{WHITE}]|^ | $")
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Pieces that a worker remembers (older half is forgotten), and their greatest length.
-MEMORY, LONGEST = 600_000, 40
+MEMORY, LONGEST, GROUP = 400_000, 40, 1 << 20
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -68,7 +68,16 @@ class PieceEncoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as the library gives them without added special tokens."""
+        """Ids of each text, as the library gives them without added special tokens; ``GROUP`` characters at a time."""
+        out, at, size = [], 0, 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= GROUP or k + 1 == len(texts):
+                out += self._encode(texts[at : k + 1])
+                at, size = k + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         heads, bodies = [], []
         for text in texts:
             if UNEVEN.search(text):
