@@ -14,7 +14,10 @@ outside the bucket's largest component, at most ``PIVOTS`` of them a round, beco
 and are exhausted then. So every pair of one bucket is either tested or already in one component when the rounds end, and
 pairs within a component are never made.
 
-Tests. Pairs whose sizes can't reach the similarity are dropped, then pairs whose sketches agree in fewer than ``AGREE`` of 125
+Tests. Shingles that only one candidate class holds are counted: n of them aside, a class can share no more than the rest
+with any other. Classes that can't reach the similarity with anything leave, and pairs are made only if the smaller rest would
+do. Such bounds are exact; they clear crowds of texts that each differ from a common original by more than the threshold
+allows. Then pairs go whose sketches agree in fewer than ``AGREE`` of 125
 ranges (at 0.85 that is eight standard deviations away, far rarer than missing all bands); the rest is confirmed on full sets.
 
 Edge cases: null and word-less texts have empty sets, n_shingles 0, and are linked with nothing; rows with null ids
@@ -117,6 +120,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(b, np.int64) for b in batch.column("hashes").to_pylist()]
+        owner = np.repeat(batch.column("class").to_numpy(), [len(s) for s in sets])
+        flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        for at in range(0, len(flat), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(owner[at : at + 100_000]), pa.array(flat[at : at + 100_000])], ["class", "shingle"])
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(text) for text in batch.column("text").to_pylist()]
@@ -177,29 +189,38 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     )
     spread = classes.select("class", "n", F.explode("bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1").select("bucket")
-    members = staged(spread.join(crowded, "bucket"), "dedup-members")
+    wanted_ids = spread.join(crowded, "bucket").select("class").distinct()
 
-    wanted = classes.join(members.select("class").distinct(), "class", "left_semi")
+    wanted = staged(classes.drop("bands").join(wanted_ids, "class", "left_semi"), "dedup-wanted")
     one_row = described.select("doc_id", "set_name").join(wanted.select("set_name", "first_id", "class"), "set_name").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id").distinct()
     texts = rows.join(one_row, rows["doc_id"].eqNullSafe(one_row["doc_id"]), "left_semi")
     sets = texts.select("text").mapInArrow(_full_sets, "set_name binary, hashes binary")
     sets = staged(sets.join(wanted.select("set_name", "class", "sketch"), "set_name").dropDuplicates(["class"]).select("class", "sketch", "hashes"), "dedup-sets")
 
+    flat = sets.select("class", "hashes").mapInArrow(_shingles, "class long, shingle long")
+    alone = flat.groupBy("shingle").agg(F.min("class").alias("class"), F.count("*").alias("_k")).where("_k = 1").groupBy("class").agg(F.count("*").alias("_alone"))
+    rest = F.col("n") - F.coalesce("_alone", F.lit(0))
+    alive = wanted.select("class", "n").join(alone, "class", "left").select("class", "n", rest.alias("rest")).where(f"100 * rest >= {percent} * n")
+    living = spread.drop("n").join(alive, "class")
+    shared = living.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1").select("bucket")
+    members = staged(living.join(shared, "bucket"), "dedup-members")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(f"100 * least(xn, yn) >= {percent} * greatest(xn, yn)").select("x", "y").distinct()
+        pairs = pairs.select("x", "y").distinct()
         side = lambda name, what: sets.select(F.col("class").alias(name), F.col(what).alias(f"{name}_{what}"))
         near = pairs.join(side("y", "sketch"), "y").join(side("x", "sketch"), "x").select("x", "y", "x_sketch", "y_sketch").mapInArrow(_agree, "x long, y long")
         full = near.join(side("y", "hashes"), "y").join(side("x", "hashes"), "x")
         return staged(full.select("x", "y", F.col("x_hashes").alias("x_set"), F.col("y_hashes").alias("y_set")).mapInArrow(_confirm(percent), "x long, y long"), "dedup-links")
 
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("p"))
-    star = members.join(pivots, "bucket").where("class <> p.class")
-    links = confirmed(star.select(F.col("p.class").alias("x"), F.col("class").alias("y"), F.col("p.n").alias("xn"), F.col("n").alias("yn")))
+    reach = lambda n, r: f"100 * least(rest, {r}) >= {percent} * (n + {n} - least(rest, {r}))"
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("class", "n", "rest")).alias("p"))
+    starred = members.join(pivots, "bucket")
+    links = confirmed(starred.where("class <> p.class and " + reach("p.n", "p.rest")).select(F.col("p.class").alias("x"), F.col("class").alias("y")))
     groups = components(links)
-    left = star.select("bucket", "class", "n")
+    left = starred.where("class <> p.class").select("bucket", "class", "n", "rest")
     while True:
         # what is left are members of buckets with several components, without the pivots
-        left = left.join(groups, left["class"] == groups["node"], "left").select("bucket", "class", "n", F.coalesce("component", "class").alias("component"))
+        left = left.join(groups, left["class"] == groups["node"], "left").select("bucket", "class", "n", "rest", F.coalesce("component", "class").alias("component"))
         parts = left.groupBy("bucket", "component").agg(F.count("*").alias("size"))
         largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("most.component").alias("main"))
         left = staged(left.join(largest, "bucket"), "dedup-left")
@@ -207,14 +228,14 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
             break
         outside = Window.partitionBy("bucket").orderBy("class")
         pivots = left.where("component <> main").withColumn("turn", F.row_number().over(outside)).where(F.col("turn") <= PIVOTS)
-        pivots = staged(pivots.select("bucket", F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")), "dedup-pivots")
+        pivots = staged(pivots.select("bucket", F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest"), F.col("component").alias("pivot_component")), "dedup-pivots")
         marked = left.join(pivots.select("bucket", F.col("pivot").alias("class"), F.lit(True).alias("is_pivot")), ["bucket", "class"], "left")
-        pairs = marked.join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot)")
-        found = confirmed(pairs.select(F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y"), F.col("n").alias("xn"), F.col("pivot_n").alias("yn")))
+        pairs = marked.join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot) and " + reach("pivot_n", "pivot_rest"))
+        found = confirmed(pairs.select(F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")))
         if found.limit(1).count():
             links = staged(links.union(found), "dedup-links")
             groups = components(links)
-        left = marked.where("is_pivot is null").select("bucket", "class", "n")
+        left = marked.where("is_pivot is null").select("bucket", "class", "n", "rest")
 
     named = classes.select("class", "set_name", "first_id").join(groups, F.col("class") == F.col("node"), "left").select("set_name", "first_id", F.coalesce("component", "class").alias("component"))
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
