@@ -14,11 +14,12 @@ outside the bucket's largest component, at most ``PIVOTS`` of them a round, beco
 and are exhausted then. So every pair of one bucket is either tested or already in one component when the rounds end, and
 pairs within a component are never made.
 
-Tests. Shingles that only one candidate class holds are counted: n of them aside, a class can share no more than the rest
-with any other. Classes that can't reach the similarity with anything leave, and pairs are made only if the smaller rest would
-do. Such bounds are exact; they clear crowds of texts that each differ from a common original by more than the threshold
-allows. Then pairs go whose sketches agree in fewer than ``AGREE`` of 125
-ranges (at 0.85 that is eight standard deviations away, far rarer than missing all bands); the rest is confirmed on full sets.
+Tests. Candidate classes' shingles are counted over all of them. What a class holds alone it shares with none: n of these
+aside, a pair can share no more than the rest, and classes that can't reach the similarity with anything leave. Of two sets
+that similar, the (1 - similarity) n + 1 rarest shingles of each, in one order of all shingles, must have one in common, so
+pivots meet only members with which they share one. Such bounds are exact; they clear crowds of texts that each differ from a
+common original by more than the threshold allows. Then pairs go whose sketches agree in fewer than ``AGREE`` of 125 ranges
+(at 0.85 that is eight standard deviations away, far rarer than missing all bands); the rest is confirmed on full sets.
 
 Edge cases: null and word-less texts have empty sets, n_shingles 0, and are linked with nothing; rows with null ids
 belong to their class, but don't name it (a class of null ids only has component_id null and is kept); repeated rows are
@@ -198,10 +199,14 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     sets = staged(sets.join(wanted.select("set_name", "class", "sketch"), "set_name").dropDuplicates(["class"]).select("class", "sketch", "hashes"), "dedup-sets")
 
     flat = sets.select("class", "hashes").mapInArrow(_shingles, "class long, shingle long")
-    alone = flat.groupBy("shingle").agg(F.min("class").alias("class"), F.count("*").alias("_k")).where("_k = 1").groupBy("class").agg(F.count("*").alias("_alone"))
-    rest = F.col("n") - F.coalesce("_alone", F.lit(0))
-    alive = wanted.select("class", "n").join(alone, "class", "left").select("class", "n", rest.alias("rest")).where(f"100 * rest >= {percent} * n")
-    living = spread.drop("n").join(alive, "class")
+    held = flat.groupBy("shingle").agg(F.count("*").alias("df"))
+    # a class's list is one document's set
+    ranked = flat.join(held, "shingle").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("_s"))
+    rarest = F.slice("_s", 1, F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1)
+    rest = F.size(F.filter("_s", lambda x: x["df"] > 1))
+    alive = wanted.select("class", "n").join(ranked, "class").select("class", "n", rest.alias("rest"), F.transform(rarest, lambda x: x["shingle"]).alias("rare"))
+    alive = staged(alive.where(f"100 * rest >= {percent} * n"), "dedup-alive")
+    living = spread.drop("n").join(alive.drop("rare"), "class")
     shared = living.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1").select("bucket")
     members = staged(living.join(shared, "bucket"), "dedup-members")
 
@@ -217,6 +222,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     starred = members.join(pivots, "bucket")
     links = confirmed(starred.where("class <> p.class and " + reach("p.n", "p.rest")).select(F.col("p.class").alias("x"), F.col("class").alias("y")))
     groups = components(links)
+    rare = alive.select("class", "rare")
     left = starred.where("class <> p.class").select("bucket", "class", "n", "rest")
     while True:
         # what is left are members of buckets with several components, without the pivots
@@ -228,9 +234,9 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
             break
         outside = Window.partitionBy("bucket").orderBy("class")
         pivots = left.where("component <> main").withColumn("turn", F.row_number().over(outside)).where(F.col("turn") <= PIVOTS)
-        pivots = staged(pivots.select("bucket", F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest"), F.col("component").alias("pivot_component")), "dedup-pivots")
+        pivots = staged(pivots.join(rare, "class").select("bucket", F.col("rare").alias("pivot_rare"), F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest"), F.col("component").alias("pivot_component")), "dedup-pivots")
         marked = left.join(pivots.select("bucket", F.col("pivot").alias("class"), F.lit(True).alias("is_pivot")), ["bucket", "class"], "left")
-        pairs = marked.join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot) and " + reach("pivot_n", "pivot_rest"))
+        pairs = marked.join(rare, "class").join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot) and arrays_overlap(rare, pivot_rare) and " + reach("pivot_n", "pivot_rest"))
         found = confirmed(pairs.select(F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")))
         if found.limit(1).count():
             links = staged(links.union(found), "dedup-links")
