@@ -42,7 +42,7 @@ def same():
     """Whether two pandas frames hold the same rows, columns by name, numbers to nine places."""
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
             return ""
         if isinstance(v, float) or type(v).__name__.startswith("float"):
             return repr(round(float(v), 9) + 0.0)
