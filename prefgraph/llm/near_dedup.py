@@ -16,9 +16,10 @@ pairs within a component are never made.
 
 Tests. Shingles that only one candidate class holds are counted: n of them aside, a class can share no more than the rest
 with any other. Classes that can't reach the similarity with anything leave, and pairs are made only if the smaller rest would
-do. Such bounds are exact; they clear crowds of texts that each differ from a common original by more than the threshold
-allows. Then pairs go whose sketches agree in fewer than ``AGREE`` of 125
-ranges (at 0.85 that is eight standard deviations away, far rarer than missing all bands); the rest is confirmed on full sets.
+do; such bounds are exact. Then pairs go that agree in fewer than ``AGREE`` of ``BITS`` one-bit minima: at 0.85 the mean is 947 and
+the limit 5.3 standard deviations below it, so that a link is lost less often than by sharing no band. That test is made where
+pairs are, so crowds of texts that each differ from a common original by more than the threshold allows give no pairs. The
+rest is confirmed on full sets.
 
 Edge cases: null and word-less texts have empty sets, n_shingles 0, and are linked with nothing; rows with null ids
 belong to their class, but don't name it (a class of null ids only has component_id null and is kept); repeated rows are
@@ -40,7 +41,7 @@ from prefgraph.llm.common import shared_dir, ship_package, staged
 
 SHINGLE = 5
 BINS, BANDS, ROWS = 125, 25, 5
-PIVOTS, AGREE = 256, 75
+PIVOTS, BITS, AGREE = 256, 1024, 902
 _TRIES = 2048
 
 
@@ -65,25 +66,24 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-_edges = (np.arange(1, BINS, dtype=np.float64) * (2.0**64 / BINS)).astype(np.uint64)
-_order: np.ndarray | None = None
+_orders: dict[int, np.ndarray] = {}
 
 
-def _borrow_order() -> np.ndarray:
+def _borrow_order(bins: int) -> np.ndarray:
     """For each range, the fixed random order in which it asks others."""
-    global _order
-    if _order is None:
-        _order = np.random.Generator(np.random.PCG64(20240229)).integers(0, BINS, (BINS, _TRIES), dtype=np.int16)
-    return _order
+    if bins not in _orders:
+        _orders[bins] = np.random.Generator(np.random.PCG64(20240229)).integers(0, bins, (bins, _TRIES), dtype=np.int16)
+    return _orders[bins]
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
+def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Least hash of each range, empty ranges filled by optimal densification; for a set that isn't empty."""
-    cuts = np.concatenate(([0], np.searchsorted(hashes, _edges), [len(hashes)]))
+    edges = (np.arange(1, bins, dtype=np.float64) * (2.0**64 / bins)).astype(np.uint64)
+    cuts = np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
     filled = cuts[:-1] < cuts[1:]
     least = hashes[np.minimum(cuts[:-1], len(hashes) - 1)]
     empty = np.flatnonzero(~filled)
-    order, at, step = _borrow_order(), 0, 16
+    order, at, step = _borrow_order(bins), 0, 16
     while len(empty) and at < _TRIES:
         asked = order[empty, at : at + step]
         ok = filled[asked]
@@ -95,6 +95,12 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def one_bits(hashes: np.ndarray) -> list[int]:
+    """One bit of each of ``BITS`` minima, as longs."""
+    low = _mixed(sketch(hashes, BITS) + np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(low.astype(np.uint8)).view(np.int64).tolist()
+
+
 def band_keys(parts: np.ndarray) -> np.ndarray:
     """One bucket key per band of a sketch; the band is part of the key."""
     parts = parts.reshape(BANDS, ROWS)
@@ -106,17 +112,15 @@ def band_keys(parts: np.ndarray) -> np.ndarray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, names, bands, digests = [], [], [], []
+        sizes, names, bands = [], [], []
         for text in batch.column("text").to_pylist():
             hashes = shingle_set(text)
             sizes.append(len(hashes))
             names.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-            parts = sketch(hashes) if len(hashes) else None
-            bands.append(None if parts is None else band_keys(parts))
-            digests.append(None if parts is None else (parts & np.uint64(255)).astype(np.uint8).tobytes())
+            bands.append(band_keys(sketch(hashes)) if len(hashes) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(digests, pa.binary())],
-            ["doc_id", "n_shingles", "set_name", "bands", "sketch"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "set_name", "bands"],
         )
 
 
@@ -133,14 +137,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(text) for text in batch.column("text").to_pylist()]
         names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_name", "hashes"])
-
-
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x_sketch", "y_sketch"))
-            yield batch.select(["x", "y"]).filter(pa.array((x == y).sum(axis=1) >= AGREE, pa.bool_()))
+        bits = [one_bits(s) if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_name", "bits", "hashes"])
 
 
 def _confirm(percent: int):
@@ -179,11 +177,11 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = staged(rows.mapInArrow(_describe, "doc_id long, n_shingles long, set_name binary, bands array<long>, sketch binary"), "dedup-rows")
+    described = staged(rows.mapInArrow(_describe, "doc_id long, n_shingles long, set_name binary, bands array<long>"), "dedup-rows")
     classes = staged(
         described.where("n_shingles > 0")
         .groupBy("set_name")
-        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .withColumn("class", F.monotonically_increasing_id()),
         "dedup-classes",
     )
@@ -194,8 +192,8 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     wanted = staged(classes.drop("bands").join(wanted_ids, "class", "left_semi"), "dedup-wanted")
     one_row = described.select("doc_id", "set_name").join(wanted.select("set_name", "first_id", "class"), "set_name").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id").distinct()
     texts = rows.join(one_row, rows["doc_id"].eqNullSafe(one_row["doc_id"]), "left_semi")
-    sets = texts.select("text").mapInArrow(_full_sets, "set_name binary, hashes binary")
-    sets = staged(sets.join(wanted.select("set_name", "class", "sketch"), "set_name").dropDuplicates(["class"]).select("class", "sketch", "hashes"), "dedup-sets")
+    sets = texts.select("text").mapInArrow(_full_sets, "set_name binary, bits array<long>, hashes binary")
+    sets = staged(sets.join(wanted.select("set_name", "class"), "set_name").dropDuplicates(["class"]).select("class", "bits", "hashes"), "dedup-sets")
 
     flat = sets.select("class", "hashes").mapInArrow(_shingles, "class long, shingle long")
     alone = flat.groupBy("shingle").agg(F.min("class").alias("class"), F.count("*").alias("_k")).where("_k = 1").groupBy("class").agg(F.count("*").alias("_alone"))
@@ -205,10 +203,12 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     shared = living.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1").select("bucket")
     members = staged(living.join(shared, "bucket"), "dedup-members")
 
+    agree = lambda a, b: " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(BITS // 64)) + f" <= {BITS - AGREE}"
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select("x", "y").distinct()
         side = lambda name, what: sets.select(F.col("class").alias(name), F.col(what).alias(f"{name}_{what}"))
-        near = pairs.join(side("y", "sketch"), "y").join(side("x", "sketch"), "x").select("x", "y", "x_sketch", "y_sketch").mapInArrow(_agree, "x long, y long")
+        near = pairs.join(side("y", "bits"), "y").join(side("x", "bits"), "x").where(agree("x_bits", "y_bits")).select("x", "y")
         full = near.join(side("y", "hashes"), "y").join(side("x", "hashes"), "x")
         return staged(full.select("x", "y", F.col("x_hashes").alias("x_set"), F.col("y_hashes").alias("y_set")).mapInArrow(_confirm(percent), "x long, y long"), "dedup-links")
 
@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     links = confirmed(starred.where("class <> p.class and " + reach("p.n", "p.rest")).select(F.col("p.class").alias("x"), F.col("class").alias("y")))
     groups = components(links)
     left = starred.where("class <> p.class").select("bucket", "class", "n", "rest")
+    bits = sets.select("class", "bits")
     while True:
         # what is left are members of buckets with several components, without the pivots
         left = left.join(groups, left["class"] == groups["node"], "left").select("bucket", "class", "n", "rest", F.coalesce("component", "class").alias("component"))
@@ -228,9 +229,9 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
             break
         outside = Window.partitionBy("bucket").orderBy("class")
         pivots = left.where("component <> main").withColumn("turn", F.row_number().over(outside)).where(F.col("turn") <= PIVOTS)
-        pivots = staged(pivots.select("bucket", F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest"), F.col("component").alias("pivot_component")), "dedup-pivots")
+        pivots = staged(pivots.join(bits, "class").select("bucket", F.col("bits").alias("pivot_bits"), F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest"), F.col("component").alias("pivot_component")), "dedup-pivots")
         marked = left.join(pivots.select("bucket", F.col("pivot").alias("class"), F.lit(True).alias("is_pivot")), ["bucket", "class"], "left")
-        pairs = marked.join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot) and " + reach("pivot_n", "pivot_rest"))
+        pairs = marked.join(bits, "class").join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot) and " + reach("pivot_n", "pivot_rest") + " and " + agree("bits", "pivot_bits"))
         found = confirmed(pairs.select(F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")))
         if found.limit(1).count():
             links = staged(links.union(found), "dedup-links")
