@@ -11,7 +11,7 @@ keys. At the similarity 0.85 a pair shares no bucket with probability 0.5563 **
 Edges. A bucket's members are paired with one pivot, the smallest, never with each other: a star. A member that the pivot
 didn't link can still be near another one, so buckets that hold more than one component after a round go on: the members
 outside the bucket's largest component, at most ``PIVOTS`` of them a round, become pivots for the members of other components,
-and are exhausted then. So every pair of one bucket is either tested or already in one component when the rounds end, and
+and are exhausted then; a pair is only made in the first bucket that it shares. So every pair of one bucket is either tested or already in one component when the rounds end, and
 pairs within a component are never made.
 
 Tests. Shingles that only one candidate class holds are counted: n of them aside, a class can share no more than the rest
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     links = confirmed(starred.where("class <> p.class and " + reach("p.n", "p.rest")).select(F.col("p.class").alias("x"), F.col("class").alias("y")))
     groups = components(links)
     left = starred.where("class <> p.class").select("bucket", "class", "n", "rest")
-    bits = sets.select("class", "bits")
+    bits = sets.select("class", "bits").join(classes.select("class", "bands"), "class")
     while True:
         # what is left are members of buckets with several components, without the pivots
         left = left.join(groups, left["class"] == groups["node"], "left").select("bucket", "class", "n", "rest", F.coalesce("component", "class").alias("component"))
@@ -229,9 +229,9 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
             break
         outside = Window.partitionBy("bucket").orderBy("class")
         pivots = left.where("component <> main").withColumn("turn", F.row_number().over(outside)).where(F.col("turn") <= PIVOTS)
-        pivots = staged(pivots.join(bits, "class").select("bucket", F.col("bits").alias("pivot_bits"), F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest"), F.col("component").alias("pivot_component")), "dedup-pivots")
+        pivots = staged(pivots.join(bits, "class").select("bucket", F.col("bits").alias("pivot_bits"), F.col("bands").alias("pivot_bands"), F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest"), F.col("component").alias("pivot_component")), "dedup-pivots")
         marked = left.join(pivots.select("bucket", F.col("pivot").alias("class"), F.lit(True).alias("is_pivot")), ["bucket", "class"], "left")
-        pairs = marked.join(bits, "class").join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot) and " + reach("pivot_n", "pivot_rest") + " and " + agree("bits", "pivot_bits"))
+        pairs = marked.join(bits, "class").join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot) and " + reach("pivot_n", "pivot_rest") + " and " + agree("bits", "pivot_bits") + " and array_intersect(pivot_bands, bands)[0] = bucket")
         found = confirmed(pairs.select(F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")))
         if found.limit(1).count():
             links = staged(links.union(found), "dedup-links")
