@@ -11,6 +11,7 @@ from prefgraph.sources import scans
 from prefgraph.sources.fixtures import CHARACTER_ROWS, DIMENSION_ROWS, derived, plain
 
 MIN_SCENARIOS, MIN_USERS = 8, 20
+#: The alternatives of the queries that have SQL, which names them. Queries without SQL play all alternatives of the data.
 BRANDS = [f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6)][:8]
 DIMS = ["d_intervention", "d_number", "d_law", "d_status", "d_species", "d_age"]
 #: Twelve profiles of -1 and 1 from the binary digits of multiples of 37.
@@ -30,6 +31,19 @@ def country_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.wins(country_users(spark, sf_dir), len(BRANDS), ["country"])
 
 
+def full_country_wins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Country tournaments over all alternatives of the data, and how many those are."""
+    rows = beta(spark, sf_dir)
+    names = t.alternatives_of(rows)
+    users = t.densified(rows, names).join(t.eligible_groups(rows, MIN_USERS).select("country"), "country")
+    return t.wins(users, len(names), ["country"]), len(names)
+
+
+def full_betti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, n = full_country_wins(spark, sf_dir)
+    return t.betti_1(w, ["country"], n)
+
+
 def latent_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = t.latent_beta(derived(spark, sf_dir, DIMENSION_ROWS), DIMS, 8, 4)
     return t.wins(t.utilities(users, PROFILES), len(PROFILES), ["country"])
@@ -46,11 +60,12 @@ def global_tournament(spark, sf_dir):
 
 
 def invariants(spark, sf_dir):
-    w = country_wins(spark, sf_dir)
+    """All invariants of every country's tournament over all alternatives."""
+    w, n = full_country_wins(spark, sf_dir)
     strict = t.strict_cycles(w, ["country"]).select("country", F.col("triples").alias("strict_triples"), F.col("cycles").alias("strict_cycles"))
     rho = graph_projection(w.where("support > 0"), ["country"]).select("country", F.round("rho", 5).alias("rho"))
-    size = w.groupBy("country").agg((F.count("*") == len(BRANDS) * (len(BRANDS) - 1) // 2).alias("complete"))
-    out = t.condorcet_count(w, ["country"], len(BRANDS)).join(t.odd_parity(w, ["country"]), "country").join(size, "country").join(rho, "country", "left").join(strict, "country", "left")
+    size = w.groupBy("country").agg((F.count("*") == n * (n - 1) // 2).alias("complete"))
+    out = t.condorcet_count(w, ["country"], n).join(t.odd_parity(w, ["country"]), "country").join(size, "country").join(rho, "country", "left").join(strict, "country", "left")
     return out.select("country", "complete", "cycles", "triples", F.round("fraction", 6).alias("fraction"), "odd_parity", "obstructed", "rho", F.coalesce("strict_triples", F.lit(0)).alias("strict_triples"), F.coalesce("strict_cycles", F.lit(0)).alias("strict_cycles"))
 
 
@@ -84,7 +99,7 @@ QUERIES = {
     "obstructed_groups": obstructed,
     "latent_beta": lambda s, d: t.latent_beta(derived(s, d, DIMENSION_ROWS), DIMS, 8, 4).select("user_id", "country", *[F.round(F.get("beta", F.lit(k)), 6).alias(n) for k, n in enumerate(DIMS)]),
     "latent_majority_cycles": lambda s, d: t.strict_cycles(latent_wins(s, d), ["country"]),
-    "betti1": lambda s, d: t.betti_1(country_wins(s, d), ["country"], len(BRANDS)),
+    "betti1": full_betti,
 }
 
 BETA_SQL = f"""rows0 as ({plain(CHARACTER_ROWS)}), u as (select user_id, sum(saved)::bigint as n_scenarios, arg_min(country, row_key) as country from rows0 group by 1 having sum(saved) >= {MIN_SCENARIOS}),

@@ -13,6 +13,7 @@ from prefgraph.operators import cycles, models, projection, resample, summaries
 from prefgraph.operators import tournament as t
 from prefgraph.operators.flatten import observations, with_signs
 from prefgraph.operators.pairs import opening_pairs
+from prefgraph.plans import tournaments
 from prefgraph.sources import scans
 
 
@@ -176,3 +177,24 @@ def test_shards_and_scopes(spark, tmp_path):
     scans.write_scoped(df, str(tmp_path / "o"), "scope", "csv")
     assert sorted(p.name for p in (tmp_path / "o").glob("scope=*")) == ["scope=a", "scope=b"]
     assert "| 1 | a |" in scans.markdown(df)
+
+
+def test_invariants_play_every_alternative(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    names = [f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6)]
+    rows = [(u, "FR", int(rng.random() < 0.7), names[rng.integers(25)], int(rng.integers(1, 4)), 100 * u + k) for u in range(30) for k in range(40)]
+    frame = spark.createDataFrame(rows, "user_id int, country string, saved int, alternative string, cnt long, row_key long")
+    monkeypatch.setattr(tournaments, "derived", lambda *_: frame)
+    beta = np.zeros((30, 25))
+    for u, _, saved, name, cnt, _ in rows:
+        beta[u, names.index(name)] += cnt if saved else -cnt
+    d = beta[:, :, None] - beta[:, None, :]
+    more = (d > 0).sum(0) - (d < 0).sum(0)
+    beats = lambda i, j: more[i, j] >= 0 if i < j else more[j, i] < 0
+    cyclic = {c for c in combinations(range(25), 3) if beats(c[0], c[1]) == beats(c[1], c[2]) == beats(c[2], c[0])}
+    odd = sum(sum(c in cyclic for c in combinations(q, 3)) % 2 for q in combinations(range(25), 4))
+    got = tournaments.invariants(spark, "").first()
+    assert (got["complete"], got["triples"], got["cycles"], got["odd_parity"]) == (True, 2300, len(cyclic), odd) and odd > 0
+    assert tournaments.full_betti(spark, "").first()["acyclic"] == 2300 - len(cyclic)
+    monkeypatch.setattr(tournaments, "derived", lambda *_: frame.limit(0))
+    assert tournaments.invariants(spark, "").count() == 0
