@@ -20,8 +20,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates; of rows that repeat it, one."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    """The document with the smallest id of each component of near duplicates at 0.8; of rows that repeat it, one."""
+    kept = near_dedup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
     return once.dropDuplicates(["doc_id", "text"])
 

@@ -4,9 +4,10 @@ Sets. Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's se
 five-word shingles, or of its whole sequence if it has fewer words. Rows with equal sets form one class, and all later
 work is on classes.
 
-Candidates. The sorted hashes are cut into ``BINS`` equal ranges, each range's least hash is its sketch, and an empty
-range borrows from the first filled one in its own fixed random order. ``BANDS`` bands of ``ROWS`` ranges give bucket
-keys. At the similarity 0.85 a pair shares no bucket with probability 0.5563 ** 25 = 4e-7.
+Candidates. The sorted hashes are cut into equal ranges, each range's least hash is its sketch, and an empty
+range borrows from the first filled one in its own fixed random order. Bands of ``ROWS`` ranges give bucket
+keys; there are as many (``bands_for``) as it takes for a pair at the threshold to share no bucket with probability ``MISSED`` at most:
+25 at 0.85 (0.5563 ** 25 = 4e-7), 37 at 0.80.
 
 Edges. A bucket's members are paired with one pivot, the smallest, never with each other: a star. A member that the pivot
 didn't link can still be near another one, so buckets that hold more than one component after a round go on: the members
@@ -16,8 +17,9 @@ pairs within a component are never made.
 
 Tests. Shingles that only one candidate class holds are counted: n of them aside, a class can share no more than the rest
 with any other. Classes that can't reach the similarity with anything leave, and pairs are made only if the smaller rest would
-do; such bounds are exact. Then pairs go that agree in fewer than ``AGREE`` of ``BITS`` one-bit minima: at 0.85 the mean is 947 and
-the limit 5.3 standard deviations below it, so that a link is lost less often than by sharing no band. That test is made where
+do; such bounds are exact. Then pairs go that agree in fewer than ``agree_for`` of ``BITS`` one-bit minima: the limit is 5.3 standard
+deviations below the mean at the threshold (902 below 947 at 0.85, 870 below 922 at 0.80), so that a link is lost less often than by
+sharing no band. That test is made where
 pairs are, so crowds of texts that each differ from a common original by more than the threshold allows give no pairs. The
 rest is confirmed on full sets.
 
@@ -29,6 +31,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +43,25 @@ from pyspark.sql import functions as F
 from prefgraph.llm.common import shared_dir, ship_package, staged
 
 SHINGLE = 5
-BINS, BANDS, ROWS = 125, 25, 5
-PIVOTS, BITS, AGREE = 256, 1024, 902
+BINS, ROWS = 125, 5
+PIVOTS, BITS = 256, 1024
+#: How often a pair at the threshold shares no band, at most, and standard deviations from the mean to the limit of one-bit minima.
+MISSED, DEVIATIONS = 4.5e-7, 5.3
 _TRIES = 2048
 
 
+def bands_for(percent: int) -> int:
+    """Bands that leave a pair at the threshold without a common one with probability ``MISSED`` at most."""
+    s = percent / 100
+    return 1 if s >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(s**ROWS)))
+
+
+def agree_for(percent: int) -> int:
+    """One-bit minima in which a pair at the threshold agrees but for ``DEVIATIONS`` standard deviations."""
+    p = (1 + percent / 100) / 2
+    return math.floor(BITS * p - DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -103,25 +120,30 @@ def one_bits(hashes: np.ndarray) -> list[int]:
 
 def band_keys(parts: np.ndarray) -> np.ndarray:
     """One bucket key per band of a sketch; the band is part of the key."""
-    parts = parts.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    parts = parts.reshape(-1, ROWS)
+    key = np.arange(1, len(parts) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for j in range(ROWS):
         key = _mixed(key ^ parts[:, j]) + np.uint64(0x9E3779B97F4A7C15)
     return key.view(np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, names, bands = [], [], []
-        for text in batch.column("text").to_pylist():
-            hashes = shingle_set(text)
-            sizes.append(len(hashes))
-            names.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-            bands.append(band_keys(sketch(hashes)) if len(hashes) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_name", "bands"],
-        )
+def _describe(percent: int):
+    bins = bands_for(percent) * ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, names, bands = [], [], []
+            for text in batch.column("text").to_pylist():
+                hashes = shingle_set(text)
+                sizes.append(len(hashes))
+                names.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
+                bands.append(band_keys(sketch(hashes, bins)) if len(hashes) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_name", "bands"],
+            )
+
+    return run
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +199,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = staged(rows.mapInArrow(_describe, "doc_id long, n_shingles long, set_name binary, bands array<long>"), "dedup-rows")
+    described = staged(rows.mapInArrow(_describe(percent), "doc_id long, n_shingles long, set_name binary, bands array<long>"), "dedup-rows")
     classes = staged(
         described.where("n_shingles > 0")
         .groupBy("set_name")
@@ -203,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     shared = living.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1").select("bucket")
     members = staged(living.join(shared, "bucket"), "dedup-members")
 
-    agree = lambda a, b: " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(BITS // 64)) + f" <= {BITS - AGREE}"
+    agree = lambda a, b: " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(BITS // 64)) + f" <= {BITS - agree_for(percent)}"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select("x", "y").distinct()

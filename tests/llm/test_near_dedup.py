@@ -76,3 +76,37 @@ def test_sketches_agree_as_often_as_sets():
         a, b = np.unique(u[:55]), np.unique(u[5:])
         agree.append((near_dedup.sketch(a) == near_dedup.sketch(b)).mean())
     assert abs(np.mean(agree) - 50 / 60) < 0.03
+
+
+def test_lower_thresholds_find_all_links(spark):
+    rng = random.Random(6)
+    rows = [(k, t) for k, t in enumerate(crowd(rng, 80, 3))]
+    for g in range(60):
+        w = [f"g{g}x{k}" for k in range(60)]
+        rows += [(1000 + 2 * g, " ".join(w)), (1001 + 2 * g, " ".join([*w[:30], "other", *w[31:]]))]  # 51 of 61 shingles
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 70):
+        got = near_dedup.near_duplicates(frame, percent=percent).collect()
+        assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in got) == brute(rows, percent)
+
+
+def test_limits_follow_the_threshold():
+    assert [near_dedup.bands_for(p) for p in (85, 80, 100)] == [25, 37, 1] and near_dedup.agree_for(85) == 902
+    rng = np.random.default_rng(5)
+    for percent in (70, 80, 85):
+        n, lost = 2000, 0
+        both = n * percent // 100
+        for _ in range(100):
+            u = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+            a, b = (np.sort(x) for x in (u[: both + (n - both) // 2], np.concatenate([u[:both], u[both + (n - both) // 2 :]])))
+            x, y = (np.array(near_dedup.one_bits(h), np.int64).view(np.uint8) for h in (a, b))
+            lost += near_dedup.BITS - np.unpackbits(x ^ y).sum() < near_dedup.agree_for(percent)
+        assert lost == 0
+
+
+def test_pipeline_drops_copies_from_four_fifths_on(spark):
+    import corpus_pipeline
+
+    w = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join([*w[:30], "other", *w[31:]])), (3, "quite another text")], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.without_copies(spark, docs, "").collect()} == {1, 3}
