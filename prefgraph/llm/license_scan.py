@@ -1,7 +1,9 @@
 """License scans: patience alignment of texts with license templates.
 
 Words are ``\\w+`` in lower case. Where a text shares two neighbouring words with a template, the distance between the two
-places is a diagonal; near diagonals make one window of the text, as long as the template and a margin. In a window, words that
+places is a diagonal. Each dense diagonal makes a window of the text, as long as the template and a margin, once cut at the
+neighbouring copies and once not; dense diagonals nearer than the template's length, and chains of near diagonals, make wider windows
+for copies with insertions. Findings of windows that are wider or not cut don't count if they run over several copies. In a window, words that
 occur once on both sides are anchors, the longest increasing run of them is kept, and the gaps between anchors are aligned
 alike. Coverage is the share of the template's words that are aligned. A window counts from ``LEAST`` on; of windows that
 overlap in the text the one with the higher coverage is kept (then the longer template, then the name).
@@ -103,6 +105,19 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _runs_over(f: dict, single: list[dict], ends: list[int]) -> bool:
+    """Whether a finding meets two disjoint ones of a list sorted by ``ends``."""
+    stop = None
+    for g in single[bisect.bisect_right(ends, f["first"]) :]:
+        if g["first"] < f["stop"] and (stop is None or g["first"] >= stop):
+            if stop is not None:
+                return True
+            stop = g["stop"]
+        elif g["first"] >= f["stop"]:
+            return False
+    return False
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, least: float = LEAST):
         self.templates, self.least = {n: words(t) for n, t in templates.items()}, least
@@ -112,6 +127,35 @@ class Scanner:
                 self.seeds[pair].append((name, k))
         self.first = {a for a, _ in self.seeds}
 
+    def windows(self, starts: list[int], size: int) -> dict[tuple[int, int], int]:
+        """Windows (from, to) of a text by sorted diagonals, with 0 for one diagonal's, cut at the neighbouring copies, 1 for several
+        diagonals', cut alike, and 2 for those that aren't cut."""
+        margin, apart = max(2, size // 8), self.least * size
+        near = lambda s: bisect.bisect_right(starts, s + margin) - bisect.bisect_left(starts, s - margin)
+        peaks: list[int] = []
+        for s, _ in sorted(Counter(starts).items(), key=lambda c: (-c[1], c[0])):
+            k = bisect.bisect_left(peaks, s)
+            if near(s) >= size // 4 and all(abs(s - p) > margin for p in peaks[max(0, k - 1) : k + 1]):
+                peaks.insert(k, s)
+        out: dict[tuple[int, int], int] = {}
+        for level in (0, 1):
+            for s in peaks:
+                last = peaks[bisect.bisect_left(peaks, s + size) - 1] if level else s
+                before, after = bisect.bisect_right(peaks, s - apart), bisect.bisect_left(peaks, last + apart)
+                a = max(s - margin, min(peaks[before - 1] + size, s)) if before else s - margin
+                b = min(last + size + margin, peaks[after]) if after < len(peaks) else last + size + margin
+                out.setdefault((max(0, a), b), level)
+        for s in peaks:
+            out.setdefault((max(0, s - margin), s + size + margin), 2)
+        group: list[int] = []
+        for s in [*starts, None]:
+            if group and (s is None or s - group[-1] > margin):
+                out.setdefault((max(0, group[0] - margin), group[-1] + size + margin), 2)
+                group = []
+            if s is not None:
+                group.append(s)
+        return {w: level for w, level in out.items() if w[1] > 0}
+
     def find(self, text: str | None) -> list[dict]:
         """Findings (license, coverage, first, stop: places of words) in the order of the text."""
         ws = words(text)
@@ -123,18 +167,17 @@ class Scanner:
                     diagonals[name].append(i - k)
         found = []
         for name, starts in diagonals.items():
-            template = self.templates[name]
-            margin, group = max(2, len(template) // 8), []
-            for s in [*sorted(starts), None]:
-                if group and (s is None or s - group[-1] > margin):
-                    base = max(0, group[0] - margin)
-                    window = ws[base : group[-1] + len(template) + margin]
-                    pairs = align(window, template)
-                    if len(pairs) >= self.least * len(template):
-                        found.append({"license": name, "coverage": len(pairs) / len(template), "first": base + pairs[0][0], "stop": base + pairs[-1][0] + 1})
-                    group = []
-                if s is not None:
-                    group.append(s)
+            template, by_level = self.templates[name], ([], [], [])
+            for (a, b), level in self.windows(sorted(starts), len(template)).items():
+                pairs = align(ws[a:b], template)
+                if len(pairs) >= self.least * len(template):
+                    f = {"license": name, "coverage": len(pairs) / len(template), "first": a + pairs[0][0], "stop": a + pairs[-1][0] + 1}
+                    by_level[level].append(f)
+            copies: list[dict] = []
+            for level in by_level:
+                ends = [f["stop"] for f in copies]
+                copies = sorted(copies + [f for f in level if not _runs_over(f, copies, ends)], key=lambda f: f["stop"])
+            found += copies
         found.sort(key=lambda f: (-f["coverage"], -len(self.templates[f["license"]]), f["license"], f["first"]))
         kept: list[dict] = []
         for f in found:

@@ -140,6 +140,32 @@ def test_licenses(spark):
     assert license_scan.license_scan(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edited", [False, True])
+@pytest.mark.parametrize("name", license_scan.TEMPLATES)
+def test_every_copy_of_a_license_is_found(name, edited):
+    rng, s = random.Random(name), license_scan.Scanner()
+    template = s.templates[name]
+    for n in (1, 2, 3, 5):
+        for gap in (0, 1, 3, 5, 15, 30, 60):
+            text, places = rng.choices(WORDS, k=80), []
+            for _ in range(n):
+                copy = list(template)
+                if edited and len(copy) > 20:
+                    for k in [4, *rng.sample(range(1, len(copy) - 1), len(copy) // 20)]:  # the fifth: in Apache-2.0, too
+                        copy[k] = "changed"
+                places.append((len(text), len(text) + len(copy)))
+                text += [*copy, *rng.choices(WORDS, k=gap)]
+            found = s.find(" ".join(text + rng.choices(WORDS, k=80)))
+            assert [(f["license"], f["first"], f["stop"]) for f in found] == [(name, *p) for p in places], (n, gap)
+
+
+def test_a_license_with_a_long_insertion_is_found():
+    s, template = license_scan.Scanner(), license_scan.words(license_scan.TEMPLATES["Apache-2.0-header"])
+    copy = [*template[:40], *WORDS[:30], *template[40:]]
+    for n in (1, 2, 4):
+        assert [f["license"] for f in s.find(" ".join(WORDS + copy * n + WORDS))] == ["Apache-2.0-header"] * n
+
+
 def test_alignment_is_increasing_and_equal():
     rng = random.Random(1)
     for _ in range(200):
