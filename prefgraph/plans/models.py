@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,19 +68,15 @@ def text_pairs(spark, sf_dir):
 
 
 def tfidf_terms(spark, sf_dir):
-    x = text_model.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text")
+    x = text_model.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", most=2000)  # as in its SQL
     return x.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("x"), 5).alias("weight"))
 
 
 def text_reward_fit(spark, sf_dir):
-    """Predicted P(A) of the text pairs by a logistic fit on the 50 most frequent terms' differences."""
-    docs = table(spark, sf_dir, "documents")
-    vectors = text_model.tfidf(docs, "doc_id", "text", most=50)
-    terms = sorted(r["term"] for r in vectors.select("term").distinct().collect())  # 50 at most
-    rows = text_model.difference_features(text_pairs(spark, sf_dir), vectors, terms)
-    fitted = text_model.fit(rows, terms, "y", "w")
-    data = VectorAssembler(inputCols=terms, outputCol="features").transform(rows)
-    return fitted.transform(data).select("pair_id", "y", vector_to_array("probability")[1].alias("p_a"))
+    """Predicted P(A) of the text pairs by a logistic fit on differences of the most frequent words' and word pairs' weights."""
+    vectors = text_model.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = text_model.difference_features(text_pairs(spark, sf_dir), vectors, text_model.term_numbers(vectors), text_model.FEATURES).persist()  # fitted, then predicted
+    return text_model.fit(rows, "y", "w").transform(rows).select("pair_id", "y", vector_to_array("probability")[1].alias("p_a"))
 
 
 OUTCOMES = [f"pair_{m}" for m in models.LOSSES]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prefgraph.functions.labels import response_id, safe_double, sign_and_weight
 from prefgraph.functions.ranking import distributed_rank
-from prefgraph.operators import cycles, models, projection, resample, summaries
+from prefgraph.operators import cycles, models, projection, resample, summaries, text_model
 from prefgraph.operators import tournament as t
 from prefgraph.operators.flatten import observations, with_signs
 from prefgraph.operators.pairs import opening_pairs
@@ -198,3 +198,21 @@ def test_invariants_play_every_alternative(spark, monkeypatch):
     assert tournaments.full_betti(spark, "").first()["acyclic"] == 2300 - len(cyclic)
     monkeypatch.setattr(tournaments, "derived", lambda *_: frame.limit(0))
     assert tournaments.invariants(spark, "").count() == 0
+
+
+def test_text_features_go_beyond_frequent_words(spark):
+    common = " ".join(f"c{k} " * 3 for k in range(80))
+    rows = [(2 * k + g, f"{common} good{k // 2} rarely" if g else f"{common} bad{k // 2}") for k in range(30) for g in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vectors = text_model.tfidf(docs, "doc_id", "text")
+    numbers = text_model.term_numbers(vectors)
+    assert {"good1", "bad2", "rarely"} <= {r["term"] for r in numbers.collect()} and numbers.count() > 180
+    pairs = spark.createDataFrame([(f"p{k}", 2 * k + k % 2, 2 * k + 1 - k % 2, float(k % 2), 1.0) for k in range(30)] + [("none", 900, 901, 1.0, 1.0)], "pair_id string, id_a long, id_b long, y double, w double")
+    feats = text_model.difference_features(pairs, vectors, numbers, text_model.FEATURES)
+    x = {(r["doc_id"], r["term"]): r["x"] for r in vectors.collect()}
+    at = {r["term"]: r["number"] for r in numbers.collect()}
+    got = {r["pair_id"]: r["features"] for r in feats.collect()}
+    want = {t: x.get((3, t), 0.0) - x.get((2, t), 0.0) for t in at}
+    assert all(got["p1"][at[t]] == pytest.approx(v, abs=1e-12) for t, v in want.items()) and got["none"].numNonzeros() == 0
+    p = {r["pair_id"]: (r["y"], r["probability"][1]) for r in text_model.fit(feats, "y", "w").transform(feats).collect()}
+    assert all((q > 0.5) == (y > 0.5) for k, (y, q) in p.items() if k != "none")
