@@ -10,7 +10,9 @@ from prefgraph.operators.models import bt_graph
 from prefgraph.operators.projection import graph_projection, projection_scores
 from prefgraph.plans import comparisons, preferences, tournaments
 
+#: SPLITS and REPS are those of the queries that have SQL, which names them; the others draw as often as the reference.
 SPLITS, TEST_SHARE, SEED, REPS = 3, 0.2, 1009, 5
+ADDITIVE_DRAWS, TRANSITIVE_DRAWS, BOOTSTRAPS = 5000, 200, 200
 
 
 def user_table(spark, sf_dir):
@@ -24,7 +26,7 @@ def bootstrap(spark, sf_dir):
 
 def bootstrap_cycles(spark, sf_dir):
     """Cycle rate and projection residual of every resample."""
-    flow = resample.user_bootstrap(user_table(spark, sf_dir), REPS, SEED)
+    flow = resample.user_bootstrap(user_table(spark, sf_dir), BOOTSTRAPS, SEED)
     rates = cycles.support_cycle_grid(flow, ["rep"], [1], [0.0]).select("rep", "eligible_triples", "cyclic_triples")
     return rates.join(graph_projection(flow, ["rep"]).select("rep", F.round("rho", 5).alias("rho")), "rep")
 
@@ -45,7 +47,7 @@ def additive(spark, sf_dir):
     """Projection residual of every aspect against draws that keep weights and have additive margins."""
     obs = preferences.obs(spark, sf_dir)
     flow = edges.edge_flow(obs, ["aspect"])
-    draws = resample.additive_null(edges.weight_cells(obs, ["aspect"]), projection_scores(flow, ["aspect"]), ["aspect"], REPS, SEED)
+    draws = resample.additive_null(edges.weight_cells(obs, ["aspect"]), projection_scores(flow, ["aspect"]), ["aspect"], ADDITIVE_DRAWS, SEED)
     null = graph_projection(draws, ["aspect", "rep"]).select("aspect", "rep", F.col("rho").alias("null_rho"))
     rows = null.join(graph_projection(flow, ["aspect"]).select("aspect", F.col("rho").alias("observed")), "aspect")
     return summaries.null_summary(rows, ["aspect"], "null_rho", "observed")
@@ -53,7 +55,7 @@ def additive(spark, sf_dir):
 
 def transitive(spark, sf_dir):
     flow = comparisons.user_edges(spark, sf_dir).where("score_delta = 5")
-    draws = resample.transitive_null(flow, bt_graph(flow, []), REPS, SEED)
+    draws = resample.transitive_null(flow, bt_graph(flow, []), TRANSITIVE_DRAWS, SEED)
     null = graph_projection(draws, ["rep"]).select("rep", F.col("rho").alias("null_rho"))
     return null.join(F.broadcast(graph_projection(flow.withColumn("one", F.lit(1)), ["one"]).select(F.col("rho").alias("observed"))))
 

@@ -13,7 +13,7 @@ from prefgraph.operators import cycles, models, projection, resample, summaries,
 from prefgraph.operators import tournament as t
 from prefgraph.operators.flatten import observations, with_signs
 from prefgraph.operators.pairs import opening_pairs
-from prefgraph.plans import tournaments
+from prefgraph.plans import comparisons, inference, tournaments
 from prefgraph.sources import scans
 
 
@@ -216,3 +216,9 @@ def test_text_features_go_beyond_frequent_words(spark):
     assert all(got["p1"][at[t]] == pytest.approx(v, abs=1e-12) for t, v in want.items()) and got["none"].numNonzeros() == 0
     p = {r["pair_id"]: (r["y"], r["probability"][1]) for r in text_model.fit(feats, "y", "w").transform(feats).collect()}
     assert all((q > 0.5) == (y > 0.5) for k, (y, q) in p.items() if k != "none")
+
+
+def test_transitive_null_draws_as_often_as_the_reference(spark, monkeypatch):
+    flow = spark.createDataFrame([(5, "a", "b", 0.2, 40), (5, "a", "c", -0.4, 30), (5, "b", "c", 0.3, 50)], "score_delta int, i string, j string, margin double, support long")
+    monkeypatch.setattr(comparisons, "user_edges", lambda *_: flow)
+    assert len({r["rep"] for r in inference.transitive(spark, "").select("rep").collect()}) == 200
