@@ -1,8 +1,11 @@
 """Mixture, toxicity, licenses, search and the pipeline."""
 
 import random
+import time
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,13 +80,43 @@ def test_query_equals_sql(spark, sf, duck, same, name):
     same(queries.QUERIES[name](spark, sf).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df())
 
 
-def test_segments_are_the_maximal_ones():
-    model = toxicity.Model({"x": 3.0, "y": 1.0}, other=-0.5)
-    words = "a x a a x a a a a a a a a a a y".split()
-    assert model.passages(words) == [(5.0, 1, 5), (1.0, 15, 16)]
-    # no segment can be made longer and score more
-    best = max(sum(model.scores.get(w, model.other) for w in words[a:b]) for a in range(16) for b in range(a + 1, 17))
-    assert best == 5.0 and model.passages([]) == [] and model.passages(["q"]) == []
+def walked_back(scores):
+    """Maximal-scoring segments by Ruzzo and Tompa's first form, which looks at every open segment; sums in integers."""
+    found, total = [], 0
+    for i, x in enumerate(scores):
+        lo, total = total, total + x
+        if x <= 0:
+            continue
+        one = (lo, total, i, i + 1)
+        while True:
+            k = max((k for k, f in enumerate(found) if f[0] < one[0]), default=None)
+            if k is None or found[k][1] >= one[1]:
+                found.append(one)
+                break
+            one = (found[k][0], one[1], found[k][2], one[3])
+            del found[k:]
+    return [(hi - lo, a, b) for lo, hi, a, b in found]
+
+
+def test_maximal_segments():
+    segments = lambda xs: toxicity.maximal_segments(np.array(xs, np.float64))
+    assert segments([]) == [] == segments([-1.0, 0.0]) and segments([-1, 3, -1, -1, 3, -9, 2]) == [(4.0, 1, 5), (2.0, 6, 7)]
+    rng = random.Random(3)
+    for n in list(range(40)) + [400] * 20:
+        xs = [rng.choice([-3, -2, -1, -1, 0, 1, 2, 5]) for _ in range(n)]
+        assert segments(xs) == walked_back(xs)
+    for xs in ([3, -4] * 100_000, [4, -3] * 100_000, list(range(-1, 5)) * 30_000):
+        began = time.time()
+        segments(xs)
+        assert time.time() - began < 5
+
+
+def test_units_read_hidden_spellings():
+    same = [toxicity.slots(w) for w in ("stupid", "5tup1d", "st.upid", "stuuuupid", "s-t-u-p-i-d")]
+    assert all(s == same[0] for s in same) and toxicity.slots("stupid") != toxicity.slots("stupids")
+    assert set(toxicity.slots("stupid")[1:]) & set(toxicity.slots("stupidest")[1:]) and toxicity.slots("12") and toxicity.slots("a")
+    assert toxicity.tokens("(You) st*pid, ... thing!\n42") == ["you", "st*pid", "thing", "42"] and toxicity.tokens(None) == []
+    assert all(len(w) <= toxicity.LONG for w in toxicity.tokens("x" * 1000 + " \u4e2d" + "\u6587" * 200))
 
 
 def test_monotone_fit():
@@ -119,6 +152,29 @@ def test_toxicity_on_planted_words(spark):
     assert toxicity.train(d, lab.where("toxic = 1")).score("vile") == 0.0
 
 
+def test_unseen_forms_of_a_stem(spark):
+    """Toxic words have a stem; a third of the forms, and the plain spelling of the hidden word, are in no training text."""
+    rng = random.Random(8)
+    ends = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    docs, labels = [], []
+    for k in range(1500):
+        words = ["".join(rng.choices(["ba", "ko", "ti", "re", "lu", "ma", "ne", "so"], k=rng.randint(1, 4))) for _ in range(rng.randint(30, 150))]
+        held = zlib.crc32(str(k).encode()) % 4 == 2
+        if k % 5 == 0:
+            pool = ends[:20] if held else ends[20:]
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), "zorak" + rng.choice(pool))
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(k % 5 == 0)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    by = {r["doc_id"]: r for r in toxicity.score(d, toxicity.train(d, lab)).collect()}
+    held = [k for k in range(1500) if zlib.crc32(str(k).encode()) % 4 == 2]
+    caught = [by[k]["score"] >= toxicity.THRESHOLD for k in held if k % 5 == 0]
+    clean = [by[k]["score"] < toxicity.THRESHOLD for k in held if k % 5]
+    assert sum(caught) > 0.9 * len(caught) and sum(clean) > 0.97 * len(clean)
+    assert all(p["score"] > 0 and 0 <= p["first"] < p["stop"] for r in by.values() for p in r["passages"])
+
+
 def test_held_out_accuracy(spark):
     rows = queries.op5_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
