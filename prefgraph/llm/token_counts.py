@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefgraph.llm.byte_bpe import WHITE, PieceEncoder, encoder
+from prefgraph.llm.byte_bpe import WHITE, BatchEncoder, encoder
 from prefgraph.llm.common import ship_package
 
 WINDOW, OVERLAP = 32_768, 512
@@ -40,7 +41,7 @@ def _before(window, place: int) -> int | None:
     return n if n == 0 or ends[:n].max() <= place else None
 
 
-def count_in_windows(coder: PieceEncoder, text: str, window: int = WINDOW, overlap: int = OVERLAP) -> int:
+def count_in_windows(coder: BatchEncoder, text: str, window: int = WINDOW, overlap: int = OVERLAP) -> int:
     library, total = coder.library, 0
     start, stop = 0, min(window, len(text))
     left, counted = _window(library, text, start, stop), 0  # counted: the left window's tokens before the last seam
@@ -70,9 +71,12 @@ def _counter(path: str, window: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            short = iter(coder.encode([t for t in texts if len(t) <= window]))
-            counts = [len(next(short)) // 4 if len(t) <= window else count_in_windows(coder, t, window, overlap) for t in texts]
+            texts = pc.fill_null(batch.column("text"), "")
+            long = pc.greater(pc.utf8_length(texts), window)
+            counts = np.zeros(len(texts), np.int64)
+            counts[~long.to_numpy(zero_copy_only=False)] = coder.count(texts.filter(pc.invert(long)))
+            for k in np.flatnonzero(long).tolist():
+                counts[k] = count_in_windows(coder, texts[k].as_py(), window, overlap)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,35 +148,49 @@ def read_blocks(uri: str) -> Iterator[tuple[np.ndarray, list[tuple[int | None, i
             yield unpack(data.read(size), tokens, places, table, width), named
 
 
+def id_type(vocabulary: int, end: int) -> str:
+    """How ids of a vocabulary are kept."""
+    return "<u2" if max(vocabulary, end + 1) <= 1 << 16 else "<u4"
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, last = encoder(path), array("I", [end]).tobytes()
+        coder = encoder(path)
+        kind = id_type(len(coder.spaced), end)
         for batch in batches:
-            ids = [x + last for x in coder.encode([t or "" for t in batch.column("text").to_pylist()])]
-            small = [np.frombuffer(x, "<u4") for x in ids]
-            kept = [(b"2" + x.astype("<u2").tobytes()) if x.max() < 1 << 16 else b"4" + x.tobytes() for x in small]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(kept, pa.binary())], ["doc_id", "tie", "ids"])
+            flat, counts = coder.encode(batch.column("text"))
+            ends = np.cumsum(counts + 1)
+            ids = np.full(int(ends[-1]) if len(ends) else 0, end, kind)
+            body = np.ones(len(ids), bool)
+            body[ends - 1] = False
+            ids[body] = flat
+            places = pa.py_buffer(np.append(0, ends * ids.itemsize).astype(np.int32))
+            kept = pa.Array.from_buffers(pa.binary(), len(counts), [None, places, pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), kept], ["doc_id", "tie", "ids"])
 
     return run
 
 
-def _ids(kept: bytes) -> np.ndarray:
-    return np.frombuffer(kept, "<u2" if kept[:1] == b"2" else "<u4", offset=1)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        for kept in batch.column("ids").to_pylist():
-            seen = np.bincount(_ids(kept))
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            column = batch.column("ids")
+            if not len(column):
+                continue
+            _, places, data = column.buffers()
+            at = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1]
+            seen = np.bincount(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind))
             if len(seen) > len(total):
                 total, seen = seen.astype(np.int64), total
             total[: len(seen)] += seen
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+
+    return run
 
 
-def _write(folder: str, packed_lengths: bytes):
+def _write(folder: str, packed_lengths: bytes, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -185,7 +198,7 @@ def _write(folder: str, packed_lengths: bytes):
         for batch in batches:
             for doc_id, kept in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 writer = writer or FileWriter(uri, np.frombuffer(zlib.decompress(packed_lengths), np.uint8))
-                ids = _ids(kept)
+                ids = np.frombuffer(kept, kind)
                 docs.append((doc_id, len(ids)))
                 held.append(ids)
                 size += len(ids)
@@ -209,14 +222,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, *, end_id: int = 2, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     encoded = staged(rows.mapInArrow(_encode(vocabulary, end_id), "doc_id long, tie long, ids binary"), "token-ids")
     # one row per id of the vocabulary at most
-    counted = encoded.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    kind = id_type(len(encoder(vocabulary).spaced), end_id)
+    counted = encoded.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in counted), default=0) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
     folder = folder or new_path(spark, "token-files")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = encoded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    written = staged(ordered.drop("tie").mapInArrow(_write(folder, zlib.compress(code_lengths(counts).tobytes())), "part long, path string, tokens long"), "token-manifest")
+    written = staged(ordered.drop("tie").mapInArrow(_write(folder, zlib.compress(code_lengths(counts).tobytes()), kind), "part long, path string, tokens long"), "token-manifest")
     # one row per file
     first, files = 0, []
     for r in sorted(written.collect()):

@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from prefgraph.llm import piece_bpe, token_counts, token_files
+from prefgraph.llm import byte_bpe, piece_bpe, token_counts, token_files
 from prefgraph.llm.byte_bpe import encoder
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -29,10 +30,19 @@ def docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd, allowMissingColumns=True)
 
 
-def test_piecewise_ids_are_the_library_s():
+def test_piecewise_ids_are_the_library_s(monkeypatch):
     library, sample = Tokenizer.from_file(BPE), texts(1500, 1)
-    got = encoder(BPE).encode(sample)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in library.encode_batch(sample, add_special_tokens=False)]
+    sample += ["<|endoftext|>", "a <|endoftext|> b", "<s> </s> <unk>", "a<|endoftext|>b c", "\u3000\u5168 x", "x \xa0y", "a\tb\n c", ""]
+    want = [e.ids for e in library.encode_batch(sample, add_special_tokens=False)]
+    for memory in (byte_bpe.MEMORY, 50):
+        monkeypatch.setattr(byte_bpe, "MEMORY", memory)
+        monkeypatch.setattr(byte_bpe, "GROUP", 4 * memory)
+        coder = byte_bpe.BatchEncoder(BPE)
+        for part in (sample, sample[::-1]):
+            ids, counts = coder.encode(pa.array(part, pa.string()))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == (want if part is sample else want[::-1])
+            assert coder.count(pa.array(part, pa.string())).tolist() == counts.tolist()
+    assert coder.encode(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0] and not len(coder.count(pa.array([], pa.string())))
 
 
 @pytest.mark.parametrize("window, overlap", [(40, 4), (64, 16), (200, 1)])
