@@ -172,6 +172,7 @@ def read_archives(manifest: DataFrame, *, split_bytes: int = 4 << 20, payloads:
     ship_package(manifest.sparkSession)
     cuts = manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     splits = cuts.withColumn("stop", F.least(F.col("start") + split_bytes, "size"))
-    spread = splits.repartition(F.col("path"), F.col("start"))
+    # a number of its own, so that adaptive execution doesn't join splits, whose rows are small, into one task
+    spread = splits.repartitionByRange(max(1, splits.count()), "path", "start")
     fields = FIELDS if payloads else FIELDS[:-1]
     return spread.mapInArrow(_reader(payloads), ", ".join(f"{n} {s}" for n, _, s in fields))

@@ -79,3 +79,12 @@ def test_archives_with_copies_and_nulls(spark):
     kinds = sorted((str(r["page_id"]), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got.collect())
     assert kinds == sorted([("1", "revisit", 3, 2003), ("2", "revisit", 3, 2003), ("3", "response", None, 2003), ("3", "response", None, 2003), ("4", "response", None, 5), ("5", "response", None, 5), ("6", "response", None, 0), ("None", "revisit", 3, 2003), ("7", "response", None, 1200)])
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_splits_are_read_by_as_many_tasks(spark):
+    pages = spark.range(400).selectExpr("id as page_id", "'u' as url", "concat(repeat(sha2(string(id), 256), 20), id) as html").repartition(3)
+    manifest = warc.write_archives(pages)
+    splits = sum(-(-r["size"] // 20_000) for r in manifest.collect())
+    read = warc.read_archives(manifest, split_bytes=20_000, payloads=False)
+    assert read.rdd.getNumPartitions() == splits > 6 and read.selectExpr("spark_partition_id() as p").distinct().count() > splits // 2
+    assert sorted(r["page_id"] for r in read.collect()) == list(range(400))
