@@ -121,9 +121,10 @@ def apply_mix(docs: DataFrame, quality: DataFrame | None = None, **options) -> D
     A document appears once for every complete epoch; a fraction adds a copy of its first words (white space kept).
     Documents of which nothing is taken are left out. ``n_chars``, if there, follows the text.
     """
-    shares = mix(docs, quality, **options).where("taken > 0").groupBy("doc_id", "text_hash").agg(F.first("size").alias("_size"), F.first("epochs").alias("_epochs"), F.sum(F.col("taken") - F.col("epochs") * F.col("size")).alias("_parts"), F.count("*").alias("_rows"))
+    shares = mix(docs, quality, **options).where("taken > 0").groupBy("doc_id", "source", "text_hash").agg(F.first("size").alias("_size"), F.first("epochs").alias("_epochs"), F.sum(F.col("taken") - F.col("epochs") * F.col("size")).alias("_parts"), F.count("*").alias("_rows"))
     keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    chosen = keyed.join(shares, keyed["doc_id"].eqNullSafe(shares["doc_id"]) & (keyed["_hash"] == shares["text_hash"])).select(keyed["*"], "_size", "_epochs", "_parts", "_rows")
+    same_row = keyed["doc_id"].eqNullSafe(shares["doc_id"]) & keyed["source"].eqNullSafe(shares["source"]) & (keyed["_hash"] == shares["text_hash"])
+    chosen = keyed.join(shares, same_row).select(keyed["*"], "_size", "_epochs", "_parts", "_rows")
     # equal rows share what was taken beyond the epochs evenly, rounded to words
     extra = F.least(F.col("_size"), F.round(F.col("_parts") / F.col("_rows")).cast("long"))
     cut = F.when(extra >= F.col("_size"), F.col("text")).otherwise(first_words(F.col("text"), extra))
