@@ -8,22 +8,42 @@ from pyspark.sql import functions as F
 SLIGHT = 0.5
 
 
+#: Labels after ``normal_label`` (fixed values of the published formats): A is preferred, B is preferred.
+A_LABELS = ("a", "a-is-clearly-better", "a-clearly-better", "clearly-a", "response-a", "option-a", "left", "0", "0.0", "response-0", "response-1")
+A_SLIGHT = ("a-is-slightly-better", "a-slightly-better", "slightly-a")
+B_LABELS = ("b", "b-is-clearly-better", "b-clearly-better", "clearly-b", "response-b", "option-b", "right", "1", "1.0", "response-2")
+B_SLIGHT = ("b-is-slightly-better", "b-slightly-better", "slightly-b")
+
+
 def normal_label(raw: Column) -> Column:
-    """Lower case, trimmed, blanks and underscores as hyphens."""
-    return F.regexp_replace(F.lower(F.trim(raw.cast("string"))), r"[\s_]+", "-")
+    """Lower case, trimmed, each blank and underscore a hyphen."""
+    return F.translate(F.lower(F.trim(raw.cast("string"))), "_ ", "--")
 
 
-def sign_and_weight(raw: Column, slight: float = SLIGHT) -> Column:
-    """struct(sign, weight): 1 where A is preferred, -1 where B is, 0 for ties and anything else.
+def signed_weight(raw: Column, slight: float = SLIGHT) -> Column:
+    """Weight of a label, negative where B is preferred and 0 for ties, nulls and anything unknown.
 
-    Clear labels weigh 1, slight ones ``slight``, ties 0. Numbers 0 and 1 name A and B; response-1 is A, response-2 is B.
+    Clear labels weigh 1, slight ones ``slight``. Numbers 0 and 1 name A and B; response-1 is A, response-2 is B. Beyond the known labels,
+    one that names a or b as a part between hyphens and says better counts for that side, a first.
     """
     x = normal_label(raw)
-    a = x.rlike(r"^(a|0|0\.0|response-1|model-a)$") | x.rlike(r"^a-is-(clearly|slightly|much)?-?better") | x.rlike(r"^a>+b$")
-    b = x.rlike(r"^(b|1|1\.0|response-2|model-b)$") | x.rlike(r"^b-is-(clearly|slightly|much)?-?better") | x.rlike(r"^b>+a$")
-    sign = F.when(a, F.lit(1)).when(b, F.lit(-1)).otherwise(F.lit(0))
-    weight = F.when(sign == 0, F.lit(0.0)).when(x.contains("slight"), F.lit(float(slight))).otherwise(F.lit(1.0))
-    return F.struct(sign.alias("sign"), weight.alias("weight"))
+    size = F.when(x.contains("slight"), F.lit(float(slight))).otherwise(F.lit(1.0))
+    return (
+        F.when(x.isin(*A_LABELS), F.lit(1.0))
+        .when(x.isin(*A_SLIGHT), F.lit(float(slight)))
+        .when(x.isin(*B_LABELS), F.lit(-1.0))
+        .when(x.isin(*B_SLIGHT), F.lit(-float(slight)))
+        .when(~x.contains("better"), F.lit(0.0))
+        .when(x.rlike("(^|-)a($|-)"), size)
+        .when(x.rlike("(^|-)b($|-)"), -size)
+        .otherwise(F.lit(0.0))
+    )
+
+
+def sign_and_weight(raw: Column, slight: float = SLIGHT) -> Column:
+    """struct(sign, weight) of a label: see ``signed_weight``."""
+    w = F.coalesce(signed_weight(raw, slight), F.lit(0.0))
+    return F.struct(F.signum(w).cast("int").alias("sign"), F.abs(w).alias("weight"))
 
 
 def response_id(prompt: Column, side: str, text: Column) -> Column:

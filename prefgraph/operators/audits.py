@@ -7,7 +7,6 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefgraph.operators.cycles import triangles
 from prefgraph.sources.fixtures import ASPECTS
 
 
@@ -20,15 +19,19 @@ def aspect_disagreement(flat: DataFrame, aspects=ASPECTS) -> DataFrame:
 
 
 def prompt_support(flat: DataFrame) -> DataFrame:
-    """Per prompt: rows, models, observed and possible pairs, triangles of observed pairs, and the pairs as JSON."""
-    models = flat.select("prompt_id", F.explode(F.array("alt_a", "alt_b")).alias("m")).groupBy("prompt_id").agg(F.count_distinct("m").alias("n_models"))
-    pairs = flat.where("alt_a <> alt_b").select("prompt_id", F.least("alt_a", "alt_b").alias("i"), F.greatest("alt_a", "alt_b").alias("j")).distinct()
-    edges = pairs.groupBy("prompt_id").agg(F.count("*").alias("n_edges"), F.to_json(F.sort_array(F.collect_list(F.concat_ws(" | ", "i", "j")))).alias("edges"))
-    tri = triangles(pairs.withColumn("margin", F.lit(1.0)).withColumn("support", F.lit(1)), ["prompt_id"]).groupBy("prompt_id").agg(F.count("*").alias("n_triangles"))
-    rows = flat.groupBy("prompt_id").agg(F.count("*").alias("n_rows"))
-    out = rows.join(models, "prompt_id").join(edges, "prompt_id", "left").join(tri, "prompt_id", "left")
-    return out.select(
-        "prompt_id", "n_rows", "n_models", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), (F.col("n_models") * (F.col("n_models") - 1) / 2).cast("long").alias("possible_edges"), F.coalesce("n_triangles", F.lit(0)).alias("n_triangles"), F.coalesce("edges", F.lit("[]")).alias("edges")
+    """Per prompt: rows, models, observed and possible pairs, triangles of observed pairs, and the pairs as JSON.
+
+    One shuffle by prompt. A row holds a prompt's distinct pairs, at most half the square of its models, however many rows it has.
+    """
+    pair = F.when(F.col("alt_a") != F.col("alt_b"), F.struct(F.least("alt_a", "alt_b").alias("i"), F.greatest("alt_a", "alt_b").alias("j")))
+    sets = flat.groupBy("prompt_id").agg(F.count("*").alias("n_rows"), F.collect_set("alt_a").alias("_a"), F.collect_set("alt_b").alias("_b"), F.sort_array(F.collect_set(pair)).alias("_pairs"))
+    pairs = F.col("_pairs")
+    closing = lambda e: F.filter(pairs, lambda f: (f["i"] == e["j"]) & F.array_contains(pairs, F.struct(e["i"].alias("i"), f["j"].alias("j"))))
+    n = F.size(F.array_union("_a", "_b")).cast("long")
+    return sets.select(
+        "prompt_id", "n_rows", n.alias("n_models"), F.size(pairs).cast("long").alias("n_edges"), (n * (n - 1) / 2).cast("long").alias("possible_edges"),
+        F.aggregate(F.transform(pairs, lambda e: F.size(closing(e)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y).alias("n_triangles"),
+        F.to_json(F.sort_array(F.transform(pairs, lambda e: F.concat_ws(" | ", e["i"], e["j"])))).alias("edges"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefgraph.functions.labels import sign_and_weight
+from prefgraph.functions.labels import sign_and_weight, signed_weight
 from prefgraph.sources.fixtures import ASPECTS
 
 
@@ -40,6 +40,16 @@ def observations(flat: DataFrame, keys: list[str], aspects=ASPECTS) -> DataFrame
     )
 
 
+def label_observations(rows: DataFrame, keys: list[str], aspects=ASPECTS) -> DataFrame:
+    """The same from the labels {aspect}_pref themselves: each is read once, where its row and aspect are. Rows that tie in all aspects
+    give none anyway."""
+    stacked = ", ".join(f"'{a}', {a}_pref" for a in aspects)
+    long = rows.selectExpr(*keys, "cast(alt_a as string) as alt_a", "cast(alt_b as string) as alt_b", f"stack({len(aspects)}, {stacked}) as (aspect, label)")
+    ahead = F.when(F.col("alt_a") < F.col("alt_b"), F.col("w")).otherwise(-F.col("w"))
+    signed = long.where("alt_a <> alt_b and alt_a <> '' and alt_b <> ''").withColumn("w", signed_weight(F.col("label"))).where("w <> 0")
+    return signed.select(*keys, "aspect", F.least("alt_a", "alt_b").alias("i"), F.greatest("alt_a", "alt_b").alias("j"), F.signum(ahead).cast("int").alias("sign"), F.abs("w").alias("weight"))
+
+
 def opening_turns(history: DataFrame) -> DataFrame:
     """(conversation_id, pos, model_name, score) from conversation_history: turn 0 of a model, each model's first."""
     turns = history.select("conversation_id", F.posexplode("conversation_history").alias("pos", "t")).where("t.turn = 0 and t.role = 'model' and t.model_name is not null and t.score is not null")

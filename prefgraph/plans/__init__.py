@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from prefgraph.plans import attributes, comparisons, inference, models, preferences, tournaments
+from prefgraph.plans import attributes, comparisons, inference, models, preferences, scopes, tournaments
 
-_ALL = (preferences, comparisons, tournaments, inference, models, attributes)
+_ALL = (preferences, comparisons, tournaments, inference, models, attributes, scopes)
 QUERIES = {name: f for m in _ALL for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _ALL for name, sql in m.ORACLE_SQL.items()}

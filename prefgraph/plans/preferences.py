@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prefgraph.functions.labels import response_id, sign_and_weight
 from prefgraph.operators import audits, cycles, edges
-from prefgraph.operators.flatten import flatten_annotations, observations, with_signs
+from prefgraph.operators.flatten import flatten_annotations, label_observations, with_signs
 from prefgraph.sources.fixtures import ANNOTATIONS, ASPECTS, derived, plain
 
 #: Thresholds of the registered queries.
@@ -23,7 +23,7 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(flat(spark, sf_dir), ["prompt_id", "annotation_group", "evaluator"])
+    return label_observations(annotations(spark, sf_dir), ["prompt_id", "annotation_group", "evaluator"])
 
 
 # Oracle text: plain case analysis over the same annotations.

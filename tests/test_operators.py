@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prefgraph.functions import labels
 from prefgraph.functions.labels import response_id, safe_double, sign_and_weight
 from prefgraph.functions.ranking import distributed_rank
-from prefgraph.operators import cycles, models, projection, resample, summaries, text_model
+from prefgraph.operators import cycles, models, projection, resample, scopes, summaries, text_model
 from prefgraph.operators import tournament as t
 from prefgraph.operators.flatten import observations, with_signs
 from prefgraph.operators.pairs import opening_pairs
@@ -165,9 +166,14 @@ def test_dirty_csv(spark, tmp_path):
 
 
 def test_schema_resolution(spark):
-    assert scans.first_existing(["Prompt_ID", "x"], ["prompt_id"]) == "Prompt_ID"
-    with pytest.raises(ValueError):
-        scans.first_existing(["x"], ["y"])
+    df = spark.createDataFrame([], "Prompt_ID string, x int, r struct<Text: string, meta: struct<model: string, x: int>>")
+    assert scans.required(df.schema, ["prompt_id"]) == "Prompt_ID" and scans.locate(df.schema, ["x", "model"], 3) == ["x", "r.meta.x", "r.meta.model"]
+    with pytest.raises(ValueError, match="no field named y"):
+        scans.required(df.schema, ["y"])
+    rows = spark.createDataFrame([((None, ("m1", " ")), "r1"), (("m2", ("m1", "q")), " "), ((None, None), None)], "r struct<model_id: string, meta: struct<model: string, source: string>>, t string")
+    assert [tuple(x) for x in rows.select(scans.model_id(rows, "r"), scans.model_id(rows, "t")).collect()] == [("m1", "r1"), ("m1", None), (None, None)]
+    roles = lambda rs: scans.placeholder_models(spark.createDataFrame(rs, "m string, n string"), "m", "n").first()["placeholder"]
+    assert roles([("Response A", "response b"), (None, " 0")]) and not roles([]) and not roles([(None, None)]) and not roles([("a", "llama")])
     df = scans.with_defaults(spark.createDataFrame([("a", "B")], "m string, n string"), {"w": 1.0})
     assert df.first()["w"] == 1.0 and scans.placeholder_models(df, "m", "n").first()["placeholder"]
 
@@ -177,6 +183,31 @@ def test_shards_and_scopes(spark, tmp_path):
     scans.write_scoped(df, str(tmp_path / "o"), "scope", "csv")
     assert sorted(p.name for p in (tmp_path / "o").glob("scope=*")) == ["scope=a", "scope=b"]
     assert "| 1 | a |" in scans.markdown(df)
+    with pytest.raises(ValueError):
+        scans.markdown(df, 1)
+
+
+def test_shards_are_joined_by_name(spark, tmp_path):
+    for name, text in (("s0", "x,y\n1,2\n"), ("s1", "y,z\n8,9\n"), ("s2", "y,x\n4,3\n"), ("s3", ""), ("s4", "x,y\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = scans.read_shards(spark, f"{tmp_path}/*.csv")
+    assert {(r["source_file"][-6:-4], r["x"], r["y"], r["z"]) for r in got.collect()} == {("s0", "1", "2", None), ("s1", None, "8", "9"), ("s2", "3", "4", None)}
+
+
+def test_labels_of_every_spelling(spark):
+    want = {"A-is-clearly-better": 1, "A_clearly_better": 1, "clearly a": 1, "a": 1, " A ": 1, "response-a": 1, "option_a": 1, "LEFT": 1, "0": 1, "response-0": 1, "Response 1": 1, "0.0": 1, "a-is-slightly-better": 0.5, "slightly-a": 0.5, "a-slightly-better": 0.5, "answer-a-better": 1, "a-somewhat-better": 1, "a-slightly-much-better": 0.5}
+    want |= {"B-is-clearly-better": -1, "clearly-b": -1, "b": -1, "response-b": -1, "option-b": -1, "right": -1, "1": -1, "response-2": -1, "1.0": -1, "b-is-slightly-better": -0.5, "slightly-b": -0.5, "answer-b-better": -1}
+    want |= {"tie": 0, "": 0, "both": 0, "model-a": 0, "a>b": 0, "better": 0, "2": 0, "bad": 0}
+    rows = spark.createDataFrame([(k,) for k in want] + [(None,)], "label string")
+    got = {r["label"]: r["s"]["sign"] * r["s"]["weight"] for r in rows.select("label", labels.sign_and_weight(F.col("label")).alias("s")).collect()}
+    assert got == want | {None: 0}
+
+
+def test_numbered_rows_and_display_names(spark):
+    rows = spark.range(1000).selectExpr("id * 7 % 1000 as k").repartition(5)
+    assert [(r["k"], r["n"]) for r in scopes.numbered(rows, "k", "n", 8).orderBy("k").collect()] == [(k, k) for k in range(1000)]
+    names = spark.createDataFrame([("a b",), ("x",), ("a bc d",)], "t string").select(scopes.display_name(F.col("t"), {"x": "Ex"}))
+    assert [r[0] for r in names.collect()] == ["B", "Ex", "D"]
 
 
 def test_invariants_play_every_alternative(spark, monkeypatch):
