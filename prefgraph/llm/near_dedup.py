@@ -9,8 +9,10 @@ range borrows from the first filled one in its own fixed random order. Bands of
 keys; there are as many (``bands_for``) as it takes for a pair at the threshold to share no bucket with probability ``MISSED`` at most:
 25 at 0.85 (0.5563 ** 25 = 4e-7), 37 at 0.80.
 
-Edges. A bucket's members are paired with one pivot, the smallest, never with each other: a star. A member that the pivot
-didn't link can still be near another one, so buckets that hold more than one component after a round go on: the members
+Edges. A bucket's members are paired with one pivot, never with each other: a star. The ``FIRST`` bands' stars come first and put
+most copies together; then each bucket that holds several components gets a star from a member of its largest one to the
+members of others, so that a group of n copies has a few times n links, however many bands they share. A member that the pivot
+didn't link can still be near another one, so buckets that hold more than one component after that go on: the members
 outside the bucket's largest component, at most ``PIVOTS`` of them a round, become pivots for the members of other components,
 and are exhausted then; a pair is only made in the first bucket that it shares. So every pair of one bucket is either tested or already in one component when the rounds end, and
 pairs within a component are never made.
@@ -45,6 +47,8 @@ from prefgraph.llm.common import shared_dir, ship_package, staged
 SHINGLE = 5
 BINS, ROWS = 125, 5
 PIVOTS, BITS = 256, 1024
+#: Bands whose stars are made before it is known which classes belong together.
+FIRST = 2
 #: How often a pair at the threshold shares no band, at most, and standard deviations from the mean to the limit of one-bit minima.
 MISSED, DEVIATIONS = 4.5e-7, 5.3
 _TRIES = 2048
@@ -127,11 +131,15 @@ def band_keys(parts: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
 def _describe(percent: int):
     bins = bands_for(percent) * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, names, bands = [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text)
@@ -147,7 +155,7 @@ def _describe(percent: int):
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         sets = [np.frombuffer(b, np.int64) for b in batch.column("hashes").to_pylist()]
         owner = np.repeat(batch.column("class").to_numpy(), [len(s) for s in sets])
         flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
@@ -156,7 +164,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         sets = [shingle_set(text) for text in batch.column("text").to_pylist()]
         names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         bits = [one_bits(s) if len(s) else None for s in sets]
@@ -166,9 +174,9 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x_set").to_pylist(), batch.column("y_set").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            linked, xs, ys = [], batch.column("x_set"), batch.column("y_set")
+            for k in range(batch.num_rows):  # sets are views of the batch
+                x, y = (np.frombuffer(sets[k].as_buffer(), np.uint64) for sets in (xs, ys))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["x", "y"]).filter(pa.array(linked, pa.bool_()))
@@ -207,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
         .withColumn("class", F.monotonically_increasing_id()),
         "dedup-classes",
     )
-    spread = classes.select("class", "n", F.explode("bands").alias("bucket"))
+    spread = classes.select("class", "n", F.posexplode("bands").alias("band", "bucket"))
     crowded = spread.groupBy("bucket").agg(F.count("*").alias("_size")).where("_size > 1").select("bucket")
     wanted_ids = spread.join(crowded, "bucket").select("class").distinct()
 
@@ -235,18 +243,30 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
         return staged(full.select("x", "y", F.col("x_hashes").alias("x_set"), F.col("y_hashes").alias("y_set")).mapInArrow(_confirm(percent), "x long, y long"), "dedup-links")
 
     reach = lambda n, r: f"100 * least(rest, {r}) >= {percent} * (n + {n} - least(rest, {r}))"
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("class", "n", "rest")).alias("p"))
-    starred = members.join(pivots, "bucket")
-    links = confirmed(starred.where("class <> p.class and " + reach("p.n", "p.rest")).select(F.col("p.class").alias("x"), F.col("class").alias("y")))
+    pivots = members.where(F.col("band") < FIRST).groupBy("bucket").agg(F.min(F.struct("class", "n", "rest")).alias("p"))
+    starred = members.join(pivots, "bucket").where("class <> p.class and " + reach("p.n", "p.rest"))
+    links = confirmed(starred.select(F.col("p.class").alias("x"), F.col("class").alias("y")))
     groups = components(links)
-    left = starred.where("class <> p.class").select("bucket", "class", "n", "rest")
-    bits = sets.select("class", "bits").join(classes.select("class", "bands"), "class")
-    while True:
-        # what is left are members of buckets with several components, without the pivots
+
+    def divided(left: DataFrame) -> DataFrame:
+        """What is left of buckets that hold several components, with each row's and the bucket's largest one."""
         left = left.join(groups, left["class"] == groups["node"], "left").select("bucket", "class", "n", "rest", F.coalesce("component", "class").alias("component"))
         parts = left.groupBy("bucket", "component").agg(F.count("*").alias("size"))
         largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("most.component").alias("main"))
-        left = staged(left.join(largest, "bucket"), "dedup-left")
+        return staged(left.join(largest, "bucket"), "dedup-left")
+
+    # the other bands' stars, from a member of the largest component to members of others
+    left = divided(members)
+    pivots = left.where("component = main").groupBy("bucket").agg(F.min(F.struct("class", "n", "rest")).alias("p"))
+    starred = left.where("component <> main").join(pivots, "bucket").where(reach("p.n", "p.rest"))
+    found = confirmed(starred.select(F.least("class", "p.class").alias("x"), F.greatest("class", "p.class").alias("y")))
+    if found.limit(1).count():
+        links = staged(links.union(found), "dedup-links")
+        groups = components(links)
+    left = left.select("bucket", "class", "n", "rest")
+    bits = sets.select("class", "bits").join(classes.select("class", "bands"), "class")
+    while True:
+        left = divided(left)
         if left.limit(1).count() == 0:
             break
         outside = Window.partitionBy("bucket").orderBy("class")

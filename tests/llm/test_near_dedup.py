@@ -58,6 +58,24 @@ def test_all_links_are_found(spark):
     check(spark, rows)
 
 
+def test_rounds_of_few_pivots(spark, monkeypatch):
+    """A crowd whose members are mostly below the threshold to each other, so that buckets stay divided for rounds."""
+    monkeypatch.setattr(near_dedup, "PIVOTS", 6)
+    monkeypatch.setattr(near_dedup, "FIRST", 1)
+    rng = random.Random(11)
+    check(spark, list(enumerate(crowd(rng, 40, 4))))
+
+
+def test_a_large_group_makes_few_links(spark, monkeypatch):
+    """The edges that components are found from stay a few times the group's size, whatever bands its members share."""
+    seen, real = [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda links: seen.append(links.count()) or real(links))
+    rng, base = random.Random(12), [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(w if j != rng.randrange(200) else f"z{k}" for j, w in enumerate(base)) + f" end{k}") for k in range(300)]
+    check(spark, rows)
+    assert max(seen) < 3 * 300
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
