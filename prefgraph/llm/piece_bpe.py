@@ -9,14 +9,17 @@ the same or a lower rank (known from the vocabulary) is done one at a time, the
 The model must be BPE with identity normalisation and without user-defined symbols; characters without a piece become
 their UTF-8 bytes' pieces, or the unknown id if the model has no byte pieces.
 
-Edge cases: a null or empty text has no ids and decodes to the empty text; texts of one endless word are merged like others,
-with rounds bounded by the distinct ranks in it; repeated rows and null ids give a row each; an empty table gives an empty
+Rounds are at most as many as the longest word has characters, so words of more than ``QUEUED`` are merged from a queue of pairs instead.
+
+Edge cases: a null or empty text has no ids and decodes to the empty text; texts of one endless word take time in proportion
+to their length and its logarithm; repeated rows and null ids give a row each; an empty table gives an empty
 result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -31,6 +34,8 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words that a worker remembers, and their greatest length.
 MEMORY, LONGEST = 400_000, 40
+#: Words of more characters are merged from a queue, since rounds can be as many as a word has characters.
+QUEUED = 512
 NONE = np.int32(2**31 - 1)
 _FOREIGN = 1 << 21  # symbols from here on are characters that no merge takes, by code point
 
@@ -134,11 +139,43 @@ class PieceModel:
             if score in shared or least.get(i, NONE) <= rank_of[score]:
                 self.singly[rank_of[score]] = True
         self.text = [str(i) for i in range(self.size)]
+        self.queue_pairs: dict[int, tuple[int, int]] | None = None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids (32-bit bytes) of each word."""
+        ends = [self._merge_long(w) if len(w) > QUEUED else None for w in words]
+        short = iter(self._merge_rounds([w for w, ids in zip(words, ends, strict=True) if ids is None]))
+        return [self._final(next(short) if ids is None else ids) for ids in ends]
+
+    def _merge_long(self, word: str) -> bytes:
+        """The same merges from a queue of pairs by rank and place, whose time grows with the length's logarithm only."""
+        if self.queue_pairs is None:
+            used = np.flatnonzero(self.pairs.keys >= 0)
+            self.queue_pairs = dict(zip(self.pairs.keys[used].tolist(), zip(self.pairs.ranks[used].tolist(), self.pairs.results[used].tolist(), strict=True), strict=True))
+        sym = self.char[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist()
+        n, find = len(sym), self.queue_pairs.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(pair[0], i, sym[i], sym[i + 1], pair[1]) for i in range(n - 1) if (pair := find(sym[i] << 32 | sym[i + 1]))]
+        heapq.heapify(queue)
+        while queue:
+            _, i, left, right, result = heapq.heappop(queue)
+            j = after[i]
+            if sym[i] != left or j >= n or sym[j] != right:
+                continue  # one of the two has been merged since
+            sym[i], sym[j] = result, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if pair := find(result << 32 | sym[k]):
+                    heapq.heappush(queue, (pair[0], i, result, sym[k], pair[1]))
+            h = before[i]
+            if h >= 0 and (pair := find(sym[h] << 32 | result)):
+                heapq.heappush(queue, (pair[0], h, sym[h], result, pair[1]))
+        return np.array([x for x in sym if x >= 0], np.int32).tobytes()
+
+    def _merge_rounds(self, words: list[str]) -> list[bytes]:
         lens = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         word = np.repeat(np.arange(len(words)), lens)
@@ -180,7 +217,7 @@ class PieceModel:
             sym, word, rank, into = sym[keep], word[keep], rank[keep], into[keep]
             here = moved[pick]
             check = np.unique(np.concatenate([here, here[here > 0] - 1]))
-        return [self._final(ids) for ids in out]
+        return out
 
     def _final(self, ids: bytes) -> bytes:
         a = np.frombuffer(ids, np.int32)

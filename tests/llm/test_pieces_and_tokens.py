@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -107,3 +108,19 @@ def test_lengths_are_a_code_within_the_limit(counts):
     codes = token_files.canonical(lengths)
     words = sorted(format(int(c), f"0{n}b") for c, n in zip(codes, lengths, strict=True) if n)
     assert all(not b.startswith(a) for a, b in zip(words, words[1:]))
+
+
+def test_long_words_end_and_equal_the_library():
+    library, m, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_bpe.model(PIECES), random.Random(9)
+    for text in ["x" * 5000, " " * 3001, "ab" * 2000, "".join(rng.choices("etaoin shrdlu", k=4000)).replace(" ", ""), "é中🙂" * 700, "a" + " " * 2000 + "b"]:
+        assert m.encode([text])[0].tolist() == library.encode(text)
+    for text in (" " * 1_000_000, "".join(rng.choices("etaoinshrdlu", k=100_000))):
+        began = time.time()
+        ids = m.encode([text])[0].tolist()
+        assert time.time() - began < 60 and ids == library.encode(text)
+
+
+def test_queue_and_rounds_agree():
+    m, rng = piece_bpe.model(PIECES), random.Random(10)
+    words = ["▁" + "".join(rng.choices("▁▁etaoinshrdlu.,0", k=rng.randint(1, 60))) for _ in range(600)]
+    assert [m._merge_long(w) for w in words] == m._merge_rounds(words)
