@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefgraph.llm.common import ship_package, utf8
+from prefgraph.llm.common import ship_package, staged, utf8
 
 BLOCK, INTERVAL, GROUP = 64, 16, 1 << 20
 #: Code lengths of the writer's tables. DC: 4 bits for each category. AC by (zero run, size): short for runs of 0.
@@ -416,10 +416,10 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_media(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, n_bytes, media): the texts' payloads as JPEG files in a binary column."""
+    """(doc_id, n_bytes, media): the texts' payloads as JPEG files in a binary column, written to the shared folder."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_store, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return staged(rows.mapInArrow(_store, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary"), "media")
 
 
 def media_features(media: DataFrame) -> DataFrame:
