@@ -3,10 +3,11 @@
 Words are ``\\w+`` in lower case. Where a text shares two neighbouring words with a template, the distance between the two
 places is a diagonal. Each dense diagonal makes a window of the text, as long as the template and a margin, once cut at the
 neighbouring copies and once not; dense diagonals nearer than the template's length, and chains of near diagonals, make wider windows
-for copies with insertions. Findings of windows that are wider or not cut don't count if they run over several copies. In a window, words that
+for copies with insertions. A template of which no window shows a copy is aligned with the whole text if that holds enough of its words. Findings of windows that are wider or not cut don't count if they run over several copies. In a window, words that
 occur once on both sides are anchors, the longest increasing run of them is kept, and the gaps between anchors are aligned
 alike. Coverage is the share of the template's words that are aligned. A window counts from ``LEAST`` on; of windows that
-overlap in the text the one with the higher coverage is kept (then the longer template, then the name).
+overlap in the text the one with more aligned words is kept (then the higher coverage, then the name), so that a notice within an edited
+longer one doesn't take its place.
 
 Edge cases: null and empty texts and texts without any license have no findings; a template may occur any number of times in a
 text; repeated rows and null ids give a row each; an empty table gives an empty result; other columns are ignored.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from prefgraph.llm.common import ship_package
 
 LEAST = 0.8
+#: Templates of this many words or more are found with other words between theirs, in at most this multiple of their length.
+LEAST_SCATTERED, WIDEST = 20, 3
 _WORD = re.compile(r"\w+")
 
 # Public notices, by SPDX name.
@@ -48,9 +51,32 @@ TEMPLATES = {
     ),
     "MIT": "Released under the MIT License.",
     "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
-        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH '
+        "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+        "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        'documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" '
+        "AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+        "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; "
+        "OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+        "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ),
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
 }
@@ -126,6 +152,8 @@ class Scanner:
             for k, pair in enumerate(zip(t[:-1], t[1:], strict=True)):
                 self.seeds[pair].append((name, k))
         self.first = {a for a, _ in self.seeds}
+        self.distinct = {n: set(t) for n, t in self.templates.items()}
+        self.vocabulary = set().union(*self.distinct.values())
 
     def windows(self, starts: list[int], size: int) -> dict[tuple[int, int], int]:
         """Windows (from, to) of a text by sorted diagonals, with 0 for one diagonal's, cut at the neighbouring copies, 1 for several
@@ -156,6 +184,19 @@ class Scanner:
                 group.append(s)
         return {w: level for w, level in out.items() if w[1] > 0}
 
+    def scattered(self, ws: list[str], have: set[str]) -> list[dict]:
+        """Templates that windows don't show since other words stand between theirs: the whole text is aligned if it holds enough of
+        a template's words, and the copy must not be wider than ``WIDEST`` times the template."""
+        out, there = [], self.vocabulary.intersection(ws)
+        for name, own in self.distinct.items():
+            template = self.templates[name]
+            if name in have or len(template) < LEAST_SCATTERED or len(own & there) < self.least * len(own):
+                continue
+            pairs = align(ws, template)
+            if len(pairs) >= self.least * len(template) and pairs[-1][0] + 1 - pairs[0][0] <= WIDEST * len(template):
+                out.append({"license": name, "coverage": len(pairs) / len(template), "first": pairs[0][0], "stop": pairs[-1][0] + 1})
+        return out
+
     def find(self, text: str | None) -> list[dict]:
         """Findings (license, coverage, first, stop: places of words) in the order of the text."""
         ws = words(text)
@@ -178,12 +219,17 @@ class Scanner:
                 ends = [f["stop"] for f in copies]
                 copies = sorted(copies + [f for f in level if not _runs_over(f, copies, ends)], key=lambda f: f["stop"])
             found += copies
-        found.sort(key=lambda f: (-f["coverage"], -len(self.templates[f["license"]]), f["license"], f["first"]))
-        kept: list[dict] = []
+        found += self.scattered(ws, {f["license"] for f in found})
+        aligned = lambda f: round(f["coverage"] * len(self.templates[f["license"]]))
+        found.sort(key=lambda f: (-aligned(f), -f["coverage"], f["license"], f["first"]))
+        kept: list[dict] = []  # in the order of the text, without overlaps
+        firsts: list[int] = []
         for f in found:
-            if all(f["stop"] <= k["first"] or k["stop"] <= f["first"] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f["first"])
+            k = bisect.bisect_left(firsts, f["first"])
+            if (k == 0 or kept[k - 1]["stop"] <= f["first"]) and (k == len(kept) or f["stop"] <= kept[k]["first"]):
+                firsts.insert(k, f["first"])
+                kept.insert(k, f)
+        return kept
 
 
 def _scan(templates: dict[str, str], least: float):
