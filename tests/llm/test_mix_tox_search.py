@@ -1,5 +1,7 @@
 """Mixture, toxicity, licenses, search and the pipeline."""
 
+import hashlib
+import math
 import random
 import time
 import zlib
@@ -196,6 +198,40 @@ def test_licenses(spark):
     assert license_scan.license_scan(rows.limit(0)).count() == 0
 
 
+def brute_alignment(text, template):
+    """Words of a template in the longest common rising sequence with a text."""
+    row = [0] * (len(template) + 1)
+    for w in text:
+        before = row[:]
+        for k, t in enumerate(template):
+            row[k + 1] = max(before[k + 1], row[k], before[k] + 1) if t == w else max(before[k + 1], row[k])
+    return row[-1]
+
+
+def test_alignment_is_never_more_than_the_longest_common_sequence():
+    """Patience alignment is a common sequence, and all of it where words are distinct."""
+    rng = random.Random(17)
+    for _ in range(200):
+        template = rng.sample([f"t{k}" for k in range(60)], 30)
+        text = [w for t in template if rng.random() < 0.9 for w in ([t] if rng.random() < 0.8 else [t, f"x{rng.randrange(9)}"])]
+        pairs = license_scan.align(text, template)
+        assert len(pairs) == brute_alignment(text, template) and all(text[a] == template[b] for a, b in pairs)
+        assert all(x < z and y < t for (x, y), (z, t) in zip(pairs, pairs[1:], strict=False))
+        both = [rng.choice("abcd") for _ in range(25)], [rng.choice("abcd") for _ in range(20)]
+        assert len(license_scan.align(*both)) <= brute_alignment(*both)
+
+
+def test_licenses_with_words_between_and_in_great_number():
+    s = license_scan.Scanner()
+    for name, template in license_scan.TEMPLATES.items():
+        if len(license_scan.words(template)) >= license_scan.LEAST_SCATTERED:
+            spread = " ".join(f"{w} filler{k}" for k, w in enumerate(license_scan.words(template)))
+            assert name in [f["license"] for f in s.find("some prose " * 50 + spread)]
+    began = time.time()
+    assert len(s.find("Released under the MIT License. " * 20_000)) == 20_000
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("edited", [False, True])
 @pytest.mark.parametrize("name", license_scan.TEMPLATES)
 def test_every_copy_of_a_license_is_found(name, edited):
@@ -239,6 +275,31 @@ def test_search_with_odd_rows(spark):
     assert bm25.top_k(docs.limit(0), docs.limit(0)).count() == 0
 
 
+def test_search_through_many_shards_equals_all_scores(spark):
+    """Shards of 64 documents and blocks of 3 queries, copies and ties included, against every score in plain Python."""
+    rng = random.Random(21)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.choice([3, 20, 80, 300])))) for k in range(700)]
+    rows += [(700 + k, rows[k * 50][1]) for k in range(14)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    asked = [(d, t) for d, t in rows if d % 50 == 0]
+    got = {}
+    for r in bm25.top_k(docs, spark.createDataFrame(asked, "doc_id long, text string"), k=7, shard=64, block=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
+    counts = [Counter(t.split()) for _, t in rows]
+    df = Counter(w for c in counts for w in c)
+    mean, idf = sum(map(Counter.total, counts)) / len(rows), {w: math.log1p((len(rows) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    weigh = lambda c, w: idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) if w in c else 0.0
+    merged = {}
+    for d, t in asked:
+        merged.setdefault(d, set()).update(t.split())
+    for d, terms in merged.items():
+        scores = sorted((-round(s, 6), rows[k][0]) for k, c in enumerate(counts) if (s := sum(weigh(c, w) for w in terms)) > 0)[:7]
+        found = sorted(got[d])
+        assert [r for r, _, _ in found] == list(range(1, len(scores) + 1))
+        assert all(abs(f[2] + s[0]) < 3e-6 for f, s in zip(found, scores, strict=True))
+        assert [f[1] for f in found] == [s[1] for s in scores]
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
@@ -251,3 +312,50 @@ def test_pipeline_stages(spark, sf):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sizes[0] >= sizes[1] > sizes[2] and sizes[3] == sizes[4] > 0
     assert corpus_pipeline.run(spark, sf).count() == sizes[4]
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and columns whose names the stages use, against plain Python."""
+    import corpus_pipeline
+    import sentencepiece
+
+    rng = random.Random(31)
+    kinds = "doc_id long, text string, lang string, source string, n_chars int, score double, kept boolean, taken long, weight double, size long"
+    rows, labels = [], []
+    for k in range(400):
+        words = rng.choices(WORDS, k=rng.randint(6, 60))
+        if k % 8 == 0:
+            words = [w for pair in zip(words, rng.choices(["vile", "scurvy"], k=len(words)), strict=True) for w in pair]
+        rows.append((k, " ".join(words), "en", rng.choice(["a", "b", "b", "b", None]), 1, 1.0, False, 5, 0.1, 3))
+        labels.append((k, rng.choice([0, 1, None]), int(k % 8 == 0) if k % 11 else None))
+    odd = [(1000, None), (1001, ""), (1002, " \n "), (None, "no id here at all"), (1003, "a b"), (1004, " ".join(WORDS * 400)), (1005, rows[1][1] + " and more")]
+    rows += [(d, t, None, None, None, None, None, None, None, None) for d, t in odd] + [rows[3], rows[3], (2000, *rows[5][1:])]
+    docs = spark.createDataFrame(rows, kinds)
+    spark.createDataFrame([*labels, (None, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        seen.append(mixture.staged(stage(spark, seen[-1], str(tmp_path)), f"odd-{name}"))
+        assert name == "pieces" or seen[-1].columns == docs.columns
+    clean, once, mixed, pieces = ([tuple(r) for r in d.collect()] for d in seen[1:])
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    order = lambda rs: sorted(rs, key=repr)
+    assert order(clean) == order(r for r in rows if model.score(r[1]) < toxicity.THRESHOLD) and len(rows) - len(clean) > 40
+    assert {r[0] for r in clean} >= {1000, 1001, 1002, None, 1003, 1004}
+    # copies: 2000 repeats 5, the repeats of 3 are one row, texts without words stay
+    ids = Counter(r[0] for r in once)
+    assert set(once) <= set(clean) and ids[3] == 1 and ids[2000] == 0 and ids[5] == 1 and all(ids[k] == 1 for k in (1000, 1001, 1002, None, 1003))
+    count = lambda t: len((t or "").encode().split())
+    sizes = Counter()
+    for r in once:
+        sizes[r[3]] += count(r[1])
+    want = targets(sizes)
+    taken = Counter()
+    for r in mixed:
+        taken[r[3]] += count(r[1])
+        assert r[4] == len(r[1])
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes) and {r[0] for r in mixed} <= {r[0] for r in once}
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.public_tokenizers.path("piece_bpe_32k.model"))
+    ids_of = lambda t: library.encode(t or "")
+    assert order((r[0], len(ids_of(r[1])), hashlib.sha256(",".join(map(str, ids_of(r[1]))).encode()).hexdigest()) for r in mixed) == order(r[:3] for r in pieces)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, k
