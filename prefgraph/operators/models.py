@@ -101,3 +101,59 @@ def prediction_metrics(rows: DataFrame, keys: list[str], p: str = "p_a") -> Data
     out = mean_losses(edge_losses(pairs, "_p", "_wi", "_wj"), keys, "straight")
     flipped = mean_losses(edge_losses(pairs.withColumn("_p", 1 - F.col("_p")), "_p", "_wi", "_wj"), keys, "flipped").drop("flipped_weight", "flipped_edges")
     return out.join(flipped, keys)
+
+
+#: Metrics of single scored rows and of their pairs, as expressions of the sums that ``row_metrics`` makes.
+ROW_METRICS = {
+    "weight": "weight",
+    "log_loss": "log_loss",
+    "brier": "brier",
+    "accuracy": "1 - error_rate",
+    "error_rate": "error_rate",
+    "calibration": "abs(mean_target_a - mean_p_a)",
+    "pair_calibration": "pair_calibration",
+    "majority_error": "majority_error",
+    "flipped_log_loss": "flipped_log_loss",
+    "flipped_brier": "flipped_brier",
+    "flipped_error_rate": "flipped_error_rate",
+    "flipped_pair_calibration": "flipped_pair_calibration",
+    "flipped_majority_error": "flipped_majority_error",
+    "flip_gain": "error_rate - flipped_error_rate",
+    "flip_majority_gain": "majority_error - flipped_majority_error",
+    "majority_less_row_error": "majority_error - error_rate",
+    "mean_target_a": "mean_target_a",
+    "mean_p_a": "mean_p_a",
+    "pair_mean_observed": "pair_mean_observed",
+    "pair_mean_predicted": "pair_mean_predicted",
+    "observed_majority_i": "observed_majority_i",
+    "predicted_majority_i": "predicted_majority_i",
+    "target_mismatch": "target_mismatch",
+}
+
+
+def row_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_obs, edges and ``ROW_METRICS`` of scored rows (row_sign of A, sign of i, weight, i, j, a_is_i, p_a): weighted means over rows and over
+    pairs, the same of 1 - p_a, and how often a row's winner isn't its edge's.
+
+    A prediction of 0.5 says A; a pair whose observed or predicted rate is one half has majority error one half.
+    """
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("p_a")))
+    rows = rows.select(*keys, "i", "j", "a_is_i", "weight", p.alias("p"), (F.col("row_sign") > 0).cast("int").alias("a"), (F.col("sign") > 0).cast("int").alias("t"))
+    mean = lambda x: F.sum(F.col("weight") * x) / F.sum("weight")
+    q, a = F.col("p"), F.col("a")
+    loss = lambda x: -F.when(a == 1, F.log(x)).otherwise(F.log(1 - x))
+    wrong = lambda x: ((x >= 0.5) != (a == 1)).cast("int")
+    of_rows = rows.groupBy(*keys).agg(
+        F.sum("weight").alias("weight"), F.count("*").alias("n_obs"), mean(loss(q)).alias("log_loss"), mean(loss(1 - q)).alias("flipped_log_loss"), mean((q - a) ** 2).alias("brier"), mean((1 - q - a) ** 2).alias("flipped_brier"),
+        mean(wrong(q)).alias("error_rate"), mean(wrong(1 - q)).alias("flipped_error_rate"), mean(a).alias("mean_target_a"), mean(q).alias("mean_p_a"),
+        mean((F.when(F.col("a_is_i"), a).otherwise(1 - a) != F.col("t")).cast("int")).alias("target_mismatch"),
+    )
+    pairs = rows.groupBy(*keys, "i", "j").agg(mean(F.col("t")).alias("o"), mean(F.when(F.col("a_is_i"), q).otherwise(1 - q)).alias("q"), F.sum("weight").alias("weight"))
+    o, q = F.col("o"), F.col("q")
+    even = (F.abs(2 * o - 1) <= 1e-9) | (F.abs(2 * q - 1) <= 1e-9)
+    missed = lambda other: F.when(even, 0.5).when((o > 0.5) != other, 1.0).otherwise(0.0)
+    of_pairs = pairs.groupBy(*keys).agg(
+        F.count("*").alias("edges"), mean(F.abs(o - q)).alias("pair_calibration"), mean(F.abs(o - (1 - q))).alias("flipped_pair_calibration"), mean(missed(q > 0.5)).alias("majority_error"), mean(missed(q <= 0.5)).alias("flipped_majority_error"),
+        mean(o).alias("pair_mean_observed"), mean(q).alias("pair_mean_predicted"), mean((o > 0.5).cast("int")).alias("observed_majority_i"), mean((q > 0.5).cast("int")).alias("predicted_majority_i"),
+    )
+    return of_rows.join(of_pairs, keys).select(*keys, "n_obs", "edges", *[F.expr(e).alias(n) for n, e in ROW_METRICS.items()])

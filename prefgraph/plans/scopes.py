@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefgraph.functions.hashing import uniform
-from prefgraph.functions.labels import A_LABELS, A_SLIGHT, B_LABELS, B_SLIGHT, sign_and_weight
-from prefgraph.operators import cycles, edges, resample
+from prefgraph.functions.labels import A_LABELS, A_SLIGHT, B_LABELS, B_SLIGHT, safe_name, sign_and_weight
+from prefgraph.operators import cycles, edges, models, resample
 from prefgraph.operators import scopes as ops
-from prefgraph.plans import comparisons, inference, preferences
+from prefgraph.operators import tournament as t
+from prefgraph.plans import comparisons, inference, preferences, tournaments
 from prefgraph.sources.fixtures import ASPECTS, table
-from prefgraph.sources.scans import read_shards
+from prefgraph.sources.scans import read_shards, scratch
 
 #: Labels that say nothing and spellings that only the general rule knows, beside the known ones.
 OTHER = ("tie", "both", "no-preference", "model-a", "a>b", "better", "Answer A Better", "answer_b_slightly_better")
 SPELLINGS = (*A_LABELS, *A_SLIGHT, *B_LABELS, *B_SLIGHT, *OTHER)
-REPS, PERMUTATIONS, SEED = 200, 500, 1009
+REPS, PERMUTATIONS, NULLS, SEED = 200, 500, 50, 1009
 LEAST_TRIPLES, TOP = 3, 20
 
 
@@ -34,8 +32,7 @@ def label_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shard_union(spark, sf_dir):
     """Customers in three CSV shards with different columns in different orders, joined by name."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="prefgraph-shards-")
-    folder = f"{root.rstrip('/')}/shards-{uuid.uuid4().hex}"
+    folder = scratch(spark, "shards")
     rows = table(spark, sf_dir, "customer")
     for k, columns in enumerate((["c_custkey", "c_nationkey"], ["c_acctbal", "c_custkey"], ["c_nationkey", "c_custkey", "c_acctbal"])):
         rows.where(f"c_custkey % 3 = {k}").select(*columns).write.option("header", True).csv(f"{folder}/shard-{k}")
@@ -118,7 +115,40 @@ def permutation_p(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 6) for c in ("slope", "p")})
 
 
-QUERIES = {f.__name__: f for f in (label_spellings, shard_union, stable_sample, prompt_group_flow, top_cycle_rates, scope_bundle, cycle_rate_table, margin_matrix, display_names, triplet_catalogue, bootstrap_summary, row_bootstrap, permutation_p)}
+def safe_scope_names(spark, sf_dir):
+    """Part types as names of files and scopes."""
+    return table(spark, sf_dir, "part").groupBy(safe_name(F.concat_ws(": ", "p_brand", "p_type"), 20).alias("name")).agg(F.count("*").alias("n"))
+
+
+def sign_sanity(spark, sf_dir):
+    """Row and pair metrics of scored P(A), as they are and flipped, and how often a row's and its edge's winner differ; A is the
+    alternative that comes later by name in every third prompt, where the row's sign is left unturned in every tenth of these."""
+    rows = preferences.obs(spark, sf_dir).withColumn("p_a", F.round(uniform(7, F.col("prompt_id"), F.col("i"), F.col("j")), 9))
+    rows = rows.withColumn("a_is_i", F.col("prompt_id") % 3 != 0)
+    turned = F.when(F.col("a_is_i") | (F.col("prompt_id") % 30 == 0), F.col("sign")).otherwise(-F.col("sign"))
+    out = models.row_metrics(rows.withColumn("row_sign", turned), ["annotation_group", "aspect"])
+    return out.withColumns({c: F.round(c, 6) + 0.0 for c in out.columns if c.split("_")[-1] not in ("group", "aspect", "obs", "edges")})
+
+
+def null_comparison(spark, sf_dir):
+    """Means over countries of the tournament metrics, observed and with users dealt anew: z and the share of draws that reach as much."""
+    users, n = tournaments.country_users(spark, sf_dir), len(tournaments.BRANDS)
+
+    def means(groups: DataFrame, keys: list[str]) -> DataFrame:
+        folder = scratch(spark, "tournaments")  # a few rows per draw and country, read by every metric
+        t.wins(groups, n, [*keys, "country"]).write.parquet(folder)
+        w = spark.read.parquet(folder)
+        both = t.condorcet_count(w, [*keys, "country"], n).join(t.odd_parity(w, [*keys, "country"]), [*keys, "country"])
+        return ops.unpivoted_means(both.withColumn("obstructed", F.col("obstructed").cast("int")), keys, ["cycles", "fraction", "odd_parity", "obstructed"])
+
+    null = means(resample.permuted_groups(users, "country", NULLS, SEED), ["rep"])
+    observed = means(users.withColumn("rep", F.lit(-1)), ["rep"]).select("metric", F.col("value").alias("observed"))
+    # four rows of observed means
+    out = ops.against_null(null.join(F.broadcast(observed), "metric"), ["metric"], "value", "observed")
+    return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("observed", "null_mean", "null_sd", "z", "p")})
+
+
+QUERIES = {f.__name__: f for f in (label_spellings, shard_union, stable_sample, prompt_group_flow, top_cycle_rates, scope_bundle, cycle_rate_table, margin_matrix, display_names, triplet_catalogue, bootstrap_summary, row_bootstrap, permutation_p, safe_scope_names, sign_sanity, null_comparison)}
 
 _LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _U = inference._U
@@ -165,4 +195,24 @@ select o.scope, min(n) as n, round(min(mean), 6) as mean, round(quantile_cont(m,
 d as (select scope, aspect, rep, rho, row_number() over (partition by scope, aspect, rep order by {_U('rep', 'region')}, region) as p from rg cross join (select unnest(range({PERMUTATIONS})) as rep)),
 n as (select d.scope, rep, regr_slope(size, d.rho) as slope from d join base on d.scope = base.scope and d.aspect = base.aspect and d.p = base.p group by 1, 2), o as (select scope, count(*) as n, regr_slope(size, rho) as slope from rg group by 1)
 select o.scope, min(o.n) as n, round(min(o.slope), 6) as slope, round((count(*) filter (where abs(n.slope) >= abs(o.slope) - 1e-12) + 1) / (count(*) + 1), 6) as p from o join n on o.scope = n.scope group by 1""",
+    "safe_scope_names": "select substr(regexp_replace(p_brand || ': ' || p_type, '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 20) as name, count(*) as n from part group by 1",
+    "sign_sanity": f"""with {preferences.OBS_SQL}, x0 as (select *, round(cast('0x' || substr(md5(concat_ws('|', '7', prompt_id, i, j)), 1, 8) as bigint) / 4294967296.0::double, 9) as p_a, prompt_id % 3 <> 0 as ai from obs),
+x as (select *, case when ai or prompt_id % 30 = 0 then sign else -sign end as rs from x0),
+r as (select *, (rs > 0)::int as ta, greatest(1e-12, least(1 - 1e-12, p_a)) as p, (sign > 0)::int as ti from x), q as (select *, case when ai then p else 1 - p end as pi, case when ai then ta else 1 - ta end as tr from r),
+rm as (select annotation_group, aspect, sum(weight) as weight, count(*) as n_obs, sum(weight * -(case when ta = 1 then ln(p) else ln(1 - p) end)) / sum(weight) as log_loss, sum(weight * -(case when ta = 1 then ln(1 - p) else ln(p) end)) / sum(weight) as flipped_log_loss,
+  sum(weight * (p - ta) * (p - ta)) / sum(weight) as brier, sum(weight * (1 - p - ta) * (1 - p - ta)) / sum(weight) as flipped_brier, sum(weight * ((p >= 0.5) <> (ta = 1))::int) / sum(weight) as error_rate, sum(weight * ((1 - p >= 0.5) <> (ta = 1))::int) / sum(weight) as flipped_error_rate,
+  sum(weight * ta) / sum(weight) as mean_target_a, sum(weight * p) / sum(weight) as mean_p_a, sum(weight * (tr <> ti)::int) / sum(weight) as target_mismatch from q group by 1, 2),
+pr as (select annotation_group, aspect, i, j, sum(weight) as w, sum(weight * ti) / sum(weight) as o, sum(weight * pi) / sum(weight) as p from q group by 1, 2, 3, 4),
+pm as (select annotation_group, aspect, count(*) as edges, sum(w * abs(o - p)) / sum(w) as pair_calibration, sum(w * abs(o - (1 - p))) / sum(w) as flipped_pair_calibration,
+  sum(w * case when abs(2 * o - 1) <= 1e-9 or abs(2 * p - 1) <= 1e-9 then 0.5 when (o > 0.5) <> (p > 0.5) then 1 else 0 end) / sum(w) as majority_error, sum(w * case when abs(2 * o - 1) <= 1e-9 or abs(2 * p - 1) <= 1e-9 then 0.5 when (o > 0.5) = (p > 0.5) then 1 else 0 end) / sum(w) as flipped_majority_error,
+  sum(w * o) / sum(w) as pair_mean_observed, sum(w * p) / sum(w) as pair_mean_predicted, sum(w * (o > 0.5)::int) / sum(w) as observed_majority_i, sum(w * (p > 0.5)::int) / sum(w) as predicted_majority_i from pr group by 1, 2)
+select rm.annotation_group, rm.aspect, n_obs, edges, {", ".join(f"round({e}, 6) + 0.0 as {n}" for n, e in models.ROW_METRICS.items())} from rm join pm on rm.annotation_group = pm.annotation_group and rm.aspect = pm.aspect""",
+    "null_comparison": f"""with {tournaments.DENSE_SQL}, m as (select distinct user_id, country from dense where country in (select country from elig)), slots as (select country, row_number() over (order by country, user_id) as position from m),
+dealt as (select rep, user_id, row_number() over (partition by rep order by {_U('rep', 'user_id')}, user_id) as position from m cross join (select unnest(range({NULLS})) as rep)),
+g as (select rep || '|' || slots.country as country, user_id from dealt join slots on dealt.position = slots.position union all select 'observed|' || country, user_id from m),
+w0 as (select g.country, x.a as i, y.a as j, {tournaments._WIN} from g join dense x on g.user_id = x.user_id join dense y on x.user_id = y.user_id and x.a < y.a group by 1, 2, 3), w as (select *, wins_i >= wins_j as beats from w0), {tournaments._T4}, {tournaments._CC},
+b as (select split_part(cc.country, '|', 1) as rep, avg(cycles) as cycles, avg(fraction) as fraction, avg(odd_parity) as odd_parity, avg((odd_parity > 0)::int) as obstructed from cc join par on cc.country = par.country group by 1),
+l as (unpivot b on cycles, fraction, odd_parity, obstructed into name metric value value), o as (select metric, value as observed from l where rep = 'observed'),
+s as (select l.metric, min(observed) as observed, avg(value) as null_mean, stddev_pop(value) as null_sd, count(*) filter (where value >= observed - 1e-9) / count(*) as p from l join o on l.metric = o.metric where rep <> 'observed' group by 1)
+select metric, round(observed, 6) + 0.0 as observed, round(null_mean, 6) + 0.0 as null_mean, round(null_sd, 6) + 0.0 as null_sd, case when null_sd > 0 then round((observed - null_mean) / null_sd, 6) + 0.0 end as z, round(p, 6) + 0.0 as p from s""",
 }

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path where the cluster keeps checkpoints. Only in local mode, and where none is named, one on this machine."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="prefgraph-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def kept_rows(rows: DataFrame, numbers: dict[str, str], condition: str = "true") -> DataFrame:
     """Text cells cast to numbers, bad ones null, with _valid: all numbers there and the condition met."""
     cast = rows.withColumns({c: F.col(c).try_cast(kind) for c, kind in numbers.items()})

@@ -253,3 +253,20 @@ def test_transitive_null_draws_as_often_as_the_reference(spark, monkeypatch):
     flow = spark.createDataFrame([(5, "a", "b", 0.2, 40), (5, "a", "c", -0.4, 30), (5, "b", "c", 0.3, 50)], "score_delta int, i string, j string, margin double, support long")
     monkeypatch.setattr(comparisons, "user_edges", lambda *_: flow)
     assert len({r["rep"] for r in inference.transitive(spark, "").select("rep").collect()}) == 200
+
+
+@pytest.mark.parametrize("turned, flipped", [(False, False), (True, False), (False, True)])
+def test_row_metrics_in_every_orientation(spark, turned, flipped):
+    """Rows whose A is i or j and a predictor that is right or turned around: error and sanity metrics tell which."""
+    data = []
+    for a_is_i in (True, True, False):  # i wins every row
+        row_sign = 1 if a_is_i else -1
+        p = 0.9 if a_is_i != flipped else 0.1
+        data.append(("k", "x", "y", a_is_i, 2.0, -1 if turned else 1, row_sign, p))
+    frame = spark.createDataFrame(data, "k string, i string, j string, a_is_i boolean, weight double, sign int, row_sign int, p_a double")
+    m = models.row_metrics(frame, ["k"]).first()
+    assert m["n_obs"] == 3 and m["edges"] == 1 and m["weight"] == 6.0
+    assert m["error_rate"] == (1.0 if flipped else 0.0) == 1 - m["flipped_error_rate"] == 1 - m["accuracy"]
+    assert m["target_mismatch"] == (1.0 if turned else 0.0)
+    assert m["majority_error"] == (1.0 if turned != flipped else 0.0) == 1 - m["flipped_majority_error"]
+    assert abs(m["log_loss"] + math.log(0.1 if flipped else 0.9)) < 1e-12 and abs(m["brier"] - (0.81 if flipped else 0.01)) < 1e-12
