@@ -18,10 +18,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: the session's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local mode) a fresh local folder is set.
+    Only in local mode, and where none is named (tests), a fresh local folder is set.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     if not root:
         root = getattr(sc, "_prefgraph_shared", None)
         if root is None:

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from prefgraph.llm.common import ship_package
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words that a worker remembers, and their greatest length.
-MEMORY, LONGEST = 400_000, 40
+#: Words that a worker remembers, in Arrow arrays.
+MEMORY = 400_000
 #: Words of more characters are merged from a queue, since rounds can be as many as a word has characters.
 QUEUED = 512
 NONE = np.int32(2**31 - 1)
@@ -140,8 +141,7 @@ class PieceModel:
                 self.singly[rank_of[score]] = True
         self.text = [str(i) for i in range(self.size)]
         self.queue_pairs: dict[int, tuple[int, int]] | None = None
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._forget()
 
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids (32-bit bytes) of each word."""
@@ -232,34 +232,46 @@ class PieceModel:
             return np.array(flat, np.int32).tobytes()
         return ids
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        cut = []
-        for t in texts:
-            marked = (self.prefix + t).replace(" ", SPACE) if t else ""
-            if self.whole:
-                cut.append([marked] if marked else [])
-            elif SPACE * 2 in marked or marked[-1:] == SPACE or (marked and marked[0] != SPACE):
-                cut.append(WORD.findall(marked))
-            else:
-                cut.append([SPACE + w for w in marked.split(SPACE)[1:]])
-        words = [w for ws in cut for w in ws]
-        found = list(map(self.known.get, words))
-        if None in found:
-            missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
-            fresh = {w: self.older[w] for w in missing if w in self.older}
-            new = [w for w in missing if w not in fresh]
-            fresh.update(zip(new, self.merge(new), strict=True))
-            if len(self.known) > MEMORY // 2:
-                self.known, self.older = {}, self.known
-            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
-            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        at, out = 0, []
-        for ws in cut:
-            out.append(np.frombuffer(b"".join(found[at : at + len(ws)]), np.int32))
-            at += len(ws)
+    def _learned(self, words: pa.Array) -> np.ndarray:
+        """Where the worker remembers each of some distinct words, after merging those that it doesn't."""
+        if len(self.known) > MEMORY:
+            self._forget()
+        at = pc.index_in(words, value_set=self.known)
+        fresh = words.filter(pc.is_null(at))
+        out = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(fresh):
+            ids = self.merge([SPACE + w for w in fresh.to_pylist()])
+            out[out < 0] = len(self.known) + np.arange(len(ids))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.int32)])
+            self.lens = np.concatenate([self.lens, np.fromiter(map(len, ids), np.int64, len(ids)) // 4])
         return out
 
+    def _forget(self) -> None:
+        self.known, self.ids, self.lens = pa.array([], pa.string()), np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def _odd(self, text: str) -> np.ndarray:
+        """Ids of a text that isn't words with one space between them."""
+        marked = (self.prefix + text).replace(" ", SPACE) if text else ""
+        words = [marked] if self.whole and marked else WORD.findall(marked)
+        return np.frombuffer(b"".join(self.merge(words)), np.int32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Texts of words with one space between them are split by Arrow, and each distinct word is merged once while the
+        worker remembers it."""
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, f"^$|^ | $|  |{SPACE}").to_numpy(zero_copy_only=False)
+        if self.whole or not self.prefix:
+            odd[:] = True
+        cut = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+        coded = cut.flatten().dictionary_encode()
+        place = self._learned(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
+        own, starts = self.lens[place], (np.cumsum(self.lens) - self.lens)[place]
+        flat = self.ids[np.repeat(starts - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+        ends = np.append(0, np.cumsum(own))[cut.offsets.to_numpy()]
+        even = iter(np.split(flat, ends[1:-1]) if len(cut) else [])
+        return [self._odd(t) if o else next(even) for t, o in zip(texts, odd.tolist(), strict=True)]
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids) if ids else []
 

@@ -55,7 +55,7 @@ STEPS, MOST = 100, 16
 COUNTED_FROM, BINS, DRIFT = 3.0, 200, 0.05
 THRESHOLD = 0.3
 #: Tokens that a worker remembers; an older half is forgotten.
-MEMORY = 400_000
+MEMORY = 200_000
 LONG = 32
 TOKEN = re.compile(r"[^\W_](?:\S*[^\W_])?")
 LETTERS = re.compile(r"[^\W\d_]{1,24}")
