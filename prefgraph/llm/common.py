@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import importlib
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,19 @@ def ship_package(spark: SparkSession) -> None:
     sc._prefgraph_shipped = True
 
 
+def tidy(run):
+    """The batches of ``run``; then a task's freed memory goes back to the system, since its worker lives on beside the next stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def word_count(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("long")

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefgraph.llm.common import shared_dir, ship_package, staged
+from prefgraph.llm.common import shared_dir, ship_package, staged, tidy
 
 SHINGLE = 5
 BINS, ROWS = 125, 5
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = staged(rows.mapInArrow(_describe(percent), "doc_id long, n_shingles long, set_name binary, bands array<long>"), "dedup-rows")
+    described = staged(rows.mapInArrow(tidy(_describe(percent)), "doc_id long, n_shingles long, set_name binary, bands array<long>"), "dedup-rows")
     classes = staged(
         described.where("n_shingles > 0")
         .groupBy("set_name")
@@ -222,10 +222,10 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     wanted = staged(classes.drop("bands").join(wanted_ids, "class", "left_semi"), "dedup-wanted")
     one_row = described.select("doc_id", "set_name").join(wanted.select("set_name", "first_id", "class"), "set_name").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id").distinct()
     texts = rows.join(one_row, rows["doc_id"].eqNullSafe(one_row["doc_id"]), "left_semi")
-    sets = texts.select("text").mapInArrow(_full_sets, "set_name binary, bits array<long>, hashes binary")
+    sets = texts.select("text").mapInArrow(tidy(_full_sets), "set_name binary, bits array<long>, hashes binary")
     sets = staged(sets.join(wanted.select("set_name", "class"), "set_name").dropDuplicates(["class"]).select("class", "bits", "hashes"), "dedup-sets")
 
-    flat = sets.select("class", "hashes").mapInArrow(_shingles, "class long, shingle long")
+    flat = sets.select("class", "hashes").mapInArrow(tidy(_shingles), "class long, shingle long")
     alone = flat.groupBy("shingle").agg(F.min("class").alias("class"), F.count("*").alias("_k")).where("_k = 1").groupBy("class").agg(F.count("*").alias("_alone"))
     rest = F.col("n") - F.coalesce("_alone", F.lit(0))
     alive = wanted.select("class", "n").join(alone, "class", "left").select("class", "n", rest.alias("rest")).where(f"100 * rest >= {percent} * n")
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
         side = lambda name, what: sets.select(F.col("class").alias(name), F.col(what).alias(f"{name}_{what}"))
         near = pairs.join(side("y", "bits"), "y").join(side("x", "bits"), "x").where(agree("x_bits", "y_bits")).select("x", "y")
         full = near.join(side("y", "hashes"), "y").join(side("x", "hashes"), "x")
-        return staged(full.select("x", "y", F.col("x_hashes").alias("x_set"), F.col("y_hashes").alias("y_set")).mapInArrow(_confirm(percent), "x long, y long"), "dedup-links")
+        return staged(full.select("x", "y", F.col("x_hashes").alias("x_set"), F.col("y_hashes").alias("y_set")).mapInArrow(tidy(_confirm(percent)), "x long, y long"), "dedup-links")
 
     reach = lambda n, r: f"100 * least(rest, {r}) >= {percent} * (n + {n} - least(rest, {r}))"
     pivots = members.where(F.col("band") < FIRST).groupBy("bucket").agg(F.min(F.struct("class", "n", "rest")).alias("p"))

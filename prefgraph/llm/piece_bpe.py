@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefgraph.llm.common import ship_package
+from prefgraph.llm.common import ship_package, tidy
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -298,7 +298,7 @@ def _coder(path: str, full: bool):
 def _apply(docs: DataFrame, path: str, id_col: str, text_col: str, full: bool, fields: str) -> DataFrame:
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_coder(path, full), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {fields}")
+    return rows.mapInArrow(tidy(_coder(path, full)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {fields}")
 
 
 def encode_pieces(docs: DataFrame, path: str, *, id_col="doc_id", text_col="text") -> DataFrame:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefgraph.llm.common import ship_package, staged
+from prefgraph.llm.common import ship_package, staged, tidy
 from prefgraph.llm.near_dedup import shingle_set
 
 TRAINING_ROWS = 200_000
@@ -370,13 +370,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # TRAINING_ROWS rows of three numbers at most are broadcast
     rows = texts.join(F.broadcast(known), "doc_id").select("text", "toxic", "fold")
-    rows = staged(rows.mapInArrow(_known_rows, "text string, toxic int, fold int, copies long"), "toxicity-training")
+    rows = staged(rows.mapInArrow(tidy(_known_rows), "text string, toxic int, fold int, copies long"), "toxicity-training")
     sizes = rows.where("copies is not null").groupBy("copies").agg(F.count("*").alias("n"))
     # groups of at least two of the training rows: two numbers each
     rows = rows.join(F.broadcast(sizes.where("n > 1")), "copies", "left")
     rows = rows.select("text", "toxic", "fold", F.when(F.col("copies").isNull(), 0.0).otherwise(1.0 / F.coalesce("n", F.lit(1))).alias("weight"))
     sums = ("t", "c", "t3", "c3")
-    tally = rows.mapInArrow(_tally, "token string, t double, c double, t3 double, c3 double")
+    tally = rows.mapInArrow(tidy(_tally), "token string, t double, c double, t3 double, c3 double")
     counts = staged(tally.groupBy("token").agg(*[F.sum(n).alias(n) for n in sums]), "toxicity-counts")
     shares = [(f"sum({t})", f"sum({n})", f"sum(least(1, {n}) * {t} / {n})", f"sum(least(1, {n}))") for t, n in (("t", "(t + c)"), ("(t - t3)", "nullif(round(t + c - t3 - c3, 9), 0)"))]
     total = counts.where("t + c > 0").agg(*[F.coalesce(F.expr(x), F.lit(0.0)).alias(f"{k}{i}") for k, xs in zip("fw", shares, strict=True) for i, x in enumerate(xs)]).first()
@@ -387,8 +387,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     base, without = t / n, t_without / n_without if parted else t / n
     logit = lambda p: math.log(p / (1 - p))
     apart = lambda k, p: logit(k[0] / k[1]) - logit(p) if 0 < k[0] < k[1] else 0.0
-    units = counts.mapInArrow(_units, "part int, used binary, sums binary")
-    tables = units.repartition(1 << (BITS - SLICE), "part").mapInArrow(_odds(base, without), "part int, full binary, without binary").collect()
+    units = counts.mapInArrow(tidy(_units), "part int, used binary, sums binary")
+    tables = units.repartition(1 << (BITS - SLICE), "part").mapInArrow(tidy(_odds(base, without)), "part int, full binary, without binary").collect()
     # the driver gets and sends tables of 2**BITS slots, whatever the corpus
     empty = np.zeros(1)
     full, held = (np.repeat(odds(empty, empty, b), 1 << BITS, axis=1) for b in (base, without))
@@ -399,15 +399,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     offset = apart(kinds, base)
     partial = Model(held, apart(kinds_without, without)) if parted else Model(full, offset)
     shared = spark.sparkContext.broadcast(partial)
-    scored = staged(rows.where("fold = 3" if parted else "true").mapInArrow(_held(shared), "scores binary, toxic int, weight double"), "toxicity-held")
+    scored = staged(rows.where("fold = 3" if parted else "true").mapInArrow(tidy(_held(shared)), "scores binary, toxic int, weight double"), "toxicity-held")
     shared.unpersist()
     clean = scored.where("toxic = 0")
-    bins = clean.mapInArrow(_histogram, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    bins = clean.mapInArrow(tidy(_histogram), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
     partial.drift, partial.scale = drift_and_scale(np.array([(r["at"] - STEPS * MOST) / STEPS for r in bins]), np.array([r["n"] for r in bins]))
     light = Model(drift=partial.drift, scale=partial.scale)
-    count = clean.mapInArrow(_clean_segments(light), "found double, seen double").agg(F.sum("found").alias("found"), F.sum("seen").alias("seen")).first()
+    count = clean.mapInArrow(tidy(_clean_segments(light)), "found double, seen double").agg(F.sum("found").alias("found"), F.sum("seen").alias("seen")).first()
     light.k = max(count["found"] or 0.0, 1.0) / max(count["seen"] or 0.0, 1.0)
-    bins = scored.mapInArrow(_evidence(light), "bin int, toxic int, weight double").groupBy("bin").agg(F.sum(F.col("weight") * F.col("toxic")).alias("y"), F.sum("weight").alias("n")).collect()
+    bins = scored.mapInArrow(tidy(_evidence(light)), "bin int, toxic int, weight double").groupBy("bin").agg(F.sum(F.col("weight") * F.col("toxic")).alias("y"), F.sum("weight").alias("n")).collect()
     toxic, all_ = [0.0] * (BINS + 1), [0.0] * (BINS + 1)
     for r in bins:
         toxic[r["bin"]], all_[r["bin"]] = r["y"], r["n"]
@@ -433,7 +433,7 @@ def score(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text") ->
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score(shared), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<score: double, first: int, stop: int>>")
+    return rows.mapInArrow(tidy(_score(shared)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<score: double, first: int, stop: int>>")
 
 
 def _keep(model):
@@ -449,4 +449,4 @@ def _keep(model):
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below the threshold."""
     ship_package(docs.sparkSession)
-    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    return docs.mapInArrow(tidy(_keep(docs.sparkSession.sparkContext.broadcast(model))), docs.schema)
