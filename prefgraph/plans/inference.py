@@ -90,7 +90,7 @@ QUERIES = {
     "quartile_effect": lambda s, d: summaries.quartile_effect(regions(s, d), ["scope", "aspect"], "rho", "size").withColumns({c: F.round(c, 6) for c in ("effect", "effect_sd")}),
     "null_histogram": lambda s, d: summaries.histogram(regions(s, d), ["scope", "aspect"], "rho"),
     "z_scores": lambda s, d: summaries.z_scores(regions(s, d), ["scope", "aspect"], ["rho", "size"]).select("scope", "aspect", "i", "j", "k", F.round("z_rho", 6).alias("z_rho"), F.round("z_size", 6).alias("z_size")),
-    "partial_beta": lambda s, d: summaries.partial_beta(regions(s, d).withColumn("support", F.least("s_ij", "s_jk", "s_ik")), ["scope"], "size", ["rho", "support", "total_energy"]),
+    "partial_beta": lambda s, d: summaries.partial_beta(regions(s, d).withColumn("support", F.least("s_ij", "s_jk", "s_ik")), ["scope"], "size", ["rho", "support", "total_energy"]).withColumns({f"beta_{x}": F.round(f"beta_{x}", 6) + 0.0 for x in ("rho", "support", "total_energy")}),
     "strat_perm": lambda s, d: resample.stratified_permutation(regions(s, d).withColumn("triplet", F.concat_ws("|", "i", "j", "k")), ["scope", "aspect"], "triplet", "rho", REPS, SEED).select("scope", "aspect", "rep", "triplet", F.round("rho", 6).alias("rho")),
     "graph_rho_weighted": lambda s, d: graph_projection(preferences.scoped_edges(s, d), ["scope", "aspect"]).select("scope", "aspect", *[F.round(c, 5).alias(c) for c in ("total_energy", "rho")]),
     "projection_scores": lambda s, d: projection_scores(preferences.scoped_edges(s, d), ["scope", "aspect"]).withColumn("score", F.round("score", 5) + 0.0),
@@ -128,4 +128,10 @@ select b.scope, b.aspect, bins::int as bins, (case when hi > lo then least(bins
 select d.scope, d.aspect, rep::int as rep, triplet, round(rho, 6) as rho from d join base on d.scope = base.scope and d.aspect = base.aspect and d.p = base.p""",
     "graph_rho_uniform": f"""with {preferences.SCOPED_SQL}, s as (select scope, aspect, i as n, j as o, margin as m from edges union all select scope, aspect, j, i, -margin from edges), k as (select scope, aspect, count(distinct n) as k from s group by 1, 2), r as (select s.scope, s.aspect, n, sum(m) / max(k) as r from s join k on s.scope = k.scope and s.aspect = k.aspect group by 1, 2, 3)
 select e.scope, e.aspect, round(sum((margin - (a.r - b.r)) * (margin - (a.r - b.r))) / sum(margin * margin), 6) as rho from edges e join r a on a.scope = e.scope and a.aspect = e.aspect and a.n = e.i join r b on b.scope = e.scope and b.aspect = e.aspect and b.n = e.j group by 1, 2""",
+    "partial_beta": f"""with {preferences.SCOPED_SQL}, kept as (select * from edges where support >= {preferences.MIN_SUPPORT}), {preferences.TRI_SQL},
+e as (select scope, round(abs(m_ij * m_jk * m_ik), 9) as y, (m_ij + m_jk - m_ik) * (m_ij + m_jk - m_ik) / (1 / s_ij + 1 / s_jk + 1 / s_ik) as r, s_ij * m_ij * m_ij + s_jk * m_jk * m_jk + s_ik * m_ik * m_ik as c, least(s_ij, s_jk, s_ik) as b from tri),
+x as (select scope, y, round(r / c, 9) as a, b, c from e where c > 0), k as (select scope, count(*) as n, corr(y, a) as ya, corr(y, b) as yb, corr(y, c) as yc, corr(a, b) as ab, corr(a, c) as ac, corr(b, c) as bc from x group by 1),
+d as (select *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc as det from k)
+select scope, n, round((ya * (1 - bc * bc) + yb * (ac * bc - ab) + yc * (ab * bc - ac)) / det, 6) + 0.0 as beta_rho, round((ya * (ac * bc - ab) + yb * (1 - ac * ac) + yc * (ab * ac - bc)) / det, 6) + 0.0 as beta_support,
+  round((ya * (ab * bc - ac) + yb * (ab * ac - bc) + yc * (1 - ab * ab)) / det, 6) + 0.0 as beta_total_energy from d""",
 }
