@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefgraph.llm import bm25, jpeg_media, license_scan, mixture, near_dedup, piece_bpe, token_counts, token_files, toxicity, warc
+from prefgraph.llm import bm25, jpeg_media, lexical_rank, license_scan, mixture, near_dedup, piece_bpe, token_counts, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,5 +119,25 @@ select query_id, rank::int as rank, doc_id, score from r where rank <= 10
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_licenses, op3_token_counts, op4_mixture, op5_toxicity, op6_warc, op7_near_dedup, op8_token_files, op9_pieces, op10_bm25)}
-ORACLE_SQL = {"op4_mixture": OP4_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op10_bm25": OP10_SQL}
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13_SQL = f"""
+with d as (select doc_id, row_number() over () as row_id, {_TERMS} as ts from documents),
+s as (select count(*) filter (len(ts) > 0) as docs, sum(len(ts))::bigint as words from d),
+q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+w as (select doc_id, row_id, len(ts) as n, unnest(ts) as term from d),
+tf as (select row_id, any_value(doc_id) as doc_id, any_value(n)::bigint as n, term, count(*)::bigint as tf from w where term in (select term from q) group by row_id, term),
+df as (select term, count(*)::bigint as df from tf group by term),
+k as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as weight from df cross join s),
+r as (select q.item_id, tf.row_id, any_value(tf.doc_id) as doc_id,
+    sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::bigint as score
+  from q join tf on q.term = tf.term join k on k.term = q.term cross join s group by 1, 2),
+o as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from r where score > 0)
+select item_id, rank::int as rank, doc_id, score from o where rank <= 50
+"""
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_licenses, op3_token_counts, op4_mixture, op5_toxicity, op6_warc, op7_near_dedup, op8_token_files, op9_pieces, op10_bm25, op13_lexical_rank)}
+ORACLE_SQL = {"op4_mixture": OP4_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op10_bm25": OP10_SQL, "op13_lexical_rank": OP13_SQL}
