@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefgraph.llm import bm25, jpeg_media, lexical_rank, license_scan, mixture, near_dedup, piece_bpe, token_counts, token_files, toxicity, warc, whitening
+from prefgraph.llm import bm25, jpeg_media, lexical_rank, license_scan, mixture, near_dedup, piece_bpe, token_counts, token_files, toxicity, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +119,10 @@ select query_id, rank::int as rank, doc_id, score from r where rank <= 10
 """
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -143,5 +147,5 @@ o as (select item_id, row_number() over (partition by item_id order by score des
 select item_id, rank::int as rank, doc_id, score from o where rank <= 50
 """
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_licenses, op3_token_counts, op4_mixture, op5_toxicity, op6_warc, op7_near_dedup, op8_token_files, op9_pieces, op10_bm25, op12_whitening, op13_lexical_rank)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_licenses, op3_token_counts, op4_mixture, op5_toxicity, op6_warc, op7_near_dedup, op8_token_files, op9_pieces, op10_bm25, op11_url_filter, op12_whitening, op13_lexical_rank)}
 ORACLE_SQL = {"op4_mixture": OP4_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op10_bm25": OP10_SQL, "op13_lexical_rank": OP13_SQL}
