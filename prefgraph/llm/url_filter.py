@@ -142,7 +142,7 @@ def judge(pages: DataFrame, *, rules=RULES, seeds=SEEDS, id_col="page_id", url_c
     keyed = staged(parsed.withColumn("names", F.concat(names_of(F.col("host")), names_of(F.col("path")))).withColumn("key", F.concat_ws(" ", "names")), "url-parsed")
     rows = keyed.select("key", "names").groupBy("key").agg(F.first("names").alias("names"))
     uses = staged(rows.select("key", F.explode("names").alias("name")), "url-names")
-    split = staged(split_names(uses.select("name").distinct(), word_counts(pages, html_col, seeds)), "url-words")
+    split = staged(split_names(uses.select("name").distinct(), staged(word_counts(pages, html_col, seeds), "url-counts")), "url-words")
     marked = split.withColumn("seeded", F.exists("words", lambda w: w.isin(*seeds)) if seeds else F.lit(False))
     used = uses.join(marked, "name")
     unwanted = used.groupBy("key").agg(F.max("seeded").alias("bad"))
