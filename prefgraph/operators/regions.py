@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from prefgraph.operators.cycles import triplet_residual
 from prefgraph.operators.edges import scoped_edge_flow
 from prefgraph.operators.models import LOSSES, bt_triplet, edge_losses, mean_losses, pairwise_p, sigmoid
+from prefgraph.operators.ordering import quantiles
+from prefgraph.operators.summaries import corr
 
 KEYS = ["split", "scope", "aspect"]
 REGION = [*KEYS, "i", "j", "k"]
@@ -60,7 +62,8 @@ def region_table(train: DataFrame, test: DataFrame, min_support: float = 5, min_
 
 def routing_table(regions: DataFrame, keys: list[str], fractions=(0.0, 0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Weighted losses when the share ``fraction`` of regions with the highest residual goes to the pairwise model."""
-    cuts = regions.groupBy(*keys).agg(F.array(*[F.struct(F.lit(f).alias("fraction"), F.percentile("rho", 1 - f).alias("cut")) for f in fractions]).alias("_f"))
+    at = quantiles(regions, keys, "rho", {f"_{k}": 1 - f for k, f in enumerate(fractions)})
+    cuts = at.select(*keys, F.array(*[F.struct(F.lit(f).alias("fraction"), F.col(f"_{k}").alias("cut")) for k, f in enumerate(fractions)]).alias("_f"))
     stacked = ", ".join(f"'{m}', bt_{m}, pair_{m}" for m in LOSSES)
     rows = regions.select(*keys, "rho", F.col("pair_weight").alias("w"), F.expr(f"stack({len(LOSSES)}, {stacked}) as (metric, scalar, pairwise)"))
     rows = rows.join(cuts, keys).withColumn("_f", F.explode("_f"))
@@ -73,7 +76,7 @@ def routing_table(regions: DataFrame, keys: list[str], fractions=(0.0, 0.1, 0.25
 def outcome_cube(regions: DataFrame, outcomes: list[str]) -> DataFrame:
     """Means by scope, by aspect, by both and of all, in one pass."""
     long = regions.select("scope", "aspect", "rho", F.expr(f"stack({len(outcomes)}, " + ", ".join(f"'{o}', {o}" for o in outcomes) + ") as (outcome, value)"))
-    return long.cube("scope", "aspect", "outcome").agg(F.grouping_id("scope", "aspect", "outcome").alias("_g"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.corr("rho", "value").alias("corr_rho")).where("_g % 2 = 0").select(
+    return long.cube("scope", "aspect", "outcome").agg(F.grouping_id("scope", "aspect", "outcome").alias("_g"), F.count("value").alias("n"), F.avg("value").alias("mean"), corr("rho", "value").alias("corr_rho")).where("_g % 2 = 0").select(
         F.when(F.col("_g").isin(4, 6), "every").otherwise(F.col("scope")).alias("scope"), F.when(F.col("_g").isin(2, 6), "every").otherwise(F.col("aspect")).alias("aspect"), "outcome", "n", "mean", "corr_rho"
     )
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefgraph.functions.ranking import average_rank
+from prefgraph.functions.special import correlation_p
+from prefgraph.operators.ordering import adjusted, average_ranks, quantiles
 
 
 def finite(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -19,19 +20,24 @@ def finite(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(ok)
 
 
+def corr(x: str, y: str) -> Column:
+    """Pearson's correlation, null where a column is constant (the built-in one divides by zero there)."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys, n, pearson, spearman: null for fewer than three rows or a constant column."""
-    ranked = finite(df, [x, y]).withColumn("_rx", average_rank(x, keys)).withColumn("_ry", average_rank(y, keys))
-    fine = (F.count("*") >= 3) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(fine, F.corr(x, y)).alias("pearson"), F.when(fine, F.corr("_rx", "_ry")).alias("spearman"))
+    """keys, n, pearson, pearson_p, spearman, spearman_p: null for fewer than three rows or a column that is constant (or nearly so). The p are two-sided, by Student's t."""
+    ranked = average_ranks(finite(df, [x, y]).select(*keys, x, y), keys, {x: "_rx", y: "_ry"})
+    flat = lambda c: F.max(c) - F.min(c) <= 1e-8 + 1e-5 * F.abs(F.min(c))
+    fine = (F.count("*") >= 3) & ~flat(x) & ~flat(y)
+    both = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(fine, corr(x, y)).alias("pearson"), F.when(fine, corr("_rx", "_ry")).alias("spearman"))
+    p = lambda r: correlation_p(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(r))), F.col("n"))
+    return both.select(*keys, "n", "pearson", p("pearson").alias("pearson_p"), "spearman", p("spearman").alias("spearman_p"))
 
 
-def bh_q(df: DataFrame, keys: list[str], p: str, tie: list[str]) -> DataFrame:
-    """Benjamini-Hochberg q within keys; rows without p keep a null q and don't count."""
-    per = Window.partitionBy(*keys)
-    rows = df.withColumn("_n", F.count(p).over(per)).withColumn("_k", F.when(F.col(p).isNotNull(), F.row_number().over(per.orderBy(F.col(p).asc_nulls_last(), *tie))))
-    back = per.orderBy(F.desc_nulls_last("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_k")).over(back)))).drop("_n", "_k")
+def bh_q(df: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """Adds the Benjamini-Hochberg q within keys; rows without p keep a null q and don't count."""
+    return adjusted(df, keys, p, "q")
 
 
 def p_plain(null: str, observed: Column) -> Column:
@@ -61,7 +67,7 @@ def null_summary(df: DataFrame, keys: list[str], value: str, observed: str) -> D
 def quartile_effect(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Mean of y in the highest quarter of x less that in the lowest; null for fewer than eight rows."""
     rows = finite(df, [x, y])
-    cuts = rows.groupBy(*keys).agg(F.percentile(x, 0.25).alias("_lo"), F.percentile(x, 0.75).alias("_hi"), F.count("*").alias("n"), F.stddev(y).alias("_sd"))
+    cuts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev(y).alias("_sd")).join(quantiles(rows, keys, x, {"_lo": 0.25, "_hi": 0.75}), keys)
     both = rows.join(cuts, keys)
     high, low = F.avg(F.when(F.col(x) >= F.col("_hi"), F.col(y))), F.avg(F.when(F.col(x) <= F.col("_lo"), F.col(y)))
     return both.groupBy(*keys, "n", "_sd").agg((high - low).alias("_d")).select(*keys, "n", F.when(F.col("n") >= 8, F.col("_d")).alias("effect"), F.when(F.col("n") >= 8, F.try_divide("_d", F.nullif(F.col("_sd"), F.lit(0.0)))).alias("effect_sd"))
@@ -69,7 +75,8 @@ def quartile_effect(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame
 
 def histogram(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Counts per bin; Freedman-Diaconis bins, 12 to 40, or 20 if the middle half is constant."""
-    per = df.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("_iqr"), F.count(x).alias("_n"))
+    middle = quantiles(df, keys, x, {"_q1": 0.25, "_q3": 0.75}).select(*keys, (F.col("_q3") - F.col("_q1")).alias("_iqr"))
+    per = df.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("_n")).join(middle, keys)
     wide = 2 * F.col("_iqr") / F.pow(F.col("_n"), F.lit(1 / 3))
     bins = F.when(F.col("_iqr") <= 0, F.lit(20)).otherwise(F.greatest(F.lit(12), F.least(F.lit(40), F.ceil((F.col("hi") - F.col("lo")) / wide)))).cast("int")
     rows = df.join(per.withColumn("bins", bins), keys)
@@ -78,15 +85,17 @@ def histogram(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 
 def z_scores(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.withColumns({f"z_{c}": F.try_divide(F.col(c) - F.avg(c).over(w), F.nullif(F.stddev_pop(c).over(w), F.lit(0.0))) for c in columns})
+    """Adds z_ columns by the mean and spread within keys, which are made by partial sums and joined."""
+    moments = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    out = df.join(moments, keys).withColumns({f"z_{c}": F.try_divide(F.col(c) - F.col(f"_mean_{c}"), F.nullif(F.col(f"_sd_{c}"), F.lit(0.0))) for c in columns})
+    return out.drop(*[f"_{n}_{c}" for c in columns for n in ("mean", "sd")])
 
 
 def partial_beta(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     """Standardised coefficients of y on xs, from the correlations of a scope, a row each; null if a column is constant."""
     cols = [y, *xs]
     rows = finite(df, cols)
-    corr = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.coalesce(F.corr(a, b), F.lit(float("nan"))) for a in cols for b in cols]).alias("_r"))
+    corr = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.coalesce(corr(a, b), F.lit(float("nan"))) for a in cols for b in cols]).alias("_r"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
     def solve(batches):

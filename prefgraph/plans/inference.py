@@ -67,7 +67,7 @@ def edge_p(spark, sf_dir):
 
 
 def q_values(spark, sf_dir):
-    return summaries.bh_q(edge_p(spark, sf_dir), ["scope"], "p", ["aspect", "i", "j"]).withColumn("q", F.round("q", 9))
+    return summaries.bh_q(edge_p(spark, sf_dir), ["scope"], "p").withColumn("q", F.round("q", 9))
 
 
 def regions(spark, sf_dir):
@@ -75,7 +75,7 @@ def regions(spark, sf_dir):
 
 
 def correlations(spark, sf_dir):
-    return summaries.correlation(regions(spark, sf_dir), ["scope", "aspect"], "rho", "size").withColumns({c: F.round(c, 6) for c in ("pearson", "spearman")})
+    return summaries.correlation(regions(spark, sf_dir), ["scope", "aspect"], "rho", "size").withColumns({c: F.round(c, 6) for c in ("pearson", "pearson_p", "spearman", "spearman_p")})
 
 
 QUERIES = {
@@ -98,6 +98,9 @@ QUERIES = {
 }
 
 _U = lambda *k: f"cast('0x' || substr(md5(concat_ws('|', '{SEED}', {', '.join(k)})), 1, 8) as bigint)"
+#: Two-sided p of a correlation by Student's t with whole degrees of freedom, as the finite sums that it has then.
+_P = lambda r, n: f"""case when {r} is null then null when {n} % 2 = 0 then 1 - abs({r}) * coalesce(list_sum(list_transform(range(0, ({n} - 2) // 2), lambda k: exp(lgamma(k + 0.5::double) - lgamma(0.5::double) - lgamma(k + 1)) * pow(1 - {r} * {r}, k))), 0)
+  else 1 - 2 / pi() * (asin(least(1.0::double, abs({r}))) + abs({r}) * sqrt(greatest(0, 1 - {r} * {r})) * coalesce(list_sum(list_transform(range(0, ({n} - 3) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5::double) - lgamma(k + 1.5::double)) * pow(1 - {r} * {r}, k))), 0)) end"""
 _REPS = f"reps as (select unnest(range({REPS})) as rep)"
 _REG = f"""{preferences.SCOPED_SQL}, kept as (select * from edges where support >= {preferences.MIN_SUPPORT}), {preferences.TRI_SQL},
 reg as (select scope, aspect, i, j, k, i || '|' || j || '|' || k as triplet, round((m_ij + m_jk - m_ik) * (m_ij + m_jk - m_ik) / (1 / s_ij + 1 / s_jk + 1 / s_ik) / (s_ij * m_ij * m_ij + s_jk * m_jk * m_jk + s_ik * m_ik * m_ik), 9) as rho, round(abs(m_ij * m_jk * m_ik), 9) as size from tri)"""
@@ -116,8 +119,9 @@ s as (select split_part(country, '|', 1) as rep, avg(cycles) as c from cc group
 select rep::int as rep, round(c, 6) as null_mean_cycles, round((select c from s where rep = 'observed'), 6) as observed from s where rep <> 'observed'""",
     "bh_qvalues": f"""with {preferences.SCOPED_SQL}, p as (select scope, aspect, i, j, round(exp(-(weighted_margin * weighted_margin) / (2 * support)), 12) as p from edges), r as (select *, row_number() over (partition by scope order by p, aspect, i, j) as k, count(*) over (partition by scope) as n from p)
 select scope, aspect, i, j, p, round(least(1.0::double, min(p * n / k) over (partition by scope order by k desc rows between unbounded preceding and current row)), 9) as q from r""",
-    "spearman_rho": f"""with {_REG}, r as (select *, rank() over (partition by scope, aspect order by rho) + (count(*) over (partition by scope, aspect, rho) - 1) / 2.0::double as rx, rank() over (partition by scope, aspect order by size) + (count(*) over (partition by scope, aspect, size) - 1) / 2.0::double as ry from reg)
-select scope, aspect, count(*) as n, round(corr(rho, size), 6) as pearson, round(corr(rx, ry), 6) as spearman from r group by 1, 2""",
+    "spearman_rho": f"""with {_REG}, r as (select *, rank() over (partition by scope, aspect order by rho) + (count(*) over (partition by scope, aspect, rho) - 1) / 2.0::double as rx, rank() over (partition by scope, aspect order by size) + (count(*) over (partition by scope, aspect, size) - 1) / 2.0::double as ry from reg),
+c as (select scope, aspect, count(*) as n, case when count(*) >= 3 then corr(rho, size) end as a, case when count(*) >= 3 then corr(rx, ry) end as b from r group by 1, 2)
+select scope, aspect, n, round(a, 6) as pearson, round({_P("a", "n")}, 6) as pearson_p, round(b, 6) as spearman, round({_P("b", "n")}, 6) as spearman_p from c""",
     "quartile_effect": f"""with {_REG}, c as (select scope, aspect, quantile_cont(rho, 0.25) as lo, quantile_cont(rho, 0.75) as hi, count(*) as n, stddev(size) as sd from reg group by 1, 2),
 d as (select c.scope, c.aspect, n, sd, avg(size) filter (where rho >= hi) - avg(size) filter (where rho <= lo) as d from reg join c on reg.scope = c.scope and reg.aspect = c.aspect group by 1, 2, 3, 4) select scope, aspect, n, case when n >= 8 then round(d, 6) end as effect, case when n >= 8 then round(d / sd, 6) end as effect_sd from d""",
     "null_histogram": f"""with {_REG}, c as (select scope, aspect, min(rho) as lo, max(rho) as hi, quantile_cont(rho, 0.75) - quantile_cont(rho, 0.25) as iqr, count(*) as n from reg group by 1, 2),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefgraph.functions.labels import response_id, sign_and_weight
-from prefgraph.operators import audits, cycles, edges
+from prefgraph.operators import audits, cycles, edges, ordering
 from prefgraph.operators.flatten import flatten_annotations, label_observations, with_signs
 from prefgraph.sources.fixtures import ANNOTATIONS, ASPECTS, derived, plain
 
@@ -93,10 +93,10 @@ def prompt_local_flow(spark, sf_dir):
 
 
 def prompt_local_summary(spark, sf_dir):
-    rows = prompt_local_flow(spark, sf_dir)
-    return rows.groupBy("aspect").agg(
-        F.count("*").alias("prompts"), F.sum("eligible").alias("eligible"), F.sum("cyclic").alias("cyclic"), F.round(F.avg("cycle_rate"), 6).alias("mean_rate"), F.round(F.percentile("cycle_rate", 0.5), 6).alias("median_rate"), F.round(F.try_divide(F.sum("cyclic"), F.sum("eligible")), 6).alias("pooled_rate")
-    )
+    rows = ordering.kept(prompt_local_flow(spark, sf_dir), "prompt-local")  # read again by each pass for the median
+    sums = rows.groupBy("aspect").agg(F.count("*").alias("prompts"), F.sum("eligible").alias("eligible"), F.sum("cyclic").alias("cyclic"), F.round(F.avg("cycle_rate"), 6).alias("mean_rate"), F.round(F.try_divide(F.sum("cyclic"), F.sum("eligible")), 6).alias("pooled_rate"))
+    median = ordering.quantiles(rows, ["aspect"], "cycle_rate", {"median_rate": 0.5})
+    return sums.join(median, "aspect", "left").withColumn("median_rate", F.round("median_rate", 6))
 
 
 def edge_flow_by_group(spark, sf_dir):

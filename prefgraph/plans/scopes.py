@@ -10,6 +10,7 @@ from prefgraph.functions.labels import A_LABELS, A_SLIGHT, B_LABELS, B_SLIGHT, s
 from prefgraph.operators import cycles, edges, models, resample
 from prefgraph.operators import scopes as ops
 from prefgraph.operators import tournament as t
+from prefgraph.operators.ordering import numbered
 from prefgraph.plans import comparisons, inference, preferences, tournaments
 from prefgraph.sources.fixtures import ASPECTS, table
 from prefgraph.sources.scans import read_shards, scratch
@@ -44,7 +45,7 @@ def shard_union(spark, sf_dir):
 def stable_sample(spark, sf_dir):
     """A tenth of the orders by a hash of their keys, numbered in key order; numbers and rows are the same on every run."""
     rows = table(spark, sf_dir, "orders").where(uniform(SEED, F.col("o_orderkey")) < 0.1).select("o_orderkey", "o_custkey")
-    return ops.numbered(rows, "o_orderkey", "raw_idx")
+    return numbered(rows, "o_orderkey", "raw_idx").select("o_orderkey", "o_custkey", "raw_idx")
 
 
 def prompt_group_flow(spark, sf_dir):

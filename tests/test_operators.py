@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prefgraph.functions import labels
 from prefgraph.functions.labels import response_id, safe_double, sign_and_weight
 from prefgraph.functions.ranking import distributed_rank
-from prefgraph.operators import cycles, models, projection, resample, scopes, summaries, text_model
+from prefgraph.operators import cycles, models, ordering, projection, resample, scopes, summaries, text_model
 from prefgraph.operators import tournament as t
 from prefgraph.operators.flatten import observations, with_signs
 from prefgraph.operators.pairs import opening_pairs
@@ -124,7 +124,7 @@ def test_metric_orientation(spark):
 
 def test_q_values(spark):
     rows = spark.createDataFrame([(1, 0.01), (1, 0.04), (1, 0.03), (1, 0.20), (1, None)], "g int, p double")
-    got = {r["p"]: r["q"] for r in summaries.bh_q(rows, ["g"], "p", []).collect()}
+    got = {r["p"]: r["q"] for r in summaries.bh_q(rows, ["g"], "p").collect()}
     assert got[None] is None and [round(got[p], 5) for p in (0.01, 0.04, 0.03, 0.2)] == [0.04, 0.05333, 0.05333, 0.2]
 
 
@@ -205,7 +205,7 @@ def test_labels_of_every_spelling(spark):
 
 def test_numbered_rows_and_display_names(spark):
     rows = spark.range(1000).selectExpr("id * 7 % 1000 as k").repartition(5)
-    assert [(r["k"], r["n"]) for r in scopes.numbered(rows, "k", "n", 8).orderBy("k").collect()] == [(k, k) for k in range(1000)]
+    assert [(r["k"], r["n"]) for r in ordering.numbered(rows, "k", "n", ranges=8).orderBy("k").collect()] == [(k, k) for k in range(1000)]
     names = spark.createDataFrame([("a b",), ("x",), ("a bc d",)], "t string").select(scopes.display_name(F.col("t"), {"x": "Ex"}))
     assert [r[0] for r in names.collect()] == ["B", "Ex", "D"]
 
