@@ -41,6 +41,12 @@ def weight_cells(obs: DataFrame, keys: list[str]) -> DataFrame:
     return obs.groupBy(*keys, "i", "j", "weight").agg(F.count("*").alias("n"))
 
 
+def scoped_weight_cells(obs: DataFrame, keys: list[str], scope: str, name: str = "scope") -> DataFrame:
+    """Observations per pair and weight (n) and their signed weight, of everything ('all') and of each value of ``scope``."""
+    both = obs.groupingSets([[*keys, "i", "j", "weight"], [*keys, scope, "i", "j", "weight"]], *keys, scope, "i", "j", "weight").agg(F.count("*").alias("n"), F.sum(F.col("weight") * F.col("sign")).alias("signed"), F.grouping(scope).alias("_all"))
+    return both.select(F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col(scope)).alias(name), *keys, "i", "j", "weight", "n", "signed")
+
+
 def skew(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Both directions of every edge: (a, b, margin) and (b, a, -margin)."""
     forward = edges.select(*keys, F.col("i").alias("a"), F.col("j").alias("b"), "margin", "support")

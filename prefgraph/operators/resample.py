@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefgraph.functions.draws import binomials, mixed
 from prefgraph.functions.hashing import hash_int, uniform
 from prefgraph.functions.ranking import distributed_rank
 
@@ -55,31 +56,15 @@ def stratified_permutation(rows: DataFrame, strata: list[str], key: str, value:
 
 
 def binomial(rows: DataFrame, n: str, p: str, keys: list[Column], seed: int, name: str = "wins") -> DataFrame:
-    """Adds a binomial draw; the generator is seeded by the hash of the row's keys, so a repeated task draws the same."""
+    """Adds a binomial draw to each row, made from the hash of the row's keys alone, a batch at a time."""
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = [np.random.Generator(np.random.PCG64(int(s))).binomial(int(k), min(max(q, 0.0), 1.0)) for s, k, q in zip(pdf["_seed"], pdf[n], pdf[p], strict=True)]
-            yield pdf.drop(columns="_seed").assign(**{name: np.array(values, np.int64)})
+    names = rows.columns
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds, counts, chances = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_seed", n, p))
+            wins = binomials(mixed(seeds.astype(np.uint64)), counts, chances)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(wins)], [*names, name])
 
     fields = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
-    return rows.withColumn("_seed", hash_int(seed, *keys)).mapInPandas(draw, f"{fields}, {name} long")
-
-
-def additive_null(cells: DataFrame, scores: DataFrame, keys: list[str], reps: int, seed: int, bound: float = 0.999) -> DataFrame:
-    """(keys, rep, i, j, margin, support) under additive margins score_i - score_j, keeping every pair's weights."""
-    a = scores.select(*keys, F.col("node").alias("i"), F.col("score").alias("_si"))
-    b = scores.select(*keys, F.col("node").alias("j"), F.col("score").alias("_sj"))
-    fit = F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("_si") - F.col("_sj")))
-    rows = times(cells.join(a, [*keys, "i"]).join(b, [*keys, "j"]).withColumn("_p", (1 + fit) / 2).drop("_si", "_sj"), "rep", reps)
-    drawn = binomial(rows, "n", "_p", [F.col(k) for k in [*keys, "rep", "i", "j", "weight"]], seed)
-    w = F.col("weight")
-    return drawn.groupBy(*keys, "rep", "i", "j").agg(F.sum(w * F.col("n")).alias("support"), (F.sum(w * (2 * F.col("wins") - F.col("n"))) / F.sum(w * F.col("n"))).alias("margin"))
-
-
-def transitive_null(edges: DataFrame, theta: DataFrame, reps: int, seed: int) -> DataFrame:
-    """(rep, i, j, margin, support) with wins drawn from the Bradley-Terry probabilities of fitted scores."""
-    a, b = theta.select(F.col("node").alias("i"), F.col("theta").alias("_ti")), theta.select(F.col("node").alias("j"), F.col("theta").alias("_tj"))
-    rows = edges.select("i", "j", "support").join(a, "i").join(b, "j").withColumn("_p", 1 / (1 + F.exp(F.col("_tj") - F.col("_ti"))))
-    drawn = binomial(times(rows, "rep", reps), "support", "_p", [F.col("rep"), F.col("i"), F.col("j")], seed)
-    return drawn.select("rep", "i", "j", "support", ((2 * F.col("wins") - F.col("support")) / F.col("support")).alias("margin"))
+    return rows.withColumn("_seed", hash_int(seed, *keys)).mapInArrow(draw, f"{fields}, {name} long")

@@ -31,7 +31,7 @@ def correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     flat = lambda c: F.max(c) - F.min(c) <= 1e-8 + 1e-5 * F.abs(F.min(c))
     fine = (F.count("*") >= 3) & ~flat(x) & ~flat(y)
     both = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(fine, corr(x, y)).alias("pearson"), F.when(fine, corr("_rx", "_ry")).alias("spearman"))
-    p = lambda r: correlation_p(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(r))), F.col("n"))
+    p = lambda r: F.when(F.col(r).isNotNull(), correlation_p(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(r))), F.col("n")))
     return both.select(*keys, "n", "pearson", p("pearson").alias("pearson_p"), "spearman", p("spearman").alias("spearman_p"))
 
 
@@ -64,6 +64,16 @@ def null_summary(df: DataFrame, keys: list[str], value: str, observed: str) -> D
     )
 
 
+def calibrated_summary(df: DataFrame, keys: list[str], value: str, observed: str) -> DataFrame:
+    """Observed value against null draws that carry it: mean, sample spread, quantiles, z (null without spread) and the add-one p.
+
+    The draws of a key are as many as were asked for, so their exact percentiles fit a buffer.
+    """
+    o, mean, sd = F.first(observed), F.avg(value), F.stddev(value)
+    ends = [F.percentile(value, q).alias(f"null_q{n}") for q, n in ((0.025, "025"), (0.5, "500"), (0.975, "975"))]
+    return df.groupBy(*keys).agg(F.count(value).alias("n_draws"), o.alias("observed"), mean.alias("null_mean"), sd.alias("null_sd"), F.when(sd > 0, (o - mean) / sd).alias("z"), p_add_one(value, F.col(observed)).alias("p_ge"), *ends)
+
+
 def quartile_effect(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Mean of y in the highest quarter of x less that in the lowest; null for fewer than eight rows."""
     rows = finite(df, [x, y])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prefgraph.operators import cycles, edges, resample, summaries
+from prefgraph.operators import cycles, edges, null_draws, ordering, resample, summaries
 from prefgraph.operators import tournament as t
 from prefgraph.operators.models import bt_graph
 from prefgraph.operators.projection import graph_projection, projection_scores
+from prefgraph.operators.projection_bounded import projection_bounded
 from prefgraph.plans import comparisons, preferences, tournaments
 
 #: SPLITS and REPS are those of the queries that have SQL, which names them; the others draw as often as the reference.
@@ -27,8 +28,8 @@ def bootstrap(spark, sf_dir):
 def bootstrap_cycles(spark, sf_dir):
     """Cycle rate and projection residual of every resample."""
     flow = resample.user_bootstrap(user_table(spark, sf_dir), BOOTSTRAPS, SEED)
-    rates = cycles.support_cycle_grid(flow, ["rep"], [1], [0.0]).select("rep", "eligible_triples", "cyclic_triples")
-    return rates.join(graph_projection(flow, ["rep"]).select("rep", F.round("rho", 5).alias("rho")), "rep")
+    stats = null_draws.observed_stats(flow, ["rep"], 1.0, 0.0)
+    return stats.select("rep", "eligible_triples", "cyclic_triples", F.round("rho", 6).alias("rho"))
 
 
 def permutation(spark, sf_dir):
@@ -43,21 +44,42 @@ def permutation(spark, sf_dir):
     return null.join(F.broadcast(observed)).select("rep", F.round("null_mean_cycles", 6).alias("null_mean_cycles"), F.round("observed", 6).alias("observed"))
 
 
+def bounded(spark, sf_dir):
+    """The bounded projection of every scope and aspect."""
+    return projection_bounded(preferences.scoped_edges(spark, sf_dir), ["scope", "aspect"])
+
+
+def bounded_summary(spark, sf_dir):
+    rho = F.when(F.col("total_energy") > 0, F.round(F.col("residual_energy") / F.col("total_energy"), 6))
+    return bounded(spark, sf_dir).select("scope", "aspect", F.size("nodes").alias("n_nodes"), "n_at_bound", F.round("max_abs_fitted", 6).alias("max_abs_fitted"), (F.col("kkt_residual") < 1e-9).alias("optimal"), rho.alias("rho"), F.transform("scores", lambda v: F.round(v, 6) + 0.0).alias("scores"))
+
+
+def against_draws(null, observed, keys, fits=None):
+    """Residual and cycle rate of the flow against their null draws, with q over all keys for each metric."""
+    metrics = ["rho", "cycle_rate"]
+    long = null.unpivot([*keys, "rep"], metrics, "metric", "value").join(observed.unpivot(keys, metrics, "metric", "observed"), [*keys, "metric"])
+    out = summaries.calibrated_summary(long.where("value is not null"), [*keys, "metric"], "value", "observed")
+    return summaries.bh_q(ordering.kept(out, "null-summary"), ["metric"], "p_ge")
+
+
 def additive(spark, sf_dir):
-    """Projection residual of every aspect against draws that keep weights and have additive margins."""
-    obs = preferences.obs(spark, sf_dir)
-    flow = edges.edge_flow(obs, ["aspect"])
-    draws = resample.additive_null(edges.weight_cells(obs, ["aspect"]), projection_scores(flow, ["aspect"]), ["aspect"], ADDITIVE_DRAWS, SEED)
-    null = graph_projection(draws, ["aspect", "rep"]).select("aspect", "rep", F.col("rho").alias("null_rho"))
-    rows = null.join(graph_projection(flow, ["aspect"]).select("aspect", F.col("rho").alias("observed")), "aspect")
-    return summaries.null_summary(rows, ["aspect"], "null_rho", "observed")
+    """Projection residual and cycle rate of every scope and aspect against draws that keep weights and have bounded additive margins."""
+    obs, keys = preferences.obs(spark, sf_dir), ["scope", "aspect"]
+    cells = ordering.kept(edges.scoped_weight_cells(obs, ["aspect"], "annotation_group"), "weight-cells")
+    flow = cells.groupBy(*keys, "i", "j").agg(F.sum(F.col("weight") * F.col("n")).alias("support"), F.sum("signed").alias("_s")).withColumn("margin", F.col("_s") / F.col("support"))
+    fit = ordering.kept(projection_bounded(flow, keys), "bounded")
+    null = null_draws.null_stats(cells.drop("signed"), fit, keys, ADDITIVE_DRAWS, SEED, min_support=preferences.MIN_SUPPORT)
+    out = against_draws(null, null_draws.observed_stats(flow, keys, preferences.MIN_SUPPORT, 0.0), keys)
+    return out.join(fit.select(*keys, "n_at_bound", (F.col("kkt_residual") < 1e-9).alias("fit_ok")), keys)
 
 
 def transitive(spark, sf_dir):
-    flow = comparisons.user_edges(spark, sf_dir).where("score_delta = 5")
-    draws = resample.transitive_null(flow, bt_graph(flow, []), TRANSITIVE_DRAWS, SEED)
-    null = graph_projection(draws, ["rep"]).select("rep", F.col("rho").alias("null_rho"))
-    return null.join(F.broadcast(graph_projection(flow.withColumn("one", F.lit(1)), ["one"]).select(F.col("rho").alias("observed"))))
+    """Projection residual and cycle rate against draws from Bradley-Terry scores fitted to the same flow."""
+    flow = ordering.kept(comparisons.user_edges(spark, sf_dir).where("score_delta = 5"), "user-edges")
+    scores = bt_graph(flow, ["score_delta"]).groupBy("score_delta").agg(F.array_sort(F.collect_list(F.struct("node", "theta"))).alias("_t")).select("score_delta", F.col("_t.node").alias("nodes"), F.col("_t.theta").alias("scores"))
+    cells = flow.select("score_delta", "i", "j", F.lit(1.0).alias("weight"), F.col("support").alias("n"))
+    null = null_draws.null_stats(cells, scores, ["score_delta"], TRANSITIVE_DRAWS, SEED, null_draws.logistic)
+    return against_draws(null, null_draws.observed_stats(flow, ["score_delta"], 0.0, 0.0), ["score_delta"])
 
 
 def edge_p(spark, sf_dir):
@@ -83,6 +105,7 @@ QUERIES = {
     "bootstrap_flow": bootstrap,
     "bootstrap_cycles": bootstrap_cycles,
     "permutation_null": permutation,
+    "projection_bounded": bounded_summary,
     "additive_null": additive,
     "transitive_null": transitive,
     "bh_qvalues": q_values,
