@@ -147,8 +147,8 @@ def _describe(percent: int):
                 names.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
                 bands.append(band_keys(sketch(hashes, bins)) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_name", "bands"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n_shingles", "set_name", "bands"],
             )
 
     return run
@@ -203,11 +203,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; links where 100 |A and B| >= percent |A or B|."""
+    """(doc_id, n_shingles, component_id, kept, component, text_key) for each row of ``docs``; links where 100 |A and B| >= percent |A or B|.
+
+    Ids may repeat over different texts: ``component`` numbers the components themselves (null for empty sets), and ``text_key`` is the
+    text's hash, by which rows of one id are told apart.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = staged(rows.mapInArrow(tidy(_describe(percent)), "doc_id long, n_shingles long, set_name binary, bands array<long>"), "dedup-rows")
+    described = staged(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(tidy(_describe(percent)), "doc_id long, text_key long, n_shingles long, set_name binary, bands array<long>"), "dedup-rows")
     classes = staged(
         described.where("n_shingles > 0")
         .groupBy("set_name")
@@ -282,7 +286,15 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
 
     named = classes.select("class", "set_name", "first_id").join(groups, F.col("class") == F.col("node"), "left").select("set_name", "first_id", F.coalesce("component", "class").alias("component"))
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(first, "component").select("set_name", "component_id")
-    out = described.select("doc_id", "n_shingles", "set_name").join(named, "set_name", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.join(first, "component").select("set_name", "component_id", "component")
+    out = described.select("doc_id", "text_key", "n_shingles", "set_name").join(named, "set_name", "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component", "text_key")
+
+
+def one_of_each(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key) of one row of each component, of the smallest id, and of all rows with empty sets. Minima are made before rows
+    are dealt out, so that a large group costs no task more."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("_r")
+    grouped = found.where("component is not null").groupBy("component").agg(least).select("_r.doc_id", "_r.text_key")
+    return grouped.unionByName(found.where("component is null").select("doc_id", "text_key")).distinct()

@@ -128,3 +128,18 @@ def test_pipeline_drops_copies_from_four_fifths_on(spark):
     w = [f"w{k}" for k in range(60)]
     docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join([*w[:30], "other", *w[31:]])), (3, "quite another text")], "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.without_copies(spark, docs, "").collect()} == {1, 3}
+
+
+def test_pipeline_tells_rows_of_one_id_apart(spark):
+    """Copies go under whatever id they come, other texts of that id stay, and near copies of one id are one."""
+    import corpus_pipeline
+
+    t, u, v = (" ".join(f"{c}{k}" for k in range(60)) for c in "tuv")
+    near = " ".join(["changed", *v.split()[1:]])
+    rows = [(3, t), (5, u), (5, t), (3, t), (7, v), (7, near), (None, t), (None, "no id " * 9), (None, "no id " * 9), (8, None), (8, ""), (9, "")]
+    docs = spark.createDataFrame([(d, x, 1, 2) for d, x in rows], "doc_id long, text string, component long, text_key int").repartition(3)
+    got = corpus_pipeline.without_copies(spark, docs, "")
+    kept = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got.collect()))
+    assert got.columns == docs.columns
+    assert [k[:2] for k in kept] == [(False, 3), (False, 5), (False, 7), (False, 8), (False, 8), (False, 9), (True, 0)]
+    assert {k[2] for k in kept if k[1] in (3, 5)} == {t, u} and kept[2][2] in (v, near)
