@@ -23,10 +23,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates at 0.8; of rows that repeat it, one.
 
-    Null, empty and word-less texts are near nothing and stay; rows with null ids stay once for each text if their component has no id.
+    Rows are told apart by id and text, so that different texts under one id stay or go on their own. Null, empty and word-less texts are near
+    nothing and stay; of a component without any id one row stays.
     """
-    kept = near_dedup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    found = staged(near_dedup.near_duplicates(docs, percent=80), "pipeline-found")
+    kept = near_dedup.one_of_each(found).toDF("_id", "_key")
+    once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_key"]), "left_semi")
     return once.dropDuplicates(["doc_id", "text"])
 
 
