@@ -61,20 +61,20 @@ def numbered(df: DataFrame, order: list[str] | str, name: str, keys: list[str] =
     return out.withColumn(name, F.coalesce("_start", F.lit(0)) + F.col("_k") - 1).drop("_range", "_k", "_start")
 
 
-def value_places(df: DataFrame, keys: list[str], value: str, rows_a_range: int = RANGE, ranges: int | None = None) -> DataFrame:
+def value_places(df: DataFrame, keys: list[str], value: str, rows_a_range: int = RANGE, ranges: int | None = None, copies: str | None = None) -> DataFrame:
     """(keys, value, _count, _below, _range): each distinct value once, with the rows that have it and those with smaller ones. A value that a third of
-    all rows share is counted where the rows are and is one row here."""
-    rows = in_ranges(df.groupBy(*keys, value).agg(F.count("*").alias("_count")), keys, [value], rows_a_range, ranges)
+    all rows share is counted where the rows are and is one row here. ``copies``: how often a row counts."""
+    rows = in_ranges(df.groupBy(*keys, value).agg((F.sum(copies) if copies else F.count("*")).alias("_count")), keys, [value], rows_a_range, ranges)
     starts = _before(rows.groupBy(*keys, "_range").agg(F.sum("_count").alias("_n")), keys, {"_start": F.sum("_n")})
     w = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.withColumn("_inside", F.coalesce(F.sum("_count").over(w), F.lit(0)))
     return _join(inside, starts, [*keys, "_range"]).withColumn("_below", F.col("_inside") + F.coalesce("_start", F.lit(0))).drop("_inside", "_start")
 
 
-def average_ranks(df: DataFrame, keys: list[str], columns: dict[str, str], rows_a_range: int = RANGE, ranges: int | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], columns: dict[str, str], rows_a_range: int = RANGE, ranges: int | None = None, copies: str | None = None) -> DataFrame:
     """Adds for each column the 1-based rank within keys, ties averaged; ``columns``: name of the rank by column."""
     for value, name in columns.items():
-        places = value_places(df, keys, value, rows_a_range, ranges)
+        places = value_places(df, keys, value, rows_a_range, ranges, copies)
         ranks = places.select(*keys, value, (F.col("_below") + (F.col("_count") + 1) / 2).alias(name))
         df = _join(df, ranks, [*keys, value])
     return df

@@ -54,7 +54,7 @@ def region_table(train: DataFrame, test: DataFrame, min_support: float = 5, min_
     bt = {(x, y): sigmoid(F.col(f"score_{x}") - F.col(f"score_{y}")) for x, y in (("i", "j"), ("j", "k"), ("i", "k"))}
     pair_losses = _tested(_edges(tri, pair), test, "pair")
     bt_losses = _tested(_edges(fitted, bt), test, "bt").drop("bt_weight", "bt_edges")
-    out = fitted.select(*REGION, "rho", "cyclic", "intensity", F.least("s_ij", "s_jk", "s_ik").alias("min_support"), (F.abs("m_ij") + F.abs("m_jk") + F.abs("m_ik")).alias("_m"), "gradient_norm")
+    out = fitted.select(*REGION, "rho", "cyclic", "intensity", F.least("s_ij", "s_jk", "s_ik").alias("min_support"), (F.col("s_ij") + F.col("s_jk") + F.col("s_ik")).alias("total_weight"), (F.abs("m_ij") + F.abs("m_jk") + F.abs("m_ik")).alias("_m"), "gradient_norm")
     out = out.withColumn("mean_abs_margin", F.col("_m") / 3).drop("_m").join(pair_losses, REGION).join(bt_losses, REGION)
     out = out.where((F.col("pair_weight") >= min_test_weight) & (F.col("pair_edges") >= min_test_edges))
     return out.withColumns({f"uplift_{m}": F.col(f"bt_{m}") - F.col(f"pair_{m}") for m in LOSSES})

@@ -104,7 +104,7 @@ ed as (select scope, aspect, i, j, k, i as a, j as b, s_ij as s, m_ij as m from
 te as (select ed.*, (0.5 * (s + s * m) + 1) / (s + 2) as q, wi, wj from ed join fl on fl.is_test and fl.split || '|' || fl.scope = ed.scope and fl.aspect = ed.aspect and fl.i = ed.a and fl.j = ed.b),
 lo as (select scope, aspect, i, j, k, {_LOSS} from te),
 ev as (select scope, aspect, i, j, k, sum(weight) as pair_weight, count(*) as pair_edges, {", ".join(f"sum({m}) / sum(weight) as pair_{m}" for m in models.LOSSES)} from lo group by 1, 2, 3, 4, 5),
-regs as (select split_part(rg.scope, '|', 1)::int as split, split_part(rg.scope, '|', 2) as scope, rg.aspect, rg.i, rg.j, rg.k, {preferences.CYC} as cyclic, pair_weight, pair_edges, rho, (abs(m_ij) + abs(m_jk) + abs(m_ik)) / 3 as mean_abs_margin, {", ".join(OUTCOMES)}
+regs as (select split_part(rg.scope, '|', 1)::int as split, split_part(rg.scope, '|', 2) as scope, rg.aspect, rg.i, rg.j, rg.k, {preferences.CYC} as cyclic, pair_weight, pair_edges, rho, (abs(m_ij) + abs(m_jk) + abs(m_ik)) / 3 as mean_abs_margin, least(s_ij, s_jk, s_ik) as min_support, s_ij + s_jk + s_ik as total_weight, {", ".join(OUTCOMES)}
   from rg join ev on rg.scope = ev.scope and rg.aspect = ev.aspect and rg.i = ev.i and rg.j = ev.j and rg.k = ev.k where rho is not null and pair_weight >= 5 and pair_edges >= 2)"""
 _CUBE = ", ".join(f"avg({m}) as a_{m}, corr(rho, {m}) as c_{m}" for m in OUTCOMES)
 
