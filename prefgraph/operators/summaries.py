@@ -94,6 +94,16 @@ def histogram(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return rows.groupBy(*keys, "bins", at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def marked_histogram(df: DataFrame, keys: list[str], value: str, observed: str) -> DataFrame:
+    """Bins of null draws that carry the observed value: lower edge, count, whether the observed value lies in the bin (at the ends also beyond it), and for reports the
+    share of draws at or above it, or the bound 1 / (n + 1) where there is none."""
+    per = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.first(observed).alias("observed"), F.avg((F.col(value) >= F.col(observed)).cast("double")).alias("_p"), F.count(value).alias("_n"))
+    rows = histogram(df, keys, value).join(per, keys)
+    width = (F.col("_hi") - F.col("_lo")) / F.col("bins")
+    at = F.when(width > 0, F.greatest(F.lit(0), F.least(F.col("bins") - 1, F.floor((F.col("observed") - F.col("_lo")) / width)))).otherwise(F.lit(0))
+    return rows.select(*keys, "bins", "bin", (F.col("_lo") + F.col("bin") * width).alias("edge"), "n", (F.col("bin") == at).alias("marked"), F.when(F.col("_p") > 0, F.col("_p")).otherwise(1 / (F.col("_n") + 1)).alias("p"), (F.col("_p") == 0).alias("p_is_bound"))
+
+
 def z_scores(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Adds z_ columns by the mean and spread within keys, which are made by partial sums and joined."""
     moments = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefgraph.functions.literals import with_json
 from prefgraph.operators import cycles, edges
 from prefgraph.operators.flatten import opening_turns
 from prefgraph.operators.pairs import DELTAS, opening_pairs
@@ -33,10 +34,11 @@ def opening_history(spark, sf_dir):
     rows = openings(spark, sf_dir)
     entry = F.struct("pos", F.lit(0).alias("turn"), F.lit("model").alias("role"), "model_name", F.col("score").cast("double").alias("score"))
     text = F.to_json(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.dropFields("pos")))
-    # every 50th cell is spoilt, every 50th empty
-    cell = F.when(F.col("conversation_id") % 50 == 1, F.lit("not json")).when(F.col("conversation_id") % 50 == 2, F.lit(None)).otherwise(F.col("_text"))
+    # every third cell is spelt as a Python literal, every 50th is spoilt, every 50th empty
+    spelt = F.when(F.col("conversation_id") % 3 == 1, F.replace("_text", F.lit('"'), F.lit("'"))).otherwise(F.col("_text"))
+    cell = F.when(F.col("conversation_id") % 50 == 1, F.lit("not json")).when(F.col("conversation_id") % 50 == 2, F.lit(None)).otherwise(spelt)
     history = rows.groupBy("conversation_id").agg(text.alias("_text")).select("conversation_id", cell.alias("cell"))
-    parsed = history.withColumn("conversation_history", F.from_json("cell", HISTORY, {"mode": "PERMISSIVE"}))
+    parsed = with_json(history, "cell", "_json").withColumn("conversation_history", F.from_json("_json", HISTORY, {"mode": "PERMISSIVE"})).drop("_json")
     found = opening_turns(parsed).groupBy("conversation_id").agg(F.count("*").alias("models"), F.sum("score").alias("score"))
     status = F.when(F.col("cell").isNull(), "no_history").when(F.col("conversation_history").isNull() | F.col("models").isNull(), "bad_history").when(F.col("models") < 2, "too_few_models").otherwise("ok")
     return parsed.join(found, "conversation_id", "left").groupBy(status.alias("status")).agg(F.count("*").alias("conversations"), F.coalesce(F.sum("models"), F.lit(0)).alias("models"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))

@@ -11,9 +11,8 @@ from prefgraph.operators.projection import graph_projection, projection_scores
 from prefgraph.operators.projection_bounded import projection_bounded
 from prefgraph.plans import comparisons, preferences, tournaments
 
-#: SPLITS and REPS are those of the queries that have SQL, which names them; the others draw as often as the reference.
-SPLITS, TEST_SHARE, SEED, REPS = 3, 0.2, 1009, 5
-ADDITIVE_DRAWS, TRANSITIVE_DRAWS, BOOTSTRAPS = 5000, 200, 200
+SPLITS, TEST_SHARE, SEED = 50, 0.2, 1009
+ADDITIVE_DRAWS, TRANSITIVE_DRAWS, BOOTSTRAPS, PERMUTATIONS = 5000, 200, 200, 500
 
 
 def user_table(spark, sf_dir):
@@ -22,7 +21,7 @@ def user_table(spark, sf_dir):
 
 
 def bootstrap(spark, sf_dir):
-    return resample.user_bootstrap(user_table(spark, sf_dir), REPS, SEED).withColumn("margin", F.round("margin", 6) + 0.0)
+    return resample.user_bootstrap(user_table(spark, sf_dir), BOOTSTRAPS, SEED).withColumn("margin", F.round("margin", 6) + 0.0)
 
 
 def bootstrap_cycles(spark, sf_dir):
@@ -34,12 +33,10 @@ def bootstrap_cycles(spark, sf_dir):
 
 def permutation(spark, sf_dir):
     """Cycles per country, observed and with users dealt anew, and how often chance does as much."""
-    users = tournaments.country_users(spark, sf_dir)
-    n = len(tournaments.BRANDS)
-    mean = lambda w, keys: t.condorcet_count(w, keys, n)
-    observed = mean(t.wins(users, n, ["country"]), ["country"]).agg(F.avg("cycles").alias("observed"))
-    dealt = t.wins(resample.permuted_groups(users, "country", REPS, SEED), n, ["rep", "country"])
-    null = mean(dealt, ["rep", "country"]).groupBy("rep").agg(F.avg("cycles").alias("null_mean_cycles"))
+    users, n = tournaments.country_users(spark, sf_dir)
+    users = ordering.kept(users, "country-users")
+    observed = t.dealt_invariants(users, users.select(F.lit(-1).alias("rep"), "user_id", "country"), n, "country").agg(F.avg("cycles").alias("observed"))
+    null = t.dealt_invariants(users, resample.permuted_groups(users.select("user_id", "country"), "country", PERMUTATIONS, SEED), n, "country").groupBy("rep").agg(F.avg("cycles").alias("null_mean_cycles"))
     # one row of observed means
     return null.join(F.broadcast(observed)).select("rep", F.round("null_mean_cycles", 6).alias("null_mean_cycles"), F.round("observed", 6).alias("observed"))
 
@@ -73,6 +70,16 @@ def additive(spark, sf_dir):
     return out.join(fit.select(*keys, "n_at_bound", (F.col("kkt_residual") < 1e-9).alias("fit_ok")), keys)
 
 
+def additive_histogram(spark, sf_dir):
+    """Histograms of the additive null's residuals of all annotations, with the observed value's bin."""
+    obs, keys = preferences.obs(spark, sf_dir), ["aspect"]
+    cells = ordering.kept(edges.weight_cells(obs, keys), "weight-cells")
+    flow = ordering.kept(edges.edge_flow(obs, keys), "flow")
+    null = null_draws.null_stats(cells, projection_bounded(flow, keys), keys, ADDITIVE_DRAWS, SEED)
+    rows = null.select("aspect", "rho").join(null_draws.observed_stats(flow, keys, 0.0, 0.0).select("aspect", F.col("rho").alias("observed")), keys).where("rho is not null and observed is not null")
+    return summaries.marked_histogram(ordering.kept(rows, "null-rho"), keys, "rho", "observed")
+
+
 def transitive(spark, sf_dir):
     """Projection residual and cycle rate against draws from Bradley-Terry scores fitted to the same flow."""
     flow = ordering.kept(comparisons.user_edges(spark, sf_dir).where("score_delta = 5"), "user-edges")
@@ -107,6 +114,7 @@ QUERIES = {
     "permutation_null": permutation,
     "projection_bounded": bounded_summary,
     "additive_null": additive,
+    "additive_null_histogram": additive_histogram,
     "transitive_null": transitive,
     "bh_qvalues": q_values,
     "spearman_rho": correlations,
@@ -114,7 +122,7 @@ QUERIES = {
     "null_histogram": lambda s, d: summaries.histogram(regions(s, d), ["scope", "aspect"], "rho"),
     "z_scores": lambda s, d: summaries.z_scores(regions(s, d), ["scope", "aspect"], ["rho", "size"]).select("scope", "aspect", "i", "j", "k", F.round("z_rho", 6).alias("z_rho"), F.round("z_size", 6).alias("z_size")),
     "partial_beta": lambda s, d: summaries.partial_beta(regions(s, d).withColumn("support", F.least("s_ij", "s_jk", "s_ik")), ["scope"], "size", ["rho", "support", "total_energy"]).withColumns({f"beta_{x}": F.round(f"beta_{x}", 6) + 0.0 for x in ("rho", "support", "total_energy")}),
-    "strat_perm": lambda s, d: resample.stratified_permutation(regions(s, d).withColumn("triplet", F.concat_ws("|", "i", "j", "k")), ["scope", "aspect"], "triplet", "rho", REPS, SEED).select("scope", "aspect", "rep", "triplet", F.round("rho", 6).alias("rho")),
+    "strat_perm": lambda s, d: resample.stratified_permutation(regions(s, d).withColumn("triplet", F.concat_ws("|", "i", "j", "k")), ["scope", "aspect"], "triplet", "rho", PERMUTATIONS, SEED).select("scope", "aspect", "rep", "triplet", F.round("rho", 6).alias("rho")),
     "graph_rho_weighted": lambda s, d: graph_projection(preferences.scoped_edges(s, d), ["scope", "aspect"]).select("scope", "aspect", *[F.round(c, 5).alias(c) for c in ("total_energy", "rho")]),
     "projection_scores": lambda s, d: projection_scores(preferences.scoped_edges(s, d), ["scope", "aspect"]).withColumn("score", F.round("score", 5) + 0.0),
     "graph_rho_uniform": lambda s, d: graph_projection(preferences.scoped_edges(s, d).withColumn("support", F.lit(1.0)), ["scope", "aspect"]).select("scope", "aspect", F.round("rho", 6).alias("rho")),
@@ -124,17 +132,17 @@ _U = lambda *k: f"cast('0x' || substr(md5(concat_ws('|', '{SEED}', {', '.join(k)
 #: Two-sided p of a correlation by Student's t with whole degrees of freedom, as the finite sums that it has then.
 _P = lambda r, n: f"""case when {r} is null then null when {n} % 2 = 0 then 1 - abs({r}) * coalesce(list_sum(list_transform(range(0, ({n} - 2) // 2), lambda k: exp(lgamma(k + 0.5::double) - lgamma(0.5::double) - lgamma(k + 1)) * pow(1 - {r} * {r}, k))), 0)
   else 1 - 2 / pi() * (asin(least(1.0::double, abs({r}))) + abs({r}) * sqrt(greatest(0, 1 - {r} * {r})) * coalesce(list_sum(list_transform(range(0, ({n} - 3) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5::double) - lgamma(k + 1.5::double)) * pow(1 - {r} * {r}, k))), 0)) end"""
-_REPS = f"reps as (select unnest(range({REPS})) as rep)"
+_reps = lambda n: f"reps as (select unnest(range({n})) as rep)"
 _REG = f"""{preferences.SCOPED_SQL}, kept as (select * from edges where support >= {preferences.MIN_SUPPORT}), {preferences.TRI_SQL},
 reg as (select scope, aspect, i, j, k, i || '|' || j || '|' || k as triplet, round((m_ij + m_jk - m_ik) * (m_ij + m_jk - m_ik) / (1 / s_ij + 1 / s_jk + 1 / s_ik) / (s_ij * m_ij * m_ij + s_jk * m_jk * m_jk + s_ik * m_ik * m_ik), 9) as rho, round(abs(m_ij * m_jk * m_ik), 9) as size from tri)"""
 
 ORACLE_SQL = {
     "prompt_split": f"""with {preferences.FLAT_SQL}, p as (select distinct prompt_id from flat), s as (select unnest(range({SPLITS})) as split), r as (select prompt_id, split, row_number() over (partition by split order by {_U('split', 'prompt_id')}, prompt_id) as k, count(*) over (partition by split) as n from p cross join s)
 select prompt_id, split::int as split, k <= greatest(1, round_even(n * {TEST_SHARE}::double, 0)) as is_test from r""",
-    "bootstrap_flow": f"""with {comparisons.PAIR_SQL}, um as (select user_id, i, j, avg(pair_sign) as um from pairs where score_delta = 5 and pair_sign <> 0 group by 1, 2, 3), us as (select user_id, row_number() over (order by {_U('user_id')}, user_id) as slot, count(*) over () as n from (select distinct user_id from um)), {_REPS},
+    "bootstrap_flow": f"""with {comparisons.PAIR_SQL}, um as (select user_id, i, j, avg(pair_sign) as um from pairs where score_delta = 5 and pair_sign <> 0 group by 1, 2, 3), us as (select user_id, row_number() over (order by {_U('user_id')}, user_id) as slot, count(*) over () as n from (select distinct user_id from um)), {_reps(BOOTSTRAPS)},
 d as (select rep, floor({_U('rep', 'slot')} / 4294967296.0::double * n)::bigint + 1 as slot from us cross join reps), c as (select rep, slot, count(*) as times from d group by 1, 2)
 select rep::int as rep, i, j, round(sum(times * um) / sum(times), 6) + 0.0 as margin, sum(times)::bigint as support from c join us on c.slot = us.slot join um on um.user_id = us.user_id group by 1, 2, 3""",
-    "permutation_null": f"""with {tournaments.DENSE_SQL}, m as (select distinct user_id, country from dense where country in (select country from elig)), {_REPS}, slots as (select country, row_number() over (order by country, user_id) as position from m),
+    "permutation_null": f"""with {tournaments.DENSE_SQL}, m as (select distinct user_id, country from dense where country in (select country from elig)), {_reps(PERMUTATIONS)}, slots as (select country, row_number() over (order by country, user_id) as position from m),
 dealt as (select rep, user_id, row_number() over (partition by rep order by {_U('rep', 'user_id')}, user_id) as position from m cross join reps),
 g as (select rep || '|' || slots.country as country, user_id from dealt join slots on dealt.position = slots.position union all select 'observed|' || country, user_id from m),
 w0 as (select g.country, x.a as i, y.a as j, {tournaments._WIN} from g join dense x on g.user_id = x.user_id join dense y on x.user_id = y.user_id and x.a < y.a group by 1, 2, 3), w as (select *, wins_i >= wins_j as beats from w0), {tournaments._T3}, {tournaments._CC},
@@ -151,7 +159,7 @@ d as (select c.scope, c.aspect, n, sd, avg(size) filter (where rho >= hi) - avg(
 b as (select *, case when iqr <= 0 then 20 else greatest(12, least(40, ceil((hi - lo) / (2 * iqr / pow(n, 1.0::double / 3)))))::int end as bins from c)
 select b.scope, b.aspect, bins::int as bins, (case when hi > lo then least(bins - 1, floor(round((rho - lo) / (hi - lo) * bins, 9))) else 0 end)::int as bin, count(*) as n from reg join b on reg.scope = b.scope and reg.aspect = b.aspect group by 1, 2, 3, 4""",
     "z_scores": f"with {_REG} select scope, aspect, i, j, k, round((rho - avg(rho) over w) / nullif(stddev_pop(rho) over w, 0), 6) as z_rho, round((size - avg(size) over w) / nullif(stddev_pop(size) over w, 0), 6) as z_size from reg window w as (partition by scope, aspect)",
-    "strat_perm": f"""with {_REG}, {_REPS}, base as (select scope, aspect, triplet, row_number() over (partition by scope, aspect order by {_U('triplet')}, triplet) as p from reg), d as (select scope, aspect, rep, rho, row_number() over (partition by scope, aspect, rep order by {_U('rep', 'triplet')}, triplet) as p from reg cross join reps)
+    "strat_perm": f"""with {_REG}, {_reps(PERMUTATIONS)}, base as (select scope, aspect, triplet, row_number() over (partition by scope, aspect order by {_U('triplet')}, triplet) as p from reg), d as (select scope, aspect, rep, rho, row_number() over (partition by scope, aspect, rep order by {_U('rep', 'triplet')}, triplet) as p from reg cross join reps)
 select d.scope, d.aspect, rep::int as rep, triplet, round(rho, 6) as rho from d join base on d.scope = base.scope and d.aspect = base.aspect and d.p = base.p""",
     "graph_rho_uniform": f"""with {preferences.SCOPED_SQL}, s as (select scope, aspect, i as n, j as o, margin as m from edges union all select scope, aspect, j, i, -margin from edges), k as (select scope, aspect, count(distinct n) as k from s group by 1, 2), r as (select s.scope, s.aspect, n, sum(m) / max(k) as r from s join k on s.scope = k.scope and s.aspect = k.aspect group by 1, 2, 3)
 select e.scope, e.aspect, round(sum((margin - (a.r - b.r)) * (margin - (a.r - b.r))) / sum(margin * margin), 6) as rho from edges e join r a on a.scope = e.scope and a.aspect = e.aspect and a.n = e.i join r b on b.scope = e.scope and b.aspect = e.aspect and b.n = e.j group by 1, 2""",

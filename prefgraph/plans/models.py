@@ -66,7 +66,7 @@ def text_pairs(spark, sf_dir):
 
 
 def tfidf_terms(spark, sf_dir):
-    x = text_model.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", most=2000)  # as in its SQL
+    x = text_model.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text")
     return x.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("x"), 5).alias("weight"))
 
 
@@ -118,8 +118,8 @@ s as (select annotation_group, {_LOSS.replace("q", "p")} from e), f as (select a
 sm as (select annotation_group, sum(weight) as straight_weight, count(*) as straight_edges, {", ".join(f"round(sum({m}) / sum(weight), 6) as straight_{m}" for m in models.LOSSES)} from s group by 1),
 fm as (select annotation_group, {", ".join(f"round(sum({m}) / sum(weight), 6) as flipped_{m}" for m in models.LOSSES)} from f group by 1)
 select sm.*, {", ".join(f"flipped_{m}" for m in models.LOSSES)} from sm join fm on sm.annotation_group = fm.annotation_group""",
-    "tfidf_terms": """with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}') as w from documents), u as (select doc_id, unnest(w) as term from w union all select doc_id, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) from w where len(w) > 1),
-tf as (select doc_id, term, count(*) as tf from u group by 1, 2), d as (select term, count(*) as df, sum(tf) as total from tf group by 1 having count(*) >= 2 order by 3 desc, 1 limit 2000), n as (select count(*) as n from documents),
+    "tfidf_terms": f"""with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{{2,}}') as w from documents), u as (select doc_id, unnest(w) as term from w union all select doc_id, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) from w where len(w) > 1),
+tf as (select doc_id, term, count(*) as tf from u group by 1, 2), d as (select term, count(*) as df, sum(tf) as total from tf group by 1 having count(*) >= 2 order by 3 desc, 1 limit {text_model.FEATURES}), n as (select count(*) as n from documents),
 x as (select doc_id, tf.term, (1 + ln(tf)) * (ln((1 + n)::double / (1 + df)) + 1) as x from tf join d on tf.term = d.term cross join n), nn as (select doc_id, sqrt(sum(x * x)) as l from x group by 1)
 select term, count(*) as df, round(sum(x / l), 5) as weight from x join nn on x.doc_id = nn.doc_id group by 1""",
 }

@@ -10,7 +10,7 @@ from prefgraph.functions.labels import A_LABELS, A_SLIGHT, B_LABELS, B_SLIGHT, s
 from prefgraph.operators import cycles, edges, models, resample
 from prefgraph.operators import scopes as ops
 from prefgraph.operators import tournament as t
-from prefgraph.operators.ordering import numbered
+from prefgraph.operators.ordering import kept, numbered
 from prefgraph.plans import comparisons, inference, preferences, tournaments
 from prefgraph.sources.fixtures import ASPECTS, table
 from prefgraph.sources.scans import read_shards, scratch
@@ -18,7 +18,7 @@ from prefgraph.sources.scans import read_shards, scratch
 #: Labels that say nothing and spellings that only the general rule knows, beside the known ones.
 OTHER = ("tie", "both", "no-preference", "model-a", "a>b", "better", "Answer A Better", "answer_b_slightly_better")
 SPELLINGS = (*A_LABELS, *A_SLIGHT, *B_LABELS, *B_SLIGHT, *OTHER)
-REPS, PERMUTATIONS, NULLS, SEED = 200, 500, 50, 1009
+REPS, PERMUTATIONS, NULLS, SEED = 200, 500, 500, 1009
 LEAST_TRIPLES, TOP = 3, 20
 
 
@@ -131,25 +131,38 @@ def sign_sanity(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) + 0.0 for c in out.columns if c.split("_")[-1] not in ("group", "aspect", "obs", "edges")})
 
 
-def null_comparison(spark, sf_dir):
-    """Means over countries of the tournament metrics, observed and with users dealt anew: z and the share of draws that reach as much."""
-    users, n = tournaments.country_users(spark, sf_dir), len(tournaments.BRANDS)
-
-    def means(groups: DataFrame, keys: list[str]) -> DataFrame:
-        folder = scratch(spark, "tournaments")  # a few rows per draw and country, read by every metric
-        t.wins(groups, n, [*keys, "country"]).write.parquet(folder)
-        w = spark.read.parquet(folder)
-        both = t.condorcet_count(w, [*keys, "country"], n).join(t.odd_parity(w, [*keys, "country"]), [*keys, "country"])
-        return ops.unpivoted_means(both.withColumn("obstructed", F.col("obstructed").cast("int")), keys, ["cycles", "fraction", "odd_parity", "obstructed"])
-
-    null = means(resample.permuted_groups(users, "country", NULLS, SEED), ["rep"])
-    observed = means(users.withColumn("rep", F.lit(-1)), ["rep"]).select("metric", F.col("value").alias("observed"))
-    # four rows of observed means
+def null_means(users: DataFrame, n: int, names: list[str]) -> DataFrame:
+    """(metric, observed, null_mean, null_sd, z, p): means over countries of the tournament metrics, against users dealt anew."""
+    users = kept(users, "country-users")
+
+    def means(dealt: DataFrame) -> DataFrame:
+        both = t.dealt_invariants(users, dealt, n, "country")
+        return ops.unpivoted_means(both.withColumn("obstructed", F.col("obstructed").cast("int")), ["rep"], names)
+
+    null = means(resample.permuted_groups(users.select("user_id", "country"), "country", NULLS, SEED))
+    observed = means(users.select(F.lit(-1).alias("rep"), "user_id", "country")).select("metric", F.col("value").alias("observed"))
+    # a row a metric
     out = ops.against_null(null.join(F.broadcast(observed), "metric"), ["metric"], "value", "observed")
     return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("observed", "null_mean", "null_sd", "z", "p")})
 
 
-QUERIES = {f.__name__: f for f in (label_spellings, shard_union, stable_sample, prompt_group_flow, top_cycle_rates, scope_bundle, cycle_rate_table, margin_matrix, display_names, triplet_catalogue, bootstrap_summary, row_bootstrap, permutation_p, safe_scope_names, sign_sanity, null_comparison)}
+METRICS = ["cycles", "fraction", "odd_parity", "obstructed"]
+
+
+def null_comparison(spark, sf_dir):
+    """Tournament metrics of countries, observed and with users dealt anew: z and the share of draws that reach as much."""
+    return null_means(*tournaments.country_users(spark, sf_dir), METRICS)
+
+
+def construction_comparison(spark, sf_dir):
+    """The same for two constructions side by side: direct choices among brands, and utilities of latent profiles."""
+    direct = null_comparison(spark, sf_dir)
+    latent = null_means(tournaments.latent_users(spark, sf_dir), len(tournaments.PROFILES), METRICS)
+    side = lambda df, name: df.select("metric", *[F.col(c).alias(f"{name}_{c}") for c in ("observed", "null_mean", "z", "p")])
+    return side(direct, "direct").join(side(latent, "latent"), "metric").withColumn("z_difference", F.col("direct_z") - F.col("latent_z"))
+
+
+QUERIES = {f.__name__: f for f in (label_spellings, shard_union, stable_sample, prompt_group_flow, top_cycle_rates, scope_bundle, cycle_rate_table, margin_matrix, display_names, triplet_catalogue, bootstrap_summary, row_bootstrap, permutation_p, safe_scope_names, sign_sanity, null_comparison, construction_comparison)}
 
 _LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _U = inference._U

@@ -6,29 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefgraph.operators import tournament as t
+from prefgraph.operators.ordering import kept
 from prefgraph.operators.projection import graph_projection
 from prefgraph.sources import scans
-from prefgraph.sources.fixtures import CHARACTER_ROWS, DIMENSION_ROWS, derived, plain
+from prefgraph.sources.fixtures import CHARACTER_ROWS, DIMENSION_ROWS, derived, plain, table
 
 MIN_SCENARIOS, MIN_USERS = 8, 20
-#: The alternatives of the queries that have SQL, which names them. Queries without SQL play all alternatives of the data.
-BRANDS = [f"Brand#{a}{b}" for a in range(1, 6) for b in range(1, 6)][:8]
 DIMS = ["d_intervention", "d_number", "d_law", "d_status", "d_species", "d_age"]
-#: Twelve profiles of -1 and 1 from the binary digits of multiples of 37.
-PROFILES = [[1.0 if (37 * (p + 1) >> k) & 1 else -1.0 for k in range(len(DIMS))] for p in range(12)]
+#: Fifty profiles of -1, 0 and 1 from the ternary digits of multiples of 37 modulo a prime.
+PROFILES = [[float(37 * (p + 1) % 727 // 3**k % 3 - 1) for k in range(len(DIMS))] for p in range(50)]
 
 
 def beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.user_beta(derived(spark, sf_dir, CHARACTER_ROWS), MIN_SCENARIOS)
 
 
-def country_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = beta(spark, sf_dir)
-    return t.densified(rows, BRANDS).join(t.eligible_groups(rows, MIN_USERS).select("country"), "country")
+def brands(spark: SparkSession, sf_dir: str) -> list[str]:
+    """All brands of the parts in code-point order: the alternatives, whether anybody chose them or not."""
+    return t.alternatives_of(table(spark, sf_dir, "part").select(F.col("p_brand").alias("alternative")))
+
+
+def country_users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Users of eligible countries with a value for every brand, and how many brands there are."""
+    rows = kept(beta(spark, sf_dir), "user-beta")  # summed once, for the users and for their countries
+    names = brands(spark, sf_dir)
+    return t.densified(rows, names).join(t.eligible_groups(rows, MIN_USERS).select("country"), "country"), len(names)
 
 
-def country_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.wins(country_users(spark, sf_dir), len(BRANDS), ["country"])
+def country_wins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    users, n = country_users(spark, sf_dir)
+    return t.wins(users, n, ["country"]), n
 
 
 def full_country_wins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -44,18 +51,22 @@ def full_betti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.betti_1(w, ["country"], n)
 
 
+def latent_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.utilities(t.latent_beta(derived(spark, sf_dir, DIMENSION_ROWS), DIMS, 8, 4), PROFILES)
+
+
 def latent_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = t.latent_beta(derived(spark, sf_dir, DIMENSION_ROWS), DIMS, 8, 4)
-    return t.wins(t.utilities(users, PROFILES), len(PROFILES), ["country"])
+    return t.wins(latent_users(spark, sf_dir), len(PROFILES), ["country"])
 
 
 def global_tournament(spark, sf_dir):
     """Pooled majorities of all users and of those in eligible countries, with ties and the least margin."""
-    rows = beta(spark, sf_dir)
+    rows = kept(beta(spark, sf_dir), "user-beta")
     groups = t.eligible_groups(rows, MIN_USERS).select("country", F.lit(True).alias("_e"))
-    users = t.densified(rows, BRANDS).join(groups, "country", "left")
+    names = brands(spark, sf_dir)
+    users = t.densified(rows, names).join(groups, "country", "left")
     scoped = users.withColumn("scope", F.explode(F.when(F.col("_e"), F.array(F.lit("all"), F.lit("eligible"))).otherwise(F.array(F.lit("all")))))
-    w = t.wins(scoped, len(BRANDS), ["scope"])
+    w = t.wins(scoped, len(names), ["scope"])
     return w.groupBy("scope").agg(F.count("*").alias("n_pairs"), F.count_if(F.abs("margin") <= 1e-8).alias("ties"), F.round(F.min(F.abs("margin")), 6).alias("min_abs_margin"), F.round(F.avg(F.abs("margin")), 6).alias("mean_abs_margin"), F.sum("support").alias("support"))
 
 
@@ -71,9 +82,10 @@ def invariants(spark, sf_dir):
 
 def obstructed(spark, sf_dir):
     """Countries with a parity obstruction, and whether odd parity stays within (K - 3) times the cycles."""
-    w = country_wins(spark, sf_dir)
-    both = t.odd_parity(w, ["country"]).join(t.condorcet_count(w, ["country"], len(BRANDS)), "country")
-    return both.where("obstructed").select("country", "odd_parity", "cycles", (F.col("odd_parity") > (len(BRANDS) - 3) * F.col("cycles")).alias("violates"))
+    w, n = country_wins(spark, sf_dir)
+    w = kept(w, "country-wins")  # 300 rows a country, read by both
+    both = t.odd_parity(w, ["country"]).join(t.condorcet_count(w, ["country"], n), "country")
+    return both.where("obstructed").select("country", "odd_parity", "cycles", (F.col("odd_parity") > (n - 3) * F.col("cycles")).alias("violates"))
 
 
 def dirty_scan(spark, sf_dir):
@@ -91,10 +103,10 @@ QUERIES = {
     "dirty_scan": dirty_scan,
     "user_beta": lambda s, d: beta(s, d).withColumn("beta", F.round("beta", 6) + 0.0),
     "eligible_groups": lambda s, d: t.eligible_groups(beta(s, d), MIN_USERS),
-    "country_tournament": lambda s, d: country_wins(s, d).withColumn("margin", F.round("margin", 6) + 0.0),
+    "country_tournament": lambda s, d: country_wins(s, d)[0].withColumn("margin", F.round("margin", 6) + 0.0),
     "global_tournament": global_tournament,
-    "condorcet_count": lambda s, d: t.condorcet_count(country_wins(s, d), ["country"], len(BRANDS)).withColumn("fraction", F.round("fraction", 6)),
-    "odd_parity": lambda s, d: t.odd_parity(country_wins(s, d), ["country"]),
+    "condorcet_count": lambda s, d: (lambda w, n: t.condorcet_count(w, ["country"], n))(*country_wins(s, d)).withColumn("fraction", F.round("fraction", 6)),
+    "odd_parity": lambda s, d: t.odd_parity(country_wins(s, d)[0], ["country"]),
     "invariant_bundle": invariants,
     "obstructed_groups": obstructed,
     "latent_beta": lambda s, d: t.latent_beta(derived(s, d, DIMENSION_ROWS), DIMS, 8, 4).select("user_id", "country", *[F.round(F.get("beta", F.lit(k)), 6).alias(n) for k, n in enumerate(DIMS)]),
@@ -105,7 +117,7 @@ QUERIES = {
 BETA_SQL = f"""rows0 as ({plain(CHARACTER_ROWS)}), u as (select user_id, sum(saved)::bigint as n_scenarios, arg_min(country, row_key) as country from rows0 group by 1 having sum(saved) >= {MIN_SCENARIOS}),
 beta as (select r.user_id, u.country, alternative, n_scenarios, sum(case when saved = 1 then cnt else -cnt end)::double / n_scenarios as beta from rows0 r join u on r.user_id = u.user_id group by 1, 2, 3, 4)"""
 _ELIG = f"elig as (select country, count(distinct user_id) as n_users from beta group by 1 having count(distinct user_id) >= {MIN_USERS} and country not in ('', 'NaN', 'UNK'))"
-_ALTS = "alts as (select unnest([" + ", ".join(f"'{b}'" for b in BRANDS) + f"]) as alternative, unnest(range({len(BRANDS)})) as a)"
+_ALTS = "alts as (select alternative, row_number() over (order by alternative) - 1 as a from (select distinct p_brand as alternative from part where p_brand is not null))"
 DENSE_SQL = f"{BETA_SQL}, {_ELIG}, {_ALTS}, dense as (select u.user_id, u.country, a, coalesce(b.beta, 0) as beta from u cross join alts left join beta b on b.user_id = u.user_id and b.alternative = alts.alternative)"
 _WIN = "count(*) filter (where x.beta > y.beta) as wins_i, count(*) filter (where x.beta < y.beta) as wins_j"
 WINS_SQL = f"""{DENSE_SQL}, w0 as (select x.country, x.a as i, y.a as j, {_WIN} from dense x join dense y on x.user_id = y.user_id and x.a < y.a where x.country in (select country from elig) group by 1, 2, 3),
@@ -130,7 +142,7 @@ w0 as (select x.scope, x.a as i, y.a as j, {_WIN} from sc x join sc y on x.scope
 select scope, count(*) as n_pairs, count(*) filter (where m <= 1e-8) as ties, round(min(m), 6) as min_abs_margin, round(avg(m), 6) as mean_abs_margin, sum(wins_i + wins_j)::bigint as support from m group by 1""",
     "condorcet_count": f"with {WINS_SQL}, {_T3}, {_CC} select country, cycles, triples, round(fraction, 6) as fraction from cc",
     "odd_parity": f"with {WINS_SQL}, {_T4} select country, odd_parity, odd_parity > 0 as obstructed from par",
-    "obstructed_groups": f"with {WINS_SQL}, {_T4}, {_CC} select par.country, odd_parity, cycles, odd_parity > {len(BRANDS) - 3} * cycles as violates from par join cc on par.country = cc.country where odd_parity > 0",
+    "obstructed_groups": f"with {WINS_SQL}, {_T4}, {_CC} select par.country, odd_parity, cycles, odd_parity > ((select count(*) from alts) - 3) * cycles as violates from par join cc on par.country = cc.country where odd_parity > 0",
     "latent_beta": f"with {LATENT_SQL} select user_id, country, {', '.join(f'round({d}, 6) as {d}' for d in DIMS)} from lb",
     "latent_majority_cycles": f"""with {LATENT_SQL}, util as (select user_id, country, unnest(range({len(PROFILES)})) as a, unnest([{", ".join("round(" + " + ".join(f"coalesce({d}, 0) * {v}" for d, v in zip(DIMS, p, strict=True)) + ", 12)" for p in PROFILES)}]) as beta from lb),
 w0 as (select x.country, x.a as i, y.a as j, {_WIN} from util x join util y on x.user_id = y.user_id and x.a < y.a group by 1, 2, 3), w as (select *, (wins_i - wins_j) as margin from w0),
