@@ -224,7 +224,7 @@ select rm.annotation_group, rm.aspect, n_obs, edges, {", ".join(f"round({e}, 6)
     "null_comparison": f"""with {tournaments.DENSE_SQL}, m as (select distinct user_id, country from dense where country in (select country from elig)), slots as (select country, row_number() over (order by country, user_id) as position from m),
 dealt as (select rep, user_id, row_number() over (partition by rep order by {_U('rep', 'user_id')}, user_id) as position from m cross join (select unnest(range({NULLS})) as rep)),
 g as (select rep || '|' || slots.country as country, user_id from dealt join slots on dealt.position = slots.position union all select 'observed|' || country, user_id from m),
-w0 as (select g.country, x.a as i, y.a as j, {tournaments._WIN} from g join dense x on g.user_id = x.user_id join dense y on x.user_id = y.user_id and x.a < y.a group by 1, 2, 3), w as (select *, wins_i >= wins_j as beats from w0), {tournaments._T4}, {tournaments._CC},
+w0 as (select g.country, x.a as i, y.a as j, {tournaments._WIN} from g join dense x on g.user_id = x.user_id join dense y on x.user_id = y.user_id and x.a < y.a group by 1, 2, 3), w as (select *, wins_i >= wins_j as beats from w0), {tournaments._T3}, {tournaments._ODD}, {tournaments._CC},
 b as (select split_part(cc.country, '|', 1) as rep, avg(cycles) as cycles, avg(fraction) as fraction, avg(odd_parity) as odd_parity, avg((odd_parity > 0)::int) as obstructed from cc join par on cc.country = par.country group by 1),
 l as (unpivot b on cycles, fraction, odd_parity, obstructed into name metric value value), o as (select metric, value as observed from l where rep = 'observed'),
 s as (select l.metric, min(observed) as observed, avg(value) as null_mean, stddev_pop(value) as null_sd, count(*) filter (where value >= observed - 1e-9) / count(*) as p from l join o on l.metric = o.metric where rep <> 'observed' group by 1)

@@ -126,6 +126,12 @@ _ARC = "arc as (select country, i as x, j as y, beats as b from w union all sele
 _T3 = f"{_ARC}, t3 as (select p.country, p.x as i, p.y as j, q.y as k, (p.b and q.b and not r.b) or (not p.b and not q.b and r.b) as cyc from arc p join arc q on p.country = q.country and p.y = q.x and p.x < p.y and q.x < q.y join arc r on p.country = r.country and p.x = r.x and q.y = r.y)"
 _T4 = f"""{_T3}, t4 as (select a.country, a.i, a.j, a.k, b.k as l, (a.cyc::int + b.cyc::int + c.cyc::int + d.cyc::int) % 2 as odd from t3 a join t3 b on a.country = b.country and a.i = b.i and a.j = b.j and a.k < b.k
 join t3 c on a.country = c.country and a.i = c.i and a.k = c.j and b.k = c.k join t3 d on a.country = d.country and a.j = d.i and a.k = d.j and b.k = d.k), par as (select country, sum(odd)::bigint as odd_parity from t4 group by 1)"""
+#: Odd 4-subsets by out-degrees: cyclic triples among those that a vertex beats, and among those that beat it.
+_ODD = """won as (select country, x, y from arc where b), n as (select count(*) as n from alts), deg as (select country, x, count(*) as d from won group by 1, 2),
+vs as (select country, v, coalesce(d, 0) as d from (select distinct country, x as v from arc) p left join (select country as c, x, d from deg) q on p.country = q.c and p.v = q.x),
+below as (select country, v, sum(k * (k - 1) // 2) as s from (select a.country, a.x as v, a.y as u, count(*) as k from won a join won p on p.country = a.country and p.x = a.x join won q on q.country = a.country and q.x = a.y and q.y = p.y group by 1, 2, 3) group by 1, 2),
+above as (select country, v, sum(k * (k - 1) // 2) as s from (select a.country, a.y as v, a.x as u, count(*) as k from won a join won p on p.country = a.country and p.x = a.x join won q on q.country = a.country and q.x = p.y and q.y = a.y group by 1, 2, 3) group by 1, 2),
+par as (select vs.country, sum(d * (d - 1) * (d - 2) // 6 - coalesce(below.s, 0) + (n - 1 - d) * (n - 2 - d) * (n - 3 - d) // 6 - coalesce(above.s, 0))::bigint as odd_parity from vs cross join n left join below on below.country = vs.country and below.v = vs.v left join above on above.country = vs.country and above.v = vs.v group by 1)"""
 _CC = "cc as (select country, count(*) filter (where cyc) as cycles, count(*) as triples, count(*) filter (where cyc) / count(*) as fraction from t3 group by 1)"
 _STRICT = "st as (select p.country, count(*) as strict_triples, count(*) filter (where sign(p.margin) = sign(q.margin) and sign(p.margin) = -sign(r.margin)) as strict_cycles from w p join w q on p.country = q.country and p.j = q.i join w r on p.country = r.country and p.i = r.i and q.j = r.j where p.margin <> 0 and q.margin <> 0 and r.margin <> 0 group by 1)"
 LATENT_SQL = f"""r as ({plain(DIMENSION_ROWS)}), lu as (select user_id, min(country) as country, {", ".join(f"sum({d})::double as p_{d}, count({d}) as t_{d}" for d in DIMS)} from r group by 1),
