@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from prefgraph.functions.draws import binomials, mixed
 from prefgraph.functions.hashing import hash_int, uniform
 from prefgraph.functions.ranking import distributed_rank
+from prefgraph.operators.ordering import kept
 
 
 def times(df: DataFrame, name: str, n: int) -> DataFrame:
@@ -28,13 +30,39 @@ def prompt_split(prompts: DataFrame, key: str, n_splits: int, share: float, seed
 
 
 def user_bootstrap(user_edges: DataFrame, reps: int, seed: int) -> DataFrame:
-    """(rep, i, j, margin, support) of resampled users; ``user_edges``: user_id, i, j, um. Users are drawn, comparisons never read again."""
+    """(rep, i, j, margin, support) of resampled users; ``user_edges``: user_id, i, j, um.
+
+    Users are drawn by number, comparisons are never read again: a user's draws over all resamples and their pairs are a row each, and a task adds up its users as one
+    product of matrices (resamples x users x pairs; pairs are at most the square of the alternatives).
+    """
+    user_edges = kept(user_edges, "user-edges")
+    listed = sorted((r["i"], r["j"]) for r in user_edges.select("i", "j").distinct().collect())
+    spark, size = user_edges.sparkSession, len(listed)
+    numbers = spark.createDataFrame([(i, j, k) for k, (i, j) in enumerate(listed)], StructType([user_edges.schema["i"], user_edges.schema["j"], StructField("k", IntegerType())]))
     users = distributed_rank(user_edges.select("user_id").distinct().withColumn("_all", F.lit(0)), ["_all"], hash_int(seed, F.col("user_id")), "user_id", "slot")
     n = users.groupBy("_all").agg(F.count("*").alias("n"))
     draws = times(users.join(n, "_all").select("slot", "n"), "rep", reps)
-    drawn = draws.select("rep", (F.floor(uniform(seed, F.col("rep"), F.col("slot")) * F.col("n")) + 1).alias("slot")).groupBy("rep", "slot").agg(F.count("*").alias("times"))
-    weighted = drawn.join(users.select("slot", "user_id"), "slot").join(user_edges, "user_id")
-    return weighted.groupBy("rep", "i", "j").agg((F.sum(F.col("times") * F.col("um")) / F.sum("times")).alias("margin"), F.sum("times").alias("support"))
+    drawn = draws.select("rep", (F.floor(uniform(seed, F.col("rep"), F.col("slot")) * F.col("n")) + 1).alias("slot")).groupBy("slot", "rep").agg(F.count("*").cast("int").alias("times"))
+    of_slot = drawn.groupBy("slot").agg(F.collect_list("rep").alias("reps"), F.collect_list("times").alias("times"))
+    of_user = user_edges.join(F.broadcast(numbers), ["i", "j"]).groupBy("user_id").agg(F.collect_list("k").alias("pairs"), F.collect_list("um").alias("ums"))
+    rows = of_slot.join(users.select("slot", "user_id"), "slot").join(of_user, "user_id").select("reps", "times", "pairs", "ums")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros((reps, size)), np.zeros((reps, size))
+        for batch in batches:
+            reps_, times_, pairs_, ums_ = (batch.column(c) for c in ("reps", "times", "pairs", "ums"))
+            owner = lambda c: np.repeat(np.arange(batch.num_rows), np.diff(c.offsets.to_numpy()))  # noqa: E731, B023
+            copies, values, there = np.zeros((reps, batch.num_rows)), np.zeros((batch.num_rows, size)), np.zeros((batch.num_rows, size))
+            copies[reps_.flatten().to_numpy(), owner(reps_)] = times_.flatten().to_numpy()
+            at = owner(pairs_), pairs_.flatten().to_numpy()
+            values[at], there[at] = ums_.flatten().to_numpy(), 1.0
+            total += copies @ values
+            count += copies @ there
+        if count.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(reps), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(count.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["rep", "total", "count"])
+
+    sums = rows.mapInArrow(add, "rep int, total array<double>, count array<long>").select("rep", F.posexplode(F.arrays_zip("total", "count")).alias("k", "_p")).groupBy("rep", "k").agg(F.sum("_p.total").alias("_t"), F.sum("_p.count").alias("support")).where("support > 0")
+    return sums.join(F.broadcast(numbers), "k").select("rep", "i", "j", (F.col("_t") / F.col("support")).alias("margin"), "support")
 
 
 def permuted_groups(users: DataFrame, group: str, reps: int, seed: int) -> DataFrame:

@@ -21,7 +21,7 @@ def user_table(spark, sf_dir):
 
 
 def bootstrap(spark, sf_dir):
-    return resample.user_bootstrap(user_table(spark, sf_dir), BOOTSTRAPS, SEED).withColumn("margin", F.round("margin", 6) + 0.0)
+    return resample.user_bootstrap(user_table(spark, sf_dir), BOOTSTRAPS, SEED).withColumn("margin", F.round(F.round("margin", 12), 6) + 0.0)  # sums in any order end on the same side of a half
 
 
 def bootstrap_cycles(spark, sf_dir):
