@@ -141,7 +141,7 @@ ORACLE_SQL = {
 select prompt_id, split::int as split, k <= greatest(1, round_even(n * {TEST_SHARE}::double, 0)) as is_test from r""",
     "bootstrap_flow": f"""with {comparisons.PAIR_SQL}, um as (select user_id, i, j, avg(pair_sign) as um from pairs where score_delta = 5 and pair_sign <> 0 group by 1, 2, 3), us as (select user_id, row_number() over (order by {_U('user_id')}, user_id) as slot, count(*) over () as n from (select distinct user_id from um)), {_reps(BOOTSTRAPS)},
 d as (select rep, floor({_U('rep', 'slot')} / 4294967296.0::double * n)::bigint + 1 as slot from us cross join reps), c as (select rep, slot, count(*) as times from d group by 1, 2)
-select rep::int as rep, i, j, round(sum(times * um) / sum(times), 6) + 0.0 as margin, sum(times)::bigint as support from c join us on c.slot = us.slot join um on um.user_id = us.user_id group by 1, 2, 3""",
+select rep::int as rep, i, j, round(round(sum(times * um) / sum(times), 12), 6) + 0.0 as margin, sum(times)::bigint as support from c join us on c.slot = us.slot join um on um.user_id = us.user_id group by 1, 2, 3""",
     "permutation_null": f"""with {tournaments.DENSE_SQL}, m as (select distinct user_id, country from dense where country in (select country from elig)), {_reps(PERMUTATIONS)}, slots as (select country, row_number() over (order by country, user_id) as position from m),
 dealt as (select rep, user_id, row_number() over (partition by rep order by {_U('rep', 'user_id')}, user_id) as position from m cross join reps),
 g as (select rep || '|' || slots.country as country, user_id from dealt join slots on dealt.position = slots.position union all select 'observed|' || country, user_id from m),
