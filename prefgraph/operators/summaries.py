@@ -115,7 +115,7 @@ def partial_beta(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataF
     """Standardised coefficients of y on xs, from the correlations of a scope, a row each; null if a column is constant."""
     cols = [y, *xs]
     rows = finite(df, cols)
-    corr = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.coalesce(corr(a, b), F.lit(float("nan"))) for a in cols for b in cols]).alias("_r"))
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.coalesce(corr(a, b), F.lit(float("nan"))) for a in cols for b in cols]).alias("_r"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
     def solve(batches):
@@ -129,4 +129,4 @@ def partial_beta(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataF
                     out.append([None] * len(xs))
             yield pd.concat([pdf.drop(columns="_r").reset_index(drop=True), pd.DataFrame(out, columns=[f"beta_{x}" for x in xs])], axis=1)
 
-    return corr.mapInPandas(solve, f"{kinds}, n long, " + ", ".join(f"`beta_{x}` double" for x in xs))
+    return sums.mapInPandas(solve, f"{kinds}, n long, " + ", ".join(f"`beta_{x}` double" for x in xs))

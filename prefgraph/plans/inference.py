@@ -51,7 +51,7 @@ def bounded_summary(spark, sf_dir):
     return bounded(spark, sf_dir).select("scope", "aspect", F.size("nodes").alias("n_nodes"), "n_at_bound", F.round("max_abs_fitted", 6).alias("max_abs_fitted"), (F.col("kkt_residual") < 1e-9).alias("optimal"), rho.alias("rho"), F.transform("scores", lambda v: F.round(v, 6) + 0.0).alias("scores"))
 
 
-def against_draws(null, observed, keys, fits=None):
+def against_draws(null, observed, keys):
     """Residual and cycle rate of the flow against their null draws, with q over all keys for each metric."""
     metrics = ["rho", "cycle_rate"]
     long = null.unpivot([*keys, "rep"], metrics, "metric", "value").join(observed.unpivot(keys, metrics, "metric", "observed"), [*keys, "metric"])
@@ -80,13 +80,23 @@ def additive_histogram(spark, sf_dir):
     return summaries.marked_histogram(ordering.kept(rows, "null-rho"), keys, "rho", "observed")
 
 
-def transitive(spark, sf_dir):
-    """Projection residual and cycle rate against draws from Bradley-Terry scores fitted to the same flow."""
+def transitive_draws(spark, sf_dir):
+    """Draws from Bradley-Terry scores fitted to a flow, and the flow's own statistics."""
     flow = ordering.kept(comparisons.user_edges(spark, sf_dir).where("score_delta = 5"), "user-edges")
     scores = bt_graph(flow, ["score_delta"]).groupBy("score_delta").agg(F.array_sort(F.collect_list(F.struct("node", "theta"))).alias("_t")).select("score_delta", F.col("_t.node").alias("nodes"), F.col("_t.theta").alias("scores"))
     cells = flow.select("score_delta", "i", "j", F.lit(1.0).alias("weight"), F.col("support").alias("n"))
-    null = null_draws.null_stats(cells, scores, ["score_delta"], TRANSITIVE_DRAWS, SEED, null_draws.logistic)
-    return against_draws(null, null_draws.observed_stats(flow, ["score_delta"], 0.0, 0.0), ["score_delta"])
+    return null_draws.null_stats(cells, scores, ["score_delta"], TRANSITIVE_DRAWS, SEED, null_draws.logistic), null_draws.observed_stats(flow, ["score_delta"], 0.0, 0.0)
+
+
+def transitive(spark, sf_dir):
+    """Projection residual of every draw beside the observed one."""
+    null, observed = transitive_draws(spark, sf_dir)
+    return null.join(observed.select("score_delta", F.col("rho").alias("observed")), "score_delta").select("rep", F.col("rho").alias("null_rho"), "observed")
+
+
+def transitive_summary(spark, sf_dir):
+    """Projection residual and cycle rate against the draws."""
+    return against_draws(*transitive_draws(spark, sf_dir), ["score_delta"])
 
 
 def edge_p(spark, sf_dir):
@@ -116,6 +126,7 @@ QUERIES = {
     "additive_null": additive,
     "additive_null_histogram": additive_histogram,
     "transitive_null": transitive,
+    "transitive_null_summary": transitive_summary,
     "bh_qvalues": q_values,
     "spearman_rho": correlations,
     "quartile_effect": lambda s, d: summaries.quartile_effect(regions(s, d), ["scope", "aspect"], "rho", "size").withColumns({c: F.round(c, 6) for c in ("effect", "effect_sd")}),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefgraph.functions.hashing import hash_int, uniform
 from prefgraph.functions.ranking import distributed_rank
-from prefgraph.operators import models, regions, resample, summaries, text_model
+from prefgraph.operators import logistic_heads, models, regions, resample, summaries, text_model
+from prefgraph.operators.ordering import kept
 from prefgraph.plans import comparisons, inference, preferences
 from prefgraph.sources.fixtures import table
 
@@ -72,9 +72,13 @@ def tfidf_terms(spark, sf_dir):
 
 def text_reward_fit(spark, sf_dir):
     """Predicted P(A) of the text pairs by a logistic fit on differences of the most frequent words' and word pairs' weights."""
-    vectors = text_model.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text")
-    rows = text_model.difference_features(text_pairs(spark, sf_dir), vectors, text_model.term_numbers(vectors), text_model.FEATURES).persist()  # fitted, then predicted
-    return text_model.fit(rows, "y", "w").transform(rows).select("pair_id", "y", vector_to_array("probability")[1].alias("p_a"))
+    vectors = kept(text_model.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text"), "text-vectors")
+    numbers = kept(text_model.term_numbers(vectors), "text-terms")
+    pairs = kept(text_pairs(spark, sf_dir), "text-pairs")
+    rows = kept(pairs.select("pair_id", "y", F.col("w").alias("weight")).join(text_model.difference_rows(pairs, vectors, numbers), "pair_id"), "text-rows")
+    members = rows.select(F.lit("all").alias("head"), "pair_id")
+    head = logistic_heads.fit_heads(rows, members, members.select("head").distinct(), "pair_id", max(numbers.count(), 1))
+    return logistic_heads.predict(rows, members, kept(head, "text-head"), "pair_id").join(rows.select("pair_id", "y"), "pair_id").select("pair_id", "y", F.col("p").alias("p_a"))
 
 
 OUTCOMES = [f"pair_{m}" for m in models.LOSSES]

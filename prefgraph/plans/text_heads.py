@@ -9,7 +9,7 @@ from prefgraph.functions.hashing import hash_int
 from prefgraph.functions.ranking import distributed_rank
 from prefgraph.operators import logistic_heads, regions, resample, text_model
 from prefgraph.operators.edges import scoped_edge_flow
-from prefgraph.operators.ordering import kept, numbered
+from prefgraph.operators.ordering import kept
 from prefgraph.plans import inference
 from prefgraph.sources.fixtures import table
 
@@ -40,14 +40,9 @@ def features(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> tuple[DataFr
     """Rows of sparse differences: pair_id, y, weight, index, value; and how many terms there are."""
     wanted = pairs.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct()
     vectors = kept(text_model.tfidf(table(spark, sf_dir, "documents").dropDuplicates(["doc_id"]).join(wanted, "doc_id", "left_semi"), "doc_id", "text"), "text-vectors")
-    terms = kept(numbered(vectors.select("term").distinct(), "term", "number"), "text-terms")
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.col("id_a").alias("doc_id"), F.lit(1.0).alias("s")), F.struct(F.col("id_b").alias("doc_id"), F.lit(-1.0).alias("s")))).alias("_p")).select("pair_id", "_p.*")
-    x = vectors.join(F.broadcast(terms), "term").select("doc_id", F.col("number").cast("int").alias("number"), "x")  # as many as tfidf keeps, 50,000
-    long = sides.join(x, "doc_id").groupBy("pair_id", "number").agg(F.sum(F.col("s") * F.col("x")).alias("d"))
-    rows = long.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("number", "d"))).alias("_d"))
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    out = pairs.join(rows, "pair_id", "left").select("pair_id", ((F.col("sign") + 1) / 2).cast("double").alias("y"), "weight", F.coalesce("_d.number", none("int")).alias("index"), F.coalesce("_d.d", none("double")).alias("value"))
-    return kept(out, "text-rows"), terms.count()
+    terms = kept(text_model.term_numbers(vectors), "text-terms")
+    rows = pairs.select("pair_id", ((F.col("sign") + 1) / 2).cast("double").alias("y"), "weight").join(text_model.difference_rows(pairs, vectors, terms), "pair_id")
+    return kept(rows, "text-rows"), terms.count()
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

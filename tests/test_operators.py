@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prefgraph.functions import labels
 from prefgraph.functions.labels import response_id, safe_double, sign_and_weight
 from prefgraph.functions.ranking import distributed_rank
-from prefgraph.operators import cycles, models, ordering, projection, resample, scopes, summaries, text_model
+from prefgraph.operators import cycles, logistic_heads, models, ordering, projection, resample, scopes, summaries, text_model
 from prefgraph.operators import tournament as t
 from prefgraph.operators.flatten import observations, with_signs
 from prefgraph.operators.pairs import opening_pairs
@@ -239,14 +239,18 @@ def test_text_features_go_beyond_frequent_words(spark):
     numbers = text_model.term_numbers(vectors)
     assert {"good1", "bad2", "rarely"} <= {r["term"] for r in numbers.collect()} and numbers.count() > 180
     pairs = spark.createDataFrame([(f"p{k}", 2 * k + k % 2, 2 * k + 1 - k % 2, float(k % 2), 1.0) for k in range(30)] + [("none", 900, 901, 1.0, 1.0)], "pair_id string, id_a long, id_b long, y double, w double")
-    feats = text_model.difference_features(pairs, vectors, numbers, text_model.FEATURES)
+    feats = text_model.difference_rows(pairs, vectors, numbers)
     x = {(r["doc_id"], r["term"]): r["x"] for r in vectors.collect()}
     at = {r["term"]: r["number"] for r in numbers.collect()}
-    got = {r["pair_id"]: r["features"] for r in feats.collect()}
+    got = {r["pair_id"]: dict(zip(r["index"], r["value"], strict=True)) for r in feats.collect()}
     want = {t: x.get((3, t), 0.0) - x.get((2, t), 0.0) for t in at}
-    assert all(got["p1"][at[t]] == pytest.approx(v, abs=1e-12) for t, v in want.items()) and got["none"].numNonzeros() == 0
-    p = {r["pair_id"]: (r["y"], r["probability"][1]) for r in text_model.fit(feats, "y", "w").transform(feats).collect()}
-    assert all((q > 0.5) == (y > 0.5) for k, (y, q) in p.items() if k != "none")
+    assert all(got["p1"].get(at[t], 0.0) == pytest.approx(v, abs=1e-12) for t, v in want.items()) and got["none"] == {}
+    rows = feats.join(pairs.select("pair_id", "y", F.col("w").alias("weight")), "pair_id")
+    members = rows.select(F.lit("all").alias("head"), "pair_id")
+    head = logistic_heads.fit_heads(rows, members, members.select("head").distinct(), "pair_id", len(at))
+    p = {r["pair_id"]: r["p"] for r in logistic_heads.predict(rows, members, head, "pair_id").collect()}
+    y = {r["pair_id"]: r["y"] for r in pairs.collect()}
+    assert len(p) == 31 and all((q > 0.5) == (y[k] > 0.5) for k, q in p.items() if k != "none")
 
 
 def test_transitive_null_draws_as_often_as_the_reference(spark, monkeypatch):
