@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prefgraph.operators.cycles import triplet_residual
 from prefgraph.operators.edges import scoped_edge_flow
 from prefgraph.operators.models import LOSSES, bt_triplet, edge_losses, mean_losses, pairwise_p, sigmoid
-from prefgraph.operators.ordering import quantiles
+from prefgraph.operators.ordering import kept, quantiles
 from prefgraph.operators.summaries import corr
 
 KEYS = ["split", "scope", "aspect"]
@@ -19,11 +19,20 @@ REGION = [*KEYS, "i", "j", "k"]
 
 
 def split_flows(obs: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edge flows of the training and of the test prompts by (split, scope, aspect)."""
-    flow = scoped_edge_flow(obs.join(splits, "prompt_id"), ["split", "is_test", "aspect"], "annotation_group")
-    # a few rows per scope, read by every model: kept, and made again from the observations if an executor is lost
-    flow = flow.persist()
-    return flow.where("not is_test").drop("is_test"), flow.where("is_test").drop("is_test")
+    """Edge flows of the training and of the test prompts by (split, scope, aspect).
+
+    Every prompt is on one side of every split, so only test observations are dealt to splits (a fifth of them, say) and the training sums are what they leave of the sums over everything;
+    with weights that are binary fractions, as labels give, the differences are exact.
+    """
+    sums = ["support", "weighted_margin", "i_wins", "j_wins", "n_obs"]
+    edge = ["scope", "aspect", "i", "j"]
+    test = kept(scoped_edge_flow(obs.join(splits.where("is_test").select("prompt_id", "split"), "prompt_id"), ["split", "aspect"], "annotation_group"), "test-flow")
+    numbers = splits.select("split").distinct()  # as many as splits
+    whole = scoped_edge_flow(obs, ["aspect"], "annotation_group").drop("margin").join(F.broadcast(numbers))
+    rest = whole.join(test.select("split", *edge, *[F.col(c).alias(f"_{c}") for c in sums]), ["split", *edge], "left")
+    train = rest.select("split", *edge, *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums]).where("n_obs > 0")
+    # a few rows per scope, read by every model
+    return kept(train.withColumn("margin", F.col("weighted_margin") / F.col("support")), "train-flow"), test
 
 
 def trained_triplets(train: DataFrame, min_support: float) -> DataFrame:

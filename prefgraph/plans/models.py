@@ -27,7 +27,7 @@ def region_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairwise_regions(spark, sf_dir):
     out = region_table(spark, sf_dir)
-    return out.select(*regions.REGION, "cyclic", "pair_weight", "pair_edges", *[F.round(c, 6).alias(c) for c in ("rho", "mean_abs_margin", *[f"pair_{m}" for m in models.LOSSES])])
+    return out.select(*regions.REGION, "cyclic", "pair_weight", "pair_edges", *[F.round(c, 9).alias(c) for c in ("rho", "mean_abs_margin", *[f"pair_{m}" for m in models.LOSSES])])
 
 
 def bt_triplets(spark, sf_dir):
@@ -90,7 +90,7 @@ QUERIES = {
     "uplift_summary": uplift,
     "routing_policy": lambda s, d: regions.routing_table(region_table(s, d), ["scope"]),
     "outcome_cube": lambda s, d: regions.outcome_cube(region_table(s, d), OUTCOMES).withColumns(R6("mean", "corr_rho")),
-    "region_means": lambda s, d: regions.region_means(region_table(s, d), ["rho", *OUTCOMES]).withColumns(R6("rho", *OUTCOMES)),
+    "region_means": lambda s, d: regions.region_means(region_table(s, d), ["rho", *OUTCOMES]).withColumns({c: F.round(c, 9) for c in ("rho", *OUTCOMES)}),
     "scored_predictions": lambda s, d: scored_predictions(s, d).withColumns(R6(*[f"{k}_{m}" for k in ("straight", "flipped") for m in models.LOSSES])),
     "tfidf_terms": tfidf_terms,
     "text_reward_fit": text_reward_fit,
@@ -113,9 +113,9 @@ regs as (select split_part(rg.scope, '|', 1)::int as split, split_part(rg.scope,
 _CUBE = ", ".join(f"avg({m}) as a_{m}, corr(rho, {m}) as c_{m}" for m in OUTCOMES)
 
 ORACLE_SQL = {
-    "region_table": f"with {_REGIONS} select split, scope, aspect, i, j, k, cyclic, pair_weight, pair_edges, {', '.join(f'round({c}, 6) as {c}' for c in ('rho', 'mean_abs_margin', *OUTCOMES))} from regs",
+    "region_table": f"with {_REGIONS} select split, scope, aspect, i, j, k, cyclic, pair_weight, pair_edges, {', '.join(f'round({c}, 9) as {c}' for c in ('rho', 'mean_abs_margin', *OUTCOMES))} from regs",
     "outcome_cube": f"with {_REGIONS}, lg as ({' union all '.join(f'''select scope, aspect, rho, '{m}' as outcome, {m} as value from regs''' for m in OUTCOMES)}), ex as (select 'every' as scope, 'every' as aspect, rho, outcome, value from lg union all select scope, 'every', rho, outcome, value from lg union all select 'every', aspect, rho, outcome, value from lg union all select scope, aspect, rho, outcome, value from lg) select scope, aspect, outcome, count(value) as n, round(avg(value), 6) as mean, round(corr(rho, value), 6) as corr_rho from (select *, 1 as part from ex) group by 1, 2, 3",
-    "region_means": f"with {_REGIONS} select scope, aspect, i, j, k, count(*) as n_rows, count(distinct split) as n_splits, {', '.join(f'round(avg({c}), 6) as {c}' for c in ('rho', *OUTCOMES))} from regs group by 1, 2, 3, 4, 5",
+    "region_means": f"with {_REGIONS} select scope, aspect, i, j, k, count(*) as n_rows, count(distinct split) as n_splits, {', '.join(f'round(avg({c}), 9) as {c}' for c in ('rho', *OUTCOMES))} from regs group by 1, 2, 3, 4, 5",
     "scored_predictions": f"""with {preferences.OBS_SQL}, x as (select annotation_group, i, j, sign, weight, cast('0x' || substr(md5(concat_ws('|', '7', prompt_id, i, j)), 1, 8) as bigint) / 4294967296.0::double as p from obs where aspect = 'overall'),
 e as (select annotation_group, i, j, sum(case when sign > 0 then weight else 0 end) as wi, sum(case when sign < 0 then weight else 0 end) as wj, sum(weight * p) / sum(weight) as p from x group by 1, 2, 3),
 s as (select annotation_group, {_LOSS.replace("q", "p")} from e), f as (select annotation_group, {_LOSS} from (select *, 1 - p as q from e)),

@@ -4,7 +4,7 @@ import pytest
 
 from prefgraph import plans
 
-FAST = ["label_sign_weight", "flatten_annotations", "edge_flow_by_group", "triplet_rho", "margin_cycle_stats", "prompt_support_audit", "dataset_audit", "user_edge_flow", "threshold_grid_cycles", "strongest_cycles", "opening_history", "dirty_scan", "latent_beta", "bootstrap_flow", "prompt_split", "bh_qvalues", "spearman_rho", "attribute_subset_flow", "tfidf_terms", "stream_edge_flow", "label_spellings", "shard_union", "stable_sample", "prompt_group_flow", "scope_bundle", "margin_matrix", "triplet_catalogue", "row_bootstrap", "permutation_p", "sign_sanity", "safe_scope_names"]
+FAST = ["label_sign_weight", "flatten_annotations", "edge_flow_by_group", "triplet_rho", "margin_cycle_stats", "prompt_support_audit", "dataset_audit", "user_edge_flow", "threshold_grid_cycles", "strongest_cycles", "opening_history", "dirty_scan", "latent_beta", "bootstrap_flow", "prompt_split", "bh_qvalues", "spearman_rho", "attribute_subset_flow", "tfidf_terms", "stream_edge_flow", "label_spellings", "shard_union", "stable_sample", "prompt_group_flow", "scope_bundle", "margin_matrix", "triplet_catalogue", "row_bootstrap", "permutation_p", "sign_sanity", "safe_scope_names", "stream_triplet_rho", "user_cache", "stratum_flow"]
 
 
 @pytest.mark.parametrize("name", FAST)
