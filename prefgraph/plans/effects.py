@@ -9,7 +9,7 @@ from prefgraph.operators import ordering, regions, regression, summaries
 from prefgraph.plans import inference, models
 from prefgraph.sources.fixtures import ASPECTS
 
-BOOTSTRAPS, PERMUTATIONS, SEED = 2000, 5000, 1009
+BOOTSTRAPS, PERMUTATIONS, SEED = 500, 1000, 1009
 CONTROLS = ["mean_abs_margin", "min_support", "log_weight"]
 FACTORS = ["scope", "aspect"]
 
