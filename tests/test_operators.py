@@ -12,6 +12,7 @@ from prefgraph.functions.labels import response_id, safe_double, sign_and_weight
 from prefgraph.functions.ranking import distributed_rank
 from prefgraph.operators import cycles, logistic_heads, models, ordering, projection, resample, scopes, summaries, text_model
 from prefgraph.operators import tournament as t
+from prefgraph.operators.edges import user_edge_flow as user_flow
 from prefgraph.operators.flatten import observations, with_signs
 from prefgraph.operators.pairs import opening_pairs
 from prefgraph.plans import comparisons, inference, tournaments
@@ -274,3 +275,13 @@ def test_row_metrics_in_every_orientation(spark, turned, flipped):
     assert m["target_mismatch"] == (1.0 if turned else 0.0)
     assert m["majority_error"] == (1.0 if turned != flipped else 0.0) == 1 - m["flipped_majority_error"]
     assert abs(m["log_loss"] + math.log(0.1 if flipped else 0.9)) < 1e-12 and abs(m["brier"] - (0.81 if flipped else 0.01)) < 1e-12
+
+
+def test_user_flow_rounds_exact_halves_one_way(spark):
+    """Seven users at a seventh and 121 at none make 1/128 = 0.0078125, an exact half at six places, however the rows lie."""
+    rows = [(u, "x", "y", s) for u in range(7) for s in (1, 1, 1, 1, -1, -1, -1)] + [(u, "x", "y", s) for u in range(7, 128) for s in (1, -1)]
+    rows += [(u, "y", "z", -s) for u, _, _, s in rows]
+    for parts in (1, 3, 7):
+        flow = user_flow(spark.createDataFrame(rows, "user_id long, i string, j string, pair_sign int").repartition(parts), [])
+        got = {r["i"]: tuple(r)[1:] for r in flow.select("i", "margin", F.round("margin", 6), "support", "total_observations").collect()}
+        assert got == {"x": (0.0078125, 0.007813, 128, 291), "y": (-0.0078125, -0.007813, 128, 291)}
