@@ -13,17 +13,19 @@ Edges. A bucket's members are paired with one pivot, never with each other: a st
 most copies together; then each bucket that holds several components gets a star from a member of its largest one to the
 members of others, so that a group of n copies has a few times n links, however many bands they share. A member that the pivot
 didn't link can still be near another one, so buckets that hold more than one component after that go on: the members
-outside the bucket's largest component, at most ``PIVOTS`` of them a round, become pivots for the members of other components,
-and are exhausted then; a pair is only made in the first bucket that it shares. So every pair of one bucket is either tested or already in one component when the rounds end, and
+outside the bucket's largest component, first ``EARLY`` of them, then at most ``PIVOTS`` a round, become pivots for the members of other components,
+and are exhausted then; those with the fewest shingles of their own come first, since they are nearest to what a group has in common, so that few links join
+most of it. A pair is only made in the first bucket that it shares. So every pair of one bucket is either tested or already in one component when the rounds end, and
 pairs within a component are never made.
 
 Tests. Shingles that only one candidate class holds are counted: n of them aside, a class can share no more than the rest
 with any other. Classes that can't reach the similarity with anything leave, and pairs are made only if the smaller rest would
 do; such bounds are exact. Then pairs go that agree in fewer than ``agree_for`` of ``BITS`` one-bit minima: the limit is 5.3 standard
 deviations below the mean at the threshold (902 below 947 at 0.85, 870 below 922 at 0.80), so that a link is lost less often than by
-sharing no band. That test is made where
-pairs are, so crowds of texts that each differ from a common original by more than the threshold allows give no pairs. The
-rest is confirmed on full sets.
+sharing no band. Where pivots meet members, the ``LEAST`` least hashes of both are compared as well: sets that have fewer are there as a whole, so that the
+comparison is exact; of longer ones, those of the union's least hashes that both hold are a sample of the similarity, with a limit of the same deviations.
+These tests are made where pairs are, so crowds of texts that each differ from a common original by more than the threshold allows give no pairs: what is
+made there are links. All pairs are confirmed on full sets.
 
 Edge cases: null and word-less texts have empty sets, n_shingles 0, and are linked with nothing; rows with null ids
 belong to their class, but don't name it (a class of null ids only has component_id null and is kept); repeated rows are
@@ -46,7 +48,7 @@ from prefgraph.llm.common import shared_dir, ship_package, staged, tidy
 
 SHINGLE = 5
 BINS, ROWS = 125, 5
-PIVOTS, BITS = 256, 1024
+EARLY, PIVOTS, BITS, LEAST = 8, 256, 1024, 1024
 #: Bands whose stars are made before it is known which classes belong together.
 FIRST = 2
 #: How often a pair at the threshold shares no band, at most, and standard deviations from the mean to the limit of one-bit minima.
@@ -66,6 +68,19 @@ def agree_for(percent: int) -> int:
     return math.floor(BITS * p - DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
 
 
+def both_for(percent: int) -> int:
+    """Of the ``LEAST`` least hashes of a union, how many both sets of a pair at the threshold hold but for ``DEVIATIONS`` standard deviations."""
+    p = percent / 100
+    return math.floor(LEAST * p - DEVIATIONS * math.sqrt(LEAST * p * (1 - p)))
+
+
+def similar(a: str, b: str, percent: int) -> str:
+    """Whether two sets can reach the similarity, by their least hashes; exact for sets of fewer than ``LEAST``."""
+    both, union = f"array_intersect({a}, {b})", f"slice(array_sort(array_union({a}, {b})), 1, {LEAST})"
+    whole = f"{100 + percent} * size({both}) >= {percent} * (size({a}) + size({b}))"
+    return f"case when size({a}) < {LEAST} and size({b}) < {LEAST} then {whole} else size(array_intersect({both}, {union})) >= {both_for(percent)} end"
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -168,7 +183,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(text) for text in batch.column("text").to_pylist()]
         names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         bits = [one_bits(s) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_name", "bits", "hashes"])
+        least = pa.array([np.sort(s.view(np.int64))[:LEAST] for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(bits, pa.list_(pa.int64())), least, pa.array([s.tobytes() for s in sets], pa.binary())], ["set_name", "bits", "least", "hashes"])
 
 
 def _confirm(percent: int):
@@ -226,8 +242,8 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
     wanted = staged(classes.drop("bands").join(wanted_ids, "class", "left_semi"), "dedup-wanted")
     one_row = described.select("doc_id", "set_name").join(wanted.select("set_name", "first_id", "class"), "set_name").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id").distinct()
     texts = rows.join(one_row, rows["doc_id"].eqNullSafe(one_row["doc_id"]), "left_semi")
-    sets = texts.select("text").mapInArrow(tidy(_full_sets), "set_name binary, bits array<long>, hashes binary")
-    sets = staged(sets.join(wanted.select("set_name", "class"), "set_name").dropDuplicates(["class"]).select("class", "bits", "hashes"), "dedup-sets")
+    sets = texts.select("text").mapInArrow(tidy(_full_sets), "set_name binary, bits array<long>, least array<long>, hashes binary")
+    sets = staged(sets.join(wanted.select("set_name", "class"), "set_name").dropDuplicates(["class"]).select("class", "bits", "least", "hashes"), "dedup-sets")
 
     flat = sets.select("class", "hashes").mapInArrow(tidy(_shingles), "class long, shingle long")
     alone = flat.groupBy("shingle").agg(F.min("class").alias("class"), F.count("*").alias("_k")).where("_k = 1").groupBy("class").agg(F.count("*").alias("_alone"))
@@ -246,8 +262,10 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
         full = near.join(side("y", "hashes"), "y").join(side("x", "hashes"), "x")
         return staged(full.select("x", "y", F.col("x_hashes").alias("x_set"), F.col("y_hashes").alias("y_set")).mapInArrow(tidy(_confirm(percent)), "x long, y long"), "dedup-links")
 
+    # the member with the fewest shingles of its own
+    central = F.min(F.struct((F.col("n") - F.col("rest")).alias("own"), "class", "n", "rest")).alias("p")
     reach = lambda n, r: f"100 * least(rest, {r}) >= {percent} * (n + {n} - least(rest, {r}))"
-    pivots = members.where(F.col("band") < FIRST).groupBy("bucket").agg(F.min(F.struct("class", "n", "rest")).alias("p"))
+    pivots = members.where(F.col("band") < FIRST).groupBy("bucket").agg(central)
     starred = members.join(pivots, "bucket").where("class <> p.class and " + reach("p.n", "p.rest"))
     links = confirmed(starred.select(F.col("p.class").alias("x"), F.col("class").alias("y")))
     groups = components(links)
@@ -261,28 +279,29 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", percen
 
     # the other bands' stars, from a member of the largest component to members of others
     left = divided(members)
-    pivots = left.where("component = main").groupBy("bucket").agg(F.min(F.struct("class", "n", "rest")).alias("p"))
+    pivots = left.where("component = main").groupBy("bucket").agg(central)
     starred = left.where("component <> main").join(pivots, "bucket").where(reach("p.n", "p.rest"))
     found = confirmed(starred.select(F.least("class", "p.class").alias("x"), F.greatest("class", "p.class").alias("y")))
     if found.limit(1).count():
         links = staged(links.union(found), "dedup-links")
         groups = components(links)
     left = left.select("bucket", "class", "n", "rest")
-    bits = sets.select("class", "bits").join(classes.select("class", "bands"), "class")
+    bits = sets.select("class", "bits", "least").join(classes.select("class", "bands"), "class")
+    turns = min(EARLY, PIVOTS)
     while True:
         left = divided(left)
         if left.limit(1).count() == 0:
             break
-        outside = Window.partitionBy("bucket").orderBy("class")
-        pivots = left.where("component <> main").withColumn("turn", F.row_number().over(outside)).where(F.col("turn") <= PIVOTS)
-        pivots = staged(pivots.join(bits, "class").select("bucket", F.col("bits").alias("pivot_bits"), F.col("bands").alias("pivot_bands"), F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest"), F.col("component").alias("pivot_component")), "dedup-pivots")
+        outside = Window.partitionBy("bucket").orderBy(F.col("n") - F.col("rest"), "class")
+        pivots = left.where("component <> main").withColumn("turn", F.row_number().over(outside)).where(F.col("turn") <= turns)
+        pivots = staged(pivots.join(bits, "class").select("bucket", F.col("bits").alias("pivot_bits"), F.col("least").alias("pivot_least"), F.col("bands").alias("pivot_bands"), F.col("class").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest"), F.col("component").alias("pivot_component")), "dedup-pivots")
         marked = left.join(pivots.select("bucket", F.col("pivot").alias("class"), F.lit(True).alias("is_pivot")), ["bucket", "class"], "left")
-        pairs = marked.join(bits, "class").join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot) and " + reach("pivot_n", "pivot_rest") + " and " + agree("bits", "pivot_bits") + " and array_intersect(pivot_bands, bands)[0] = bucket")
+        pairs = marked.join(bits, "class").join(pivots, "bucket").where("component <> pivot_component and (is_pivot is null or class < pivot) and " + reach("pivot_n", "pivot_rest") + " and " + agree("bits", "pivot_bits") + " and array_intersect(pivot_bands, bands)[0] = bucket and " + similar("least", "pivot_least", percent))
         found = confirmed(pairs.select(F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")))
         if found.limit(1).count():
             links = staged(links.union(found), "dedup-links")
             groups = components(links)
-        left = marked.where("is_pivot is null").select("bucket", "class", "n", "rest")
+        left, turns = marked.where("is_pivot is null").select("bucket", "class", "n", "rest"), PIVOTS
 
     named = classes.select("class", "set_name", "first_id").join(groups, F.col("class") == F.col("node"), "left").select("set_name", "first_id", F.coalesce("component", "class").alias("component"))
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -76,6 +76,43 @@ def test_a_large_group_makes_few_links(spark, monkeypatch):
     assert max(seen) < 3 * 300
 
 
+def test_a_crowd_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    """Texts with two words of their own each, near their common original and not each other: pairs that aren't links aren't made."""
+    made, real = spark.sparkContext.accumulator(0), near_dedup._confirm
+
+    def counted(percent):
+        def run(batches, confirm=real(percent)):
+            def seen():
+                for batch in batches:
+                    made.add(batch.num_rows)
+                    yield batch
+
+            return confirm(seen())
+
+        return run
+
+    monkeypatch.setattr(near_dedup, "_confirm", counted)
+    rng, rows = random.Random(13), []
+    for k in range(200):
+        words = [f"w{j}" for j in range(200)]
+        for j in rng.sample(range(5, 195), 2):
+            words[j] = f"z{k}x{j}"
+        rows.append((k, " ".join(words)))
+    check(spark, rows)
+    assert made.value < 10 * 200  # 14,467 when sketches alone kept pairs apart
+
+
+def test_least_hashes_bound_the_similarity(spark):
+    """Exact for short sets; of longer ones no pair at the threshold is lost."""
+    rng, rows = np.random.default_rng(9), []
+    for n, both in ((100, 85), (100, 84), (5000, 4250), (5000, 3500)):
+        u = rng.integers(-(2**63), 2**63 - 1, n)
+        a, b = (np.sort(x)[: near_dedup.LEAST].tolist() for x in (u[: both + (n - both) // 2], np.concatenate([u[:both], u[both + (n - both) // 2 :]])))
+        rows.append((a, b))
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    assert [r[0] for r in frame.selectExpr(near_dedup.similar("a", "b", 85)).collect()] == [True, False, True, False]
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
