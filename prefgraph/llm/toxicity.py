@@ -39,7 +39,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,21 +80,51 @@ def folded(token: str) -> str:
     return _REPEATS.sub(r"\1", token)
 
 
-def slots(token: str) -> list[int]:
-    """Hashed slots of a token's units, the whole word first."""
-    f = folded(token)
-    m, hashed, mask = len(f), xxhash.xxh3_64_intdigest, (1 << BITS) - 1
-    names = ["=" + f]
-    names += ["^" + f[:k] for k in range(2, min(8, m))]
-    names += [f[-k:] + "$" for k in range(3, min(8, m))]
-    names += [f[i : i + 4] for i in range(1, m - 4)]
-    return [hashed(u) & mask for u in names]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed slots of the units of tokens, one token after another, the whole word first; and where each starts. Letters of all
+    tokens are hashed together, a unit as its letters from the word's edge inwards, after a seed of its kind."""
+    found = list(map(folded, words))
+    letters = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lens = np.fromiter(map(len, found), np.int64, len(found))
+    first = np.cumsum(lens) - lens
+    word = np.arange(len(found))
+    owner = np.repeat(word, lens)
+    inside = np.arange(len(letters)) - first[owner]
+    step = np.uint64(0x9E3779B97F4A7C15)
+    sums = np.zeros(len(found), np.uint64)
+    if len(letters):
+        sums[lens > 0] = np.add.reduceat(_mixed(letters + (inside.astype(np.uint64) + np.uint64(1)) * step), first[lens > 0])
+    hashed, owners = [_mixed(sums + np.uint64(1))], [word]
+    for seed, least, edge, way in ((2, 2, first, 1), (3, 3, first + lens - 1, -1)):  # beginnings, ends
+        own = word[lens > 1]
+        h = np.full(len(own), seed, np.uint64)
+        for k in range(1, 8):
+            longer = lens[own] > k
+            own, h = own[longer], h[longer]
+            h = _mixed(h * step + letters[edge[own] + way * (k - 1)])
+            if k >= least:
+                hashed.append(h)
+                owners.append(own)
+    at = np.flatnonzero((inside >= 1) & (inside < lens[owner] - 4))
+    h = np.full(len(at), 4, np.uint64)
+    for k in range(4):
+        h = _mixed(h * step + letters[at + k])
+    hashed.append(h)
+    owners.append(owner[at])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    flat = (np.concatenate(hashed)[order] >> np.uint64(64 - BITS)).astype(np.int64)
+    return flat, np.searchsorted(owners[order], word)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The lists one after another, and where each starts."""
-    lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((x for xs in lists for x in xs), np.int64, int(lens.sum())), np.cumsum(lens) - lens
+def slots(token: str) -> list[int]:
+    """Hashed slots of a token's units, the whole word first."""
+    return units([token])[0].tolist()
 
 
 def odds(t: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
@@ -150,7 +179,7 @@ class Model:
     def _learn(self, words: list[str]) -> list[float]:
         if self.table is None or not words:
             return [0.0] * len(words)
-        flat, starts = _flat([slots(w) for w in words])
+        flat, starts = units(words)
         odds, error = self.table[0][flat].astype(np.float64), self.table[1][flat].astype(np.float64)
         whole, odds = odds[starts], odds - self.kinds
         sure = np.abs(odds) / error
@@ -243,7 +272,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 20_000):
             part = batch.slice(at, 20_000)
             t, c, t3, c3 = (part.column(n).to_numpy() for n in ("t", "c", "t3", "c3"))
-            flat, starts = _flat([slots(w) for w in part.column("token").to_pylist()])
+            flat, starts = units(part.column("token").to_pylist())
             lens = np.diff(np.append(starts, len(flat)))
             used, place = np.unique(flat, return_inverse=True)
             for row, (toxic, n) in enumerate(((t, t + c), (np.maximum(t - t3, 0), np.maximum(t + c - t3 - c3, 0)))):

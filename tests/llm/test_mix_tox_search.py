@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -359,3 +360,13 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert order((r[0], len(ids_of(r[1])), hashlib.sha256(",".join(map(str, ids_of(r[1]))).encode()).hexdigest()) for r in mixed) == order(r[:3] for r in pieces)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, k
+
+
+def test_units_of_many_tokens_are_those_of_each():
+    """Tokens are hashed together, and share slots where they share a beginning, an end or an inner group."""
+    words = ["a", "ab", "stupid", "stupidest", "unstupid", "12", "文字列処理系", "x" * 32, ""]
+    flat, starts = toxicity.units(words)
+    assert [p.tolist() for p in np.split(flat, starts[1:])] == [toxicity.slots(w) for w in words]
+    assert len(toxicity.slots("stupidest")) == 1 + 6 + 5 + 4 and flat.min() >= 0 and flat.max() < 1 << toxicity.BITS
+    assert len(set(toxicity.slots("unstupid")) & set(toxicity.slots("stupid"))) >= 3  # three ends at least
+    assert toxicity.units([])[0].tolist() == []
