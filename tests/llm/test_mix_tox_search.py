@@ -370,3 +370,17 @@ def test_units_of_many_tokens_are_those_of_each():
     assert len(toxicity.slots("stupidest")) == 1 + 6 + 5 + 4 and flat.min() >= 0 and flat.max() < 1 << toxicity.BITS
     assert len(set(toxicity.slots("unstupid")) & set(toxicity.slots("stupid"))) >= 3  # three ends at least
     assert toxicity.units([])[0].tolist() == []
+
+
+def test_a_shard_takes_little_more_memory_than_its_postings():
+    rng, rows = np.random.default_rng(3), []
+    for k in range(8000):
+        own = np.unique(rng.integers(0, 2**15, 300)).astype(np.uint64)
+        rows.append((k, own, np.ones(len(own), np.int64), len(own)))
+    arrays = bm25.build_shard(rows)
+    tracemalloc.start()
+    shard = bm25.Shard(arrays, 200.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a double a posting, and some numbers a term and a slice
+    assert most < 8 * len(shard.docs) + (16 << 20)
