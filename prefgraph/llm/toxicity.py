@@ -10,7 +10,8 @@ document of a group of near copies (same least shingle hash) weighs one over the
 words instead, as in Kneser and Ney: what speaks for an unseen form is how many of the known forms are toxic, not how
 often one of them is. With t of n being toxic, a unit's log-odds is that of t + a b against n - t + a (1 - b): a Dirichlet prior of
 a = ``PRIOR`` counts at the base rate b. Every unit of the training texts has one, negative ones too; units are kept in
-2**``BITS`` hashed slots, so a model has the same size whatever the corpus. A token starts from the most certain of its partial units
+2**``BITS`` hashed slots, so a model has the same size whatever the corpus; tasks write them to the shared folder and workers read them there, the
+driver sees where they are. A token starts from the most certain of its partial units
 and moves to the odds of the whole word; either step x of standard error e is shrunk by 1 - (``SURE`` e / x) squared, as in James and
 Stein, so that chance moves nothing. The n-th occurrence of a token in a text counts one nth, and what a text's tokens say
 on average (of scores cut at 1) is taken off, since that is its language or style.
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefgraph.llm.common import ship_package, staged, tidy
+from prefgraph.llm.common import attempt_file, new_path, open_input, open_output, ship_package, staged, tidy
 from prefgraph.llm.near_dedup import shingle_set
 
 TRAINING_ROWS = 200_000
@@ -164,7 +165,8 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
 
 @dataclass
 class Model:
-    table: np.ndarray | None = None  # odds and standard errors by slot
+    slices: list[tuple[int, str, int]] = field(default_factory=list)  # of the slots: number, file, first byte of odds and standard errors
+    base: float = 0.5  # base rate, the odds of slots in no slice
     kinds: float = 0.0  # log-odds of the base rate of kinds of words against that of words
     drift: float = DRIFT
     scale: float = 1.0
@@ -172,13 +174,16 @@ class Model:
     curve: list[float] = field(default_factory=lambda: [0.0])  # probability by bin of evidence
     known: dict[str, float] = field(default_factory=dict)
     older: dict[str, float] = field(default_factory=dict)
+    table: np.ndarray | None = None  # odds and standard errors by slot, read when first needed
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "older": {}}
+        return self.__dict__ | {"known": {}, "older": {}, "table": None}
 
     def _learn(self, words: list[str]) -> list[float]:
-        if self.table is None or not words:
+        if not self.slices or not words:
             return [0.0] * len(words)
+        if self.table is None:
+            self.table = _read_table(self.slices, self.base)
         flat, starts = units(words)
         odds, error = self.table[0][flat].astype(np.float64), self.table[1][flat].astype(np.float64)
         whole, odds = odds[starts], odds - self.kinds
@@ -232,6 +237,15 @@ class Model:
         return self.judge(text)[0]
 
 
+def _read_table(slices: list[tuple[int, str, int]], base: float) -> np.ndarray:
+    table = np.repeat(odds(np.zeros(1), np.zeros(1), base), 1 << BITS, axis=1)
+    for part, uri, first in slices:
+        with open_input(uri) as data:
+            data.seek(first)
+            table[:, part << SLICE : (part + 1) << SLICE] = np.frombuffer(data.read(4 << SLICE), np.float16).reshape(2, -1)
+    return table
+
+
 def _bin(x: float) -> int:
     return 0 if x <= 0 else min(BINS, 1 + int(4 * x))
 
@@ -288,8 +302,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"part": pa.array([slice_], pa.int32()), "used": pa.array([used.astype(np.uint16).tobytes()], pa.binary()), "sums": pa.array([own[:, used].tobytes()], pa.binary())})
 
 
-def _odds(base: float, base_without: float):
-    """Tables of each slice: of all folds, and of those without the calibrating one."""
+def _odds(folder: str, base: float, base_without: float):
+    """Writes tables of each slice, of all folds and then of those without the calibrating one; a row for each says where."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
@@ -297,9 +311,14 @@ def _odds(base: float, base_without: float):
             for part, used, sums in zip(*(batch.column(n).to_pylist() for n in ("part", "used", "sums")), strict=True):
                 at = np.frombuffer(used, np.uint16)
                 parts.setdefault(part, np.zeros((4, 1 << SLICE)))[:, at] += np.frombuffer(sums, np.float32).reshape(4, -1)
-        for part, (t, n, t_without, n_without) in parts.items():
-            both = [odds(t, n, base), odds(t_without, n_without, base_without)]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "full": pa.array([both[0].tobytes()], pa.binary()), "without": pa.array([both[1].tobytes()], pa.binary())})
+        if not parts:
+            return
+        uri = attempt_file(folder, ".odds")
+        with open_output(uri) as out:
+            for t, n, t_without, n_without in parts.values():
+                out.write(odds(t, n, base).tobytes())
+                out.write(odds(t_without, n_without, base_without).tobytes())
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(parts), pa.int32()), "file": [uri] * len(parts), "first": pa.array([k * (8 << SLICE) for k in range(len(parts))], pa.int64())})
 
     return run
 
@@ -417,16 +436,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     logit = lambda p: math.log(p / (1 - p))
     apart = lambda k, p: logit(k[0] / k[1]) - logit(p) if 0 < k[0] < k[1] else 0.0
     units = counts.mapInArrow(tidy(_units), "part int, used binary, sums binary")
-    tables = units.repartition(1 << (BITS - SLICE), "part").mapInArrow(tidy(_odds(base, without)), "part int, full binary, without binary").collect()
-    # the driver gets and sends tables of 2**BITS slots, whatever the corpus
-    empty = np.zeros(1)
-    full, held = (np.repeat(odds(empty, empty, b), 1 << BITS, axis=1) for b in (base, without))
-    for r in tables:
-        at = slice(r["part"] << SLICE, (r["part"] + 1) << SLICE)
-        full[:, at] = np.frombuffer(r["full"], np.float16).reshape(2, -1)
-        held[:, at] = np.frombuffer(r["without"], np.float16).reshape(2, -1)
+    tables = units.repartition(1 << (BITS - SLICE), "part").mapInArrow(tidy(_odds(new_path(spark, "toxicity-odds"), base, without)), "part int, file string, first long").collect()
+    # the driver gets three values for each of 2**(BITS - SLICE) slices, whatever the corpus
+    full = [(r["part"], r["file"], r["first"]) for r in tables]
+    held = [(part, uri, first + (4 << SLICE)) for part, uri, first in full]
     offset = apart(kinds, base)
-    partial = Model(held, apart(kinds_without, without)) if parted else Model(full, offset)
+    partial = Model(held, without, apart(kinds_without, without)) if parted else Model(full, base, offset)
     shared = spark.sparkContext.broadcast(partial)
     scored = staged(rows.where("fold = 3" if parted else "true").mapInArrow(tidy(_held(shared)), "scores binary, toxic int, weight double"), "toxicity-held")
     shared.unpersist()
@@ -440,7 +455,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     toxic, all_ = [0.0] * (BINS + 1), [0.0] * (BINS + 1)
     for r in bins:
         toxic[r["bin"]], all_[r["bin"]] = r["y"], r["n"]
-    return Model(full, offset, light.drift, light.scale, light.k, monotone(toxic, all_))
+    return Model(full, base, offset, light.drift, light.scale, light.k, monotone(toxic, all_))
 
 
 def _score(model):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import time
 import tracemalloc
@@ -155,6 +156,21 @@ def test_toxicity_on_planted_words(spark):
     assert toxicity.train(d, lab.where("toxic = 1")).score("vile") == 0.0
 
 
+def test_toxicity_tables_stay_out_of_the_driver(spark):
+    """The driver gets and sends where the tables are; a model that has been sent scores as one that was used here."""
+    rng = random.Random(3)
+    docs = [(k, " ".join(rng.choices(WORDS, k=40) + ["vile scurvy grotty"] * (k % 4 == 0))) for k in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(d, spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in docs], "doc_id long, toxic int"))
+    sent = pickle.dumps(model)
+    assert len(sent) < 100_000 and model.table is None  # 16 MB a model when it held its table
+    here = [model.score(t) for _, t in docs]
+    assert model.table.shape == (2, 1 << toxicity.BITS) and len(pickle.dumps(model)) == len(sent)
+    assert [pickle.loads(sent).score(t) for _, t in docs[:3]] == here[:3]
+    assert {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()} == dict(enumerate(here))
+    assert sum((s >= toxicity.THRESHOLD) != (k % 4 == 0) for k, s in enumerate(here)) < 4
+
+
 def test_unseen_forms_of_a_stem(spark):
     """Toxic words have a stem; a third of the forms, and the plain spelling of the hidden word, are in no training text."""
     rng = random.Random(8)
