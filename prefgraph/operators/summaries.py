@@ -25,10 +25,11 @@ def corr(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
-def correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys, n, pearson, pearson_p, spearman, spearman_p: null for fewer than three rows or a column that is constant (or nearly so). The p are two-sided, by Student's t."""
+def correlation(df: DataFrame, keys: list[str], x: str, y: str, nearly: bool = True) -> DataFrame:
+    """keys, n, pearson, pearson_p, spearman, spearman_p: null for fewer than three rows or a column that is constant (``nearly``: or differs by 1e-8 and 1e-5 of its least
+    value at most, whatever its scale). The p are two-sided, by Student's t."""
     ranked = average_ranks(finite(df, [x, y]).select(*keys, x, y), keys, {x: "_rx", y: "_ry"})
-    flat = lambda c: F.max(c) - F.min(c) <= 1e-8 + 1e-5 * F.abs(F.min(c))
+    flat = lambda c: F.max(c) - F.min(c) <= (1e-8 + 1e-5 * F.abs(F.min(c)) if nearly else F.lit(0.0))
     fine = (F.count("*") >= 3) & ~flat(x) & ~flat(y)
     both = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(fine, corr(x, y)).alias("pearson"), F.when(fine, corr("_rx", "_ry")).alias("spearman"))
     p = lambda r: F.when(F.col(r).isNotNull(), correlation_p(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(r))), F.col("n")))

@@ -149,3 +149,14 @@ def test_correlation_guards(spark):
     got = {r["g"]: r for r in summaries.correlation(rows, ["g"], "x", "y").collect()}
     assert all(got[g][c] is None for g in ("few", "flat", "nearly") for c in ("pearson", "spearman", "pearson_p", "spearman_p"))
     assert got["line"]["n"] == 9 and got["line"]["pearson"] == pytest.approx(1) and got["line"]["pearson_p"] < 1e-9
+
+
+def test_correlation_of_tiny_differences(spark):
+    """Sizes a few billionths apart: without ``nearly`` they have the correlations that SQL gives, constant ones still none."""
+    rows = [("tiny", float(k), 1e-9 * (k % 3)) for k in range(9)] + [("flat", float(k), 3e-9) for k in range(9)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r["g"]: r for r in summaries.correlation(df, ["g"], "x", "y", nearly=False).collect()}
+    x, y = [float(k) for k in range(9)], [k % 3 for k in range(9)]
+    assert got["tiny"]["pearson"] == pytest.approx(np.corrcoef(x, y)[0, 1]) and got["tiny"]["spearman"] == pytest.approx(np.corrcoef(x, y)[0, 1]) and 0 < got["tiny"]["pearson_p"] < 1
+    assert got["flat"]["pearson"] is None and got["flat"]["spearman"] is None
+    assert all(r["pearson"] is None for r in summaries.correlation(df, ["g"], "x", "y").collect())
