@@ -25,3 +25,10 @@ def test_no_nested_loops(spark, sf, name):
 def test_scan_reads_needed_columns(spark, sf):
     plan = plans.QUERIES["json_props_parse"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_type:string,props:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["prompt_support_audit", "aspect_disagreement"])
+def test_labels_are_read_once(spark, sf, name):
+    """A label's own case analysis stands in the plan once for each side of the plan, not once for each use of its sign and weight, which made code too large to compile."""
+    plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("A-is-clearly-better WHEN") <= 4
