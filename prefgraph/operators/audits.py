@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefgraph.operators.ordering import kept
 from prefgraph.sources.fixtures import ASPECTS
 
 
@@ -47,12 +48,15 @@ def model_edge_support(flat: DataFrame, aspects=ASPECTS) -> DataFrame:
 
 
 def dataset_audit(flat: DataFrame, aspects=ASPECTS) -> DataFrame:
-    """(metric, value): rows, distinct keys, labels and signs of every aspect; one pass for the counts and one for the values."""
-    sizes = flat.agg(F.count("*").alias("rows"), F.count_distinct("prompt_id").alias("prompts"), F.count_distinct("evaluator").alias("evaluators"))
-    models = flat.select(F.explode(F.array("alt_a", "alt_b")).alias("m")).agg(F.count_distinct("m").alias("n"))
+    """(metric, value): rows, distinct keys, labels and signs of every aspect. Two passes: rows by prompt and evaluator, and rows by their alternatives and labels, which are few
+    and are written for the three counts that read them."""
+    keys = flat.groupBy("prompt_id", "evaluator").agg(F.count("*").alias("n"))
+    sizes = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_distinct("prompt_id").alias("prompts"), F.count_distinct("evaluator").alias("evaluators"))
+    kinds = kept(flat.groupBy("alt_a", "alt_b", *[f"{a}_{c}" for a in aspects for c in ("pref", "sign")]).agg(F.count("*").alias("n")), "audit-kinds")
+    models = kinds.select(F.explode(F.array("alt_a", "alt_b")).alias("m")).agg(F.count_distinct("m").alias("n"))
     counts = sizes.selectExpr("stack(3, 'rows', rows, 'prompts', prompts, 'evaluators', evaluators) as (metric, value)").union(models.selectExpr("'models'", "n"))
     stacked = ", ".join(f"'{a}', {a}_pref, {a}_sign" for a in aspects)
-    values = flat.selectExpr(f"stack({len(aspects)}, {stacked}) as (aspect, label, sign)")
-    labels = values.groupBy(F.concat_ws(":", F.lit("label"), "aspect", "label").alias("metric")).agg(F.count("*").alias("value"))
-    signs = values.groupBy(F.concat_ws(":", F.lit("sign"), "aspect", F.col("sign").cast("string")).alias("metric")).agg(F.count("*").alias("value"))
+    values = kinds.selectExpr("n", f"stack({len(aspects)}, {stacked}) as (aspect, label, sign)")
+    labels = values.groupBy(F.concat_ws(":", F.lit("label"), "aspect", "label").alias("metric")).agg(F.sum("n").alias("value"))
+    signs = values.groupBy(F.concat_ws(":", F.lit("sign"), "aspect", F.col("sign").cast("string")).alias("metric")).agg(F.sum("n").alias("value"))
     return counts.union(labels).union(signs)
