@@ -51,8 +51,9 @@ def stable_sample(spark, sf_dir):
 def prompt_group_flow(spark, sf_dir):
     """Cycles of each prompt's own flow, of all annotations and of each group's."""
     keys = ["scope", "prompt_id", "aspect"]
-    flow = edges.scoped_edge_flow(preferences.obs(spark, sf_dir), ["prompt_id", "aspect"], "annotation_group")
-    stats = cycles.margin_cycle_stats(flow, keys, 0.0).where("n_edges >= 3")
+    # scopes are dealt within rows, not by grouping sets: annotations are by prompt already and stay where they are
+    obs = preferences.obs(spark, sf_dir).withColumn("scope", F.explode(F.array(F.lit("all"), "annotation_group")))
+    stats = cycles.small_cycle_stats(edges.edge_flow(obs, keys), keys, 3)
     return stats.select(*keys, "n_edges", "eligible", "cyclic", F.round("cycle_rate", 6).alias("cycle_rate"), F.round("weighted_cycle_intensity", 6).alias("weighted_cycle_intensity"))
 
 

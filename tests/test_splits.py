@@ -48,3 +48,16 @@ def test_flows_equal_dealt_rows(spark, monkeypatch):
     for got, plain in ((test, dealt), (train, left)):
         want = scoped_edge_flow(plain, ["split", "aspect"], "annotation_group")
         assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
+
+
+def test_small_scopes_equal_joined_triangles(spark):
+    """Cycles found within a scope's row are those of joined edges; scopes with few edges, none beyond zero and no triangle included."""
+    from prefgraph.operators import cycles
+
+    rng = random.Random(6)
+    rows = [(s, x, y, rng.choice((-1.0, -0.5, 0.0, 0.25, 1.0)), 2.0) for s in range(30) for k, x in enumerate("abcdef") for y in "abcdef"[k + 1 :] if rng.random() < 0.2 + s / 40]
+    rows += [(99, "a", "b", 1.0, 1.0), (99, "a", "c", 1.0, 1.0), (99, "a", "d", -1.0, 1.0)]
+    edges = spark.createDataFrame(rows, "s int, i string, j string, margin double, support double")
+    want = {tuple(r)[:5]: r[5] for r in cycles.margin_cycle_stats(edges, ["s"], 0.0).where("n_edges >= 3").collect()}
+    got = {tuple(r)[:5]: r[5] for r in cycles.small_cycle_stats(edges, ["s"], 3).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v) for k, v in want.items()) and (99, 3, 0, 0, None) in got
