@@ -66,7 +66,8 @@ def top_cycle_rates(spark, sf_dir):
 
 def scope_bundle(spark, sf_dir):
     """Per scope and aspect: nodes, edges, cycles by margin and the projection residual of the same edges with equal weights."""
-    return ops.bundle(preferences.scoped_edges(spark, sf_dir), ["scope", "aspect"]).withColumns({c: F.round(c, 6) for c in ("cycle_rate", "rho", "min_abs_margin")})
+    flow = kept(preferences.scoped_edges(spark, sf_dir), "scoped-edges")  # a few rows a scope, read by each part
+    return ops.bundle(flow, ["scope", "aspect"]).withColumns({c: F.round(c, 6) for c in ("cycle_rate", "rho", "min_abs_margin")})
 
 
 def cycle_rate_table(spark, sf_dir):
@@ -90,7 +91,8 @@ def display_names(spark, sf_dir):
 
 def triplet_catalogue(spark, sf_dir):
     """All triples of a scope's alternatives, with how many of their edges are there and whether their nodes are all well supported."""
-    return ops.triplets(preferences.scoped_edges(spark, sf_dir), ["scope", "aspect"], 50.0)
+    flow = kept(preferences.scoped_edges(spark, sf_dir), "scoped-edges")  # a few rows a scope, read by each part
+    return ops.triplets(flow, ["scope", "aspect"], 50.0)
 
 
 def bootstrap_summary(spark, sf_dir):

@@ -32,3 +32,10 @@ def test_labels_are_read_once(spark, sf, name):
     """A label's own case analysis stands in the plan once for each side of the plan, not once for each use of its sign and weight, which made code too large to compile."""
     plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("A-is-clearly-better WHEN") <= 4
+
+
+@pytest.mark.parametrize("name", ["scope_bundle", "triplet_catalogue"])
+def test_edges_are_summed_once(spark, sf, name):
+    """The parts read the written edges, not the tables again."""
+    plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "Relation" in plan
